@@ -5,12 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
+# The Unicode space separators (category Zs).
+_SPACES = (
+    "\u0020\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u202f\u205f\u3000"
+)
+
+
 def trim_unicode(text: Column) -> Column:
     """Strip every Unicode space separator (U+00A0 included, tabs not) from both ends.
 
-    Spark's own ``trim`` only knows U+0020.
+    Spark's ``trim`` alone only knows U+0020.
     """
-    return F.regexp_replace(F.regexp_replace(text, r"^\p{Zs}+", ""), r"\p{Zs}+$", "")
+    return F.btrim(text, F.lit(_SPACES))
 
 
 def first_email(mail: Column) -> Column:

@@ -193,7 +193,9 @@ def most_frequent(
     key's tied values in one task, and a key whose values are all different ties on every one of
     them. The maximum is one row per key, and both sides read the same shuffled frequencies.
     """
-    counts = count_rows(df.where(F.col(value).isNotNull()), [*keys, value], "_n")
+    # The group of NULLs counts zero. Filtering it by its count instead of filtering the rows
+    # keeps a computed ``value`` from being evaluated a second time in the filter.
+    counts = df.groupBy(*keys, value).agg(F.count(value).alias("_n")).where("_n > 0")
     top = counts.groupBy(*keys).agg(F.max("_n").alias("_n"))
     return counts.join(top, [*keys, "_n"], "left_semi").select(
         *keys, F.col(value).alias(name or value)

@@ -1,7 +1,8 @@
 """Operators that depend on row order, without a task that sees all rows.
 
 Every operator takes ``seq``, a bigint column that gives each row's position. It must be unique
-within one document (``keys`` identifies the document; with no keys the table is one document).
+within one document (``keys``, never NULL, identify the document; with no keys the table is one
+document).
 
 A window over the whole document would put it in one task. Instead positions are cut into
 buckets of ``2**bucket_bits`` consecutive values, so a bucket never holds more rows than that,
@@ -31,7 +32,10 @@ GROUP_BITS = 20
 
 
 def _with_bucket(df: DataFrame, seq: str, bits: int) -> DataFrame:
-    return df.withColumn(_BUCKET, F.shiftright(F.col(seq).cast("bigint"), bits))
+    # The coalesce tells the planner that buckets are never NULL. Without it each join below adds
+    # its own IS NOT NULL to one of the summaries, which then no longer share one shuffle.
+    position = F.coalesce(F.col(seq).cast("bigint"), F.lit(0))
+    return df.withColumn(_BUCKET, F.shiftright(position, bits))
 
 
 def _group_of(bits: int) -> Column:

@@ -101,17 +101,15 @@ fit AS (
 
 _RAW_REPORT = """
 raw AS (
-  SELECT o_orderkey * 8 AS seq,
+  SELECT o_orderkey AS seq,
          CASE WHEN o_orderkey = (SELECT max(o_orderkey) FROM orders) THEN 'RESUMEN'
-              ELSE 'AREA # ' || lpad(CAST(o_custkey AS VARCHAR), 5, '0') END AS label,
-         o_orderpriority AS cell
+              WHEN o_orderpriority = '1-URGENT'
+                THEN 'AREA # ' || lpad(CAST(o_custkey AS VARCHAR), 5, '0')
+              WHEN o_orderstatus = 'P' THEN 'Total'
+              ELSE CAST(o_custkey % 111 AS VARCHAR) END AS label,
+         CASE WHEN o_orderpriority = '1-URGENT' THEN o_orderpriority
+              ELSE CAST(CAST(trunc(o_totalprice) AS BIGINT) AS VARCHAR) END AS cell
   FROM orders
-  UNION ALL
-  SELECT l_orderkey * 8 + l_linenumber,
-         CASE WHEN l_linenumber = 7 THEN 'Total'
-              ELSE CAST(CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS VARCHAR) END,
-         CAST(max(l_partkey) AS VARCHAR)
-  FROM lineitem GROUP BY l_orderkey, l_linenumber
 )"""
 
 _MAIL = """
@@ -225,7 +223,7 @@ ORACLE_SQL = {
         SELECT CAST(substring(code, 1, 2) AS INTEGER) AS id_prov,
                CAST(substring(code, 3, 3) AS INTEGER) AS id_depto,
                CAST(label AS INTEGER) AS "Edad", CAST(cell AS INTEGER) AS "Casos",
-               FALSE AS is_reject
+               code IS NULL AS is_reject
         FROM filled WHERE summary IS NULL AND label NOT LIKE 'AREA%'""",
     "not_in_null_drop": """
         SELECT o_orderkey, o_orderpriority AS label FROM orders

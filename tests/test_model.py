@@ -1,0 +1,158 @@
+"""Raw files to model tables to reports, end to end on invented registers."""
+
+import pytest
+
+from terrastat.plans import model, reports, study
+from terrastat.operators import quality
+from terrastat.sources import MODEL_SCHEMAS, load_model, save_model, stage
+from workbook_files import write_workbook
+
+FLAGS = list(study.FLAG_COLUMNS)
+HEADER = ["Cueanexo", "Nombre", "Jurisdicción", "Departamento", "Código de localidad", "Ámbito",
+          "Sector", "Común", *FLAGS]
+ESTABLISHMENTS = [
+    # key, name, province, department, code, area, sector, common, five flags
+    [900000100, "Uno", "Córdoba", "Capital", 14042010, "Urbano", "Estatal", "1", "1", "1", "1", "1", "1"],
+    [900000101, "Dos", "Ciudad de Buenos Aires", "Comuna 5", 2005010, "Urbano", "Privado", 1, None, " ", "1", None, None],
+    [900000102, "Tres", "Buenos Aires", "Capital", 6028010, "Rural", "Estatal", "1", None, None, None, None, None],
+    [900000103, "No", "Buenos Aires", "Sur", 6035010, "Rural", "Estatal", " ", "1", "1", "1", "1", "1"],
+    [900000104, "Mal", "Buenos Aires", "Sur", 123456, "Rural", "Estatal", "1", None, "1", None, None, None],
+]
+CENTRES = """ID_PROV,ID_DEPTO,Departamento,Mail ,Capacidad
+2,2000,Ciudad de prueba,"a@x.org, b@y.org",100
+6,6028,Capital,s/d,101
+14,14042,Capital,u@Z.org,
+"""
+POPULATION = [
+    ["AREA # 02035", "Comuna 5"],
+    [None, None],
+    ["Edad", "Casos"],
+    [0, 10],
+    [13, 20],
+    [14, 5],
+    ["Total", 30],
+    ["AREA # 94008", "Río de prueba"],
+    [6, 7],
+    ["RESUMEN", None],
+    [0, 999],
+]
+
+
+@pytest.fixture(scope="module")
+def raw(spark, tmp_path_factory):
+    base = tmp_path_factory.mktemp("raw")
+    for name in ("ee", "cc", "pp"):
+        (base / name).mkdir()
+    write_workbook(base / "ee" / "register.xlsx", [["preamble"]] * 6 + [HEADER] + ESTABLISHMENTS)
+    (base / "cc" / "centres.csv").write_text(CENTRES, encoding="utf-8")
+    write_workbook(
+        base / "pp" / "population.xlsX",
+        [["preamble"]] * 13 + [[None, *line] for line in POPULATION],
+    )
+    return {
+        "register": stage(model.read_register(spark, str(base / "ee")), str(base / "s1")),
+        "centres": model.read_centres(spark, str(base / "cc")),
+        "population": stage(model.read_population(spark, str(base / "pp")), str(base / "s2")),
+    }
+
+
+@pytest.fixture(scope="module")
+def tables(spark, raw, tmp_path_factory):
+    directory = str(tmp_path_factory.mktemp("model"))
+    save_model(model.build_model(**raw), directory)
+    return load_model(spark, directory)
+
+
+def test_schemas(raw):
+    built = model.build_model(**raw)
+    assert set(built) == set(MODEL_SCHEMAS)
+    for name, table in built.items():
+        assert sorted(table.dtypes) == sorted(
+            (f.name, f.dataType.simpleString()) for f in MODEL_SCHEMAS[name]
+        )
+
+
+def test_establishments(tables, rows):
+    assert rows(tables["Establecimientos_educativos"]) == [
+        (900000100, 14, 42, "Urbano", "Estatal"),
+        (900000101, 2, 35, "Urbano", "Privado"),
+        (900000102, 6, 28, "Rural", "Estatal"),
+        (900000104, 12, 345, "Rural", "Estatal"),
+    ]
+
+
+def test_bridge(tables, rows):
+    assert rows(tables["ee_tipo_establecimiento"]) == [
+        *[(900000100, i) for i in range(5)],
+        (900000101, 2),
+        (900000104, 1),
+    ]
+
+
+def test_dimensions(tables, rows):
+    assert rows(tables["Departamentos"]) == [
+        (2, 0, "Ciudad de prueba"),
+        (2, 35, "COMUNA 5"),
+        (6, 28, "CAPITAL"),
+        (12, 345, "SUR"),
+        (14, 42, "CAPITAL"),
+    ]
+    assert rows(tables["Provincias"]) == [
+        (2, "CIUDAD DE BUENOS AIRES"),
+        (6, "BUENOS AIRES"),
+        (12, "BUENOS AIRES"),
+        (14, "CÓRDOBA"),
+    ]
+    assert rows(tables["Tipos_de_establecimientos"])[4] == (4, "Secundario_tecnico")
+
+
+def test_centres(tables, rows):
+    assert rows(tables["Centros_culturales"]) == [
+        (1, 2, 0, 100.0, "a@x.org"),
+        (2, 6, 28, 101.0, None),
+        (3, 14, 42, None, "u@Z.org"),
+    ]
+
+
+def test_population(tables, rows):
+    assert rows(tables["Poblacion"]) == [
+        (2, 35, 0, 10),
+        (2, 35, 13, 20),
+        (2, 35, 14, 5),
+        (94, 7, 6, 7),
+    ]
+
+
+def test_rejects_are_counted(raw, rows):
+    assert rows(model.rejects(raw["register"], raw["population"])) == [
+        ("population", 4, 0),
+        ("register", 4, 1),
+    ]
+
+
+def test_reports_run_on_the_model(tables, rows):
+    assert rows(reports.levels_report(tables)) == [
+        ("CIUDAD DE BUENOS AIRES", "COMUNA 5", 0, 10, 1, 20, 0, 5)
+    ]
+    assert rows(reports.threshold_report(tables)) == [("BUENOS AIRES", "CAPITAL", 1)]
+    assert len(rows(reports.coverage_report(tables))) == 5
+    assert ("CÓRDOBA", "CAPITAL", "z.org") in rows(reports.dominant_domain_report(tables))
+
+
+def test_quality_of_the_raw_sources(raw):
+    (numeric,) = quality.numeric_quality(raw["population"], "Edad").collect()
+    assert tuple(numeric)[:2] == (11, 6)  # blank, headers, total and summary lines count
+    info = model.centres_info(raw["centres"])
+    (contact,) = quality.contact_quality(info, "Mail").collect()
+    assert tuple(contact)[:3] == (3, 1, 2)
+    (flags,) = quality.flag_quality(model.establishment_info(raw["register"]), FLAGS).collect()
+    assert tuple(flags)[:2] == (20, 13)
+
+
+def test_fixed_values():
+    """The committed properties of the official numbering."""
+    provinces = [p for members in study.LAST_PRIMARY_AGE.values() for p in members]
+    assert len(provinces) == len(set(provinces)) == 24
+    assert all(p % 4 == 2 for p in provinces)
+    assert set(study.FLAG_COLUMNS.values()) == {i for i, _ in study.ESTABLISHMENT_TYPES}
+    assert sorted(t for types in study.LEVELS.values() for t in types) == list(range(5))

@@ -105,10 +105,9 @@ def build_model(
 ) -> dict[str, DataFrame]:
     """The seven model tables, lazy.
 
-    ``register`` and ``population`` are read several times: pass staged tables
-    (:func:`terrastat.sources.stage`) when they come from workbooks. Location codes and
-    population lines that did not decode are reported by :func:`rejects`; establishments with
-    such a code are kept, with what could be decoded.
+    Each source is read several times: pass staged tables (:func:`terrastat.sources.stage`).
+    Location codes and population lines that did not decode are reported by :func:`rejects`;
+    establishments with such a code are kept, with what could be decoded.
     """
     info = establishment_info(register)
     city = centres.where(F.col("ID_PROV") == study.CITY_PROVINCE).select(

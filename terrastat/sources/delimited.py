@@ -48,6 +48,8 @@ def read_delimited(
     ascending in file order within it, as the ordering operators need. That is the byte offset of
     the row's file split plus the row's number in its task: a task reads at most one split's
     length of bytes and a row has at least one, so offsets of successive splits never overlap.
+    Splits depend on the cluster's size at the moment of the scan: write the result out
+    (:func:`terrastat.sources.stage`) before an operator reads it more than once.
     """
     raw = spark.read.csv(path, header=True, escape='"', multiLine=multi_line)
     columns = {f.name: F.col(f"`{f.name}`") for f in schema}

@@ -2,7 +2,7 @@
 
 import pytest
 
-from terrastat.plans import model, reports, study
+from terrastat.plans import job, model, reports, study
 from terrastat.operators import quality
 from terrastat.sources import MODEL_SCHEMAS, load_model, save_model, stage
 from workbook_files import write_workbook
@@ -39,7 +39,7 @@ POPULATION = [
 
 
 @pytest.fixture(scope="module")
-def raw(spark, tmp_path_factory):
+def files(tmp_path_factory):
     base = tmp_path_factory.mktemp("raw")
     for name in ("ee", "cc", "pp"):
         (base / name).mkdir()
@@ -50,9 +50,18 @@ def raw(spark, tmp_path_factory):
         [["preamble"]] * 13 + [[None, *line] for line in POPULATION],
     )
     return {
-        "register": stage(model.read_register(spark, str(base / "ee")), str(base / "s1")),
-        "centres": model.read_centres(spark, str(base / "cc")),
-        "population": stage(model.read_population(spark, str(base / "pp")), str(base / "s2")),
+        "register": str(base / "ee"),
+        "centres": str(base / "cc"),
+        "population": str(base / "pp"),
+    }
+
+
+@pytest.fixture(scope="module")
+def raw(spark, files):
+    return {
+        "register": stage(model.read_register(spark, files["register"])),
+        "centres": stage(model.read_centres(spark, files["centres"])),
+        "population": stage(model.read_population(spark, files["population"])),
     }
 
 
@@ -149,6 +158,15 @@ def test_quality_of_the_raw_sources(raw):
     assert tuple(flags)[:2] == (20, 13)
 
 
+def test_the_whole_study(spark, files, tmp_path):
+    written = job.run_study(spark, **files, out=str(tmp_path))
+    assert len(written) == 15
+    assert written["consulta_3"].count() == 5
+    assert written["grafico_2_recta"].count() == 3000
+    assert written["calidad_poblacion"].collect()[0].non_numeric_rows == 6
+    assert load_model(spark, str(tmp_path / "model"))["Poblacion"].count() == 4
+
+
 def test_fixed_values():
     """The committed properties of the official numbering."""
     provinces = [p for members in study.LAST_PRIMARY_AGE.values() for p in members]

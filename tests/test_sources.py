@@ -62,10 +62,11 @@ def test_csv_order_survives_splits_and_packing(spark, tmp_path, split):
     spark.conf.set("spark.sql.files.openCostInBytes", "0")
     try:
         df = read_delimited(spark, str(tmp_path), schema, seq="seq")
-        got = dense_row_id(df, "seq", keys=["path"], bucket_bits=6, group_bits=2).collect()
+        df = stage(df)
     finally:
         for key, value in before.items():
             spark.conf.set(key, value)
+    got = dense_row_id(df, "seq", keys=["path"], bucket_bits=6, group_bits=2).collect()
     assert [r.n for r in sorted(got, key=lambda r: r.row_id)] == expected
     assert sorted(r.row_id for r in got) == list(range(1, len(expected) + 1))
 
@@ -153,9 +154,10 @@ def test_unknown_format_is_refused(tmp_path):
         save_model({}, str(tmp_path), fmt="xml")
 
 
-def test_stage_replaces_lineage(spark, tmp_path):
+@pytest.mark.parametrize("named", [True, False])
+def test_stage_replaces_lineage(spark, tmp_path, named):
     df = spark.range(10).withColumn("x", F.col("id") * 2)
-    staged = stage(df, str(tmp_path / "staged"))
+    staged = stage(df, str(tmp_path / "staged") if named else None)
     assert staged.schema.simpleString() == df.schema.simpleString()
     plan = staged.select("x")._jdf.queryExecution().executedPlan().toString()
     assert "Range" not in plan and "ReadSchema: struct<x:bigint>" in plan

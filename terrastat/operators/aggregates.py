@@ -34,10 +34,11 @@ def edge_by_region(region: str, groups: Mapping[int, Sequence[int]]) -> Column:
     regions = [r for members in groups.values() for r in members]
     if len(regions) != len(set(regions)):
         raise ValueError("a region is listed under two band edges")
-    edge = F.lit(None).cast("int")
-    for value, members in groups.items():
-        edge = F.when(F.col(region).isin(*members), F.lit(value)).otherwise(edge)
-    return edge
+    cases = " ".join(
+        f"WHEN `{region}` IN ({', '.join(map(str, members))}) THEN {edge}"
+        for edge, members in groups.items()
+    )
+    return F.expr(f"CASE {cases} END")
 
 
 def band_sums(
@@ -47,20 +48,16 @@ def band_sums(
     value: str,
     amount: str,
     bands: Sequence[Band],
+    highest: int | None = None,
 ) -> DataFrame:
     """Sum ``amount`` over each band of ``value`` per key, in one scan of ``df``.
 
     A key is kept only if every band has at least one row, whatever the rows' amounts are (as
-    when one aggregate per band is inner-joined).
+    when one aggregate per band is inner-joined). ``highest`` is a value that no band reaches
+    beyond; it becomes a filter that the scan can use.
     """
     holds = [band.holds(F.col(value)) for band in bands]
-    rows = df
-    upper = [band.up_to for band in bands]
-    if all(isinstance(u, int) for u in upper):
-        rows = rows.where(F.col(value) <= max(upper))
-    elif isinstance(upper[-1], int):
-        # Bands are given in ascending order: the last one bounds them all.
-        rows = rows.where(F.col(value) <= upper[-1])
+    rows = df if highest is None else df.where(F.col(value) <= highest)
     sums = [F.sum(F.when(h, F.col(amount))).alias(b.name) for h, b in zip(holds, bands)]
     found = [F.count_if(h).alias(f"_found_{i}") for i, h in enumerate(holds)]
     out = rows.groupBy(*keys).agg(*sums, *found)

@@ -57,7 +57,11 @@ def dense_row_id(
     bucket_bits: int = BUCKET_BITS,
     group_bits: int = GROUP_BITS,
 ) -> DataFrame:
-    """Number the rows 1..n in (keys, seq) order; the id is the first column of the result."""
+    """Number the rows 1..n in (keys, seq) order; the id is the first column of the result.
+
+    The one window without a partition runs over a row per document and group of buckets: for
+    files, fewer rows than Spark's driver already lists.
+    """
     keys = list(keys)
     rows = _with_bucket(df, seq, bucket_bits)
 

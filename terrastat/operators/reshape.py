@@ -23,19 +23,19 @@ def unpivot_flags(
     """
     if len(flags) > 63:
         raise ValueError("at most 63 flag columns fit the bit mask")
-    mask = F.lit(0).cast("bigint")
-    for bit, flag in enumerate(flags):
-        mask = mask.bitwiseOR(F.when(is_set(flag), F.lit(1 << bit)).otherwise(0).cast("bigint"))
-    per_key = (
-        df.select(key, mask.alias("_mask")).groupBy(key).agg(F.bit_or("_mask").alias("_mask"))
+    mask = " | ".join(
+        f"IF(`{flag}` = '1', {1 << bit}L, 0L)" for bit, flag in enumerate(flags)
     )
-    types = F.array(
-        *[
-            F.when(F.col("_mask").bitwiseAND(F.lit(1 << bit)) != 0, F.lit(type_id))
-            for bit, type_id in enumerate(flags.values())
-        ]
+    types = ", ".join(
+        f"IF(_mask & {1 << bit}L <> 0, {type_id}, NULL)"
+        for bit, type_id in enumerate(flags.values())
+    )
+    return (
+        df.groupBy(key)
+        .agg(F.expr(f"bit_or({mask})").alias("_mask"))
+        .where("_mask <> 0")
+        .select(key, F.expr(f"explode(array_compact(array({types})))").alias(type_col))
     )
-    return per_key.where("_mask <> 0").select(key, F.explode(F.array_compact(types)).alias(type_col))
 
 
 def extract_dimension(

@@ -90,7 +90,7 @@ def _fences() -> tuple[Column, Column]:
 
 
 def box_stats(points: DataFrame, *, group: str, value: str) -> DataFrame:
-    """Box-plot numbers per group, with the groups' order on the axis (by median, then name).
+    """Box-plot numbers per group.
 
     A whisker ends at the furthest value within 1.5 interquartile ranges of the box, and never
     inside the box.
@@ -114,11 +114,15 @@ def box_stats(points: DataFrame, *, group: str, value: str) -> DataFrame:
         F.least("q1", F.col("_low").cast("double")).alias("whisker_low"),
         F.greatest("q3", F.col("_high").cast("double")).alias("whisker_high"),
         "outliers",
-        # One row per box of the chart.
-        F.row_number().over(Window.orderBy("median", group)).alias("plot_order"),
     )
 
 
+def with_plot_order(boxes: DataFrame, *, group: str) -> DataFrame:
+    """Number the boxes of one chart along its axis: by median, then name."""
+    order = Window.orderBy(F.asc_nulls_last("median"), F.asc_nulls_last(group))
+    return boxes.withColumn("plot_order", F.row_number().over(order))
+
+
 def box_outliers(
     points: DataFrame, *, group: str, value: str, keep: Sequence[str] = ()
 ) -> DataFrame:

@@ -176,20 +176,25 @@ def _bands():
     return reports.school_age_bands(aggregates.edge_by_region("id_prov", LAST_PRIMARY_AGE))
 
 
-def _band_sums(t: StandIns, bands) -> DataFrame:
+def _band_sums(t: StandIns, bands, highest: int) -> DataFrame:
     return aggregates.band_sums(
-        t.population(), reports.AREA, value="Edad", amount="Casos", bands=bands
+        t.population(),
+        reports.AREA,
+        value="Edad",
+        amount="Casos",
+        bands=bands,
+        highest=highest,
     )
 
 
 @register
 def band_sum(t: StandIns) -> DataFrame:
-    return _band_sums(t, [_bands()[1]])
+    return _band_sums(t, [_bands()[1]], max(LAST_PRIMARY_AGE))
 
 
 @register
 def bands_wide(t: StandIns) -> DataFrame:
-    return _band_sums(t, _bands())
+    return _band_sums(t, _bands(), study.LAST_SECONDARY_AGE)
 
 
 @register
@@ -289,10 +294,12 @@ def count_by_province(t: StandIns) -> DataFrame:
     )
 
 
+def _department_model(t: StandIns) -> dict[str, DataFrame]:
+    return {"Establecimientos_educativos": t.establishments(), "Provincias": t.provinces()}
+
+
 def _department_counts(t: StandIns) -> DataFrame:
-    return reports.department_counts(
-        {"Establecimientos_educativos": t.establishments(), "Provincias": t.provinces()}
-    )
+    return reports.department_counts(_department_model(t))
 
 
 @register
@@ -304,7 +311,7 @@ def group_median(t: StandIns) -> DataFrame:
 
 @register
 def box_stats(t: StandIns) -> DataFrame:
-    return stats.box_stats(_department_counts(t), group="nombre", value="Cantidad")
+    return reports.department_boxes(_department_model(t))
 
 
 @register

@@ -31,7 +31,7 @@ def report_tables(
         "grafico_2_puntos": reports.level_scatter(levels),
         "grafico_2_ajuste": fit,
         "grafico_2_recta": stats.fit_line_points(fit, series="nivel"),
-        "grafico_3": stats.box_stats(counts, group="nombre", value="Cantidad"),
+        "grafico_3": reports.department_boxes(model),
         "grafico_3_atipicos": stats.box_outliers(
             counts, group="nombre", value="Cantidad", keep=["id_depto"]
         ),

@@ -62,6 +62,7 @@ def levels_table(
         value="Edad",
         amount="Casos",
         bands=school_age_bands(edge_by_region("id_prov", last_primary_age)),
+        highest=max(study.LAST_SECONDARY_AGE, *last_primary_age),
     )
     levels = level_pivot(
         model["Establecimientos_educativos"],
@@ -190,6 +191,12 @@ def department_counts(model: Mapping[str, DataFrame]) -> DataFrame:
     )
 
 
+def department_boxes(model: Mapping[str, DataFrame]) -> DataFrame:
+    """Box-plot numbers of establishments per department, by province, in the chart's order."""
+    boxes = stats.box_stats(department_counts(model), group="nombre", value="Cantidad")
+    return stats.with_plot_order(boxes, group="nombre")
+
+
 def rates_by_province(model: Mapping[str, DataFrame]) -> DataFrame:
     """Centres and establishments per 1000 inhabitants, and their ratio, highest ratio first."""
     people = model["Poblacion"].groupBy("id_prov").agg(F.sum("Casos").alias("_people"))

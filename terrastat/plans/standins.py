@@ -7,7 +7,7 @@ people: part size is the age, quantity the number of them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 
@@ -85,11 +85,10 @@ class StandIns:
 
     def flags(self) -> DataFrame:
         """Register rows: an establishment repeats, each row sets one flag to '1'."""
-        digit = F.substring("o_orderpriority", 1, 1)
-        return self.table("orders").select(
-            F.col("o_custkey").alias("Cueanexo"),
+        return self.table("orders").selectExpr(
+            "o_custkey AS Cueanexo",
             *[
-                F.when(digit == str(i + 1), "1").otherwise(" ").alias(flag)
+                f"IF(substring(o_orderpriority, 1, 1) = '{i + 1}', '1', ' ') AS {flag}"
                 for flag, i in FLAGS.items()
             ],
         )
@@ -121,38 +120,23 @@ class StandIns:
         )
 
     def event_centres(self) -> DataFrame:
-        return self.table("events").select(
-            F.col("event_id").alias("id_cc"),
-            (F.col("user_id") % 25).cast("int").alias("id_prov"),
-            F.col("event_type").alias("id_depto"),
-            F.col("value").alias("Capacidad"),
-            self._mail().alias("Mail"),
-        )
-
-    @staticmethod
-    def _mail() -> Column:
-        """Mail fields in the shapes people type them, by event."""
-        event, user = F.col("event_id"), F.col("user_id")
-        shapes = [
-            F.lit(None).cast("string"),
-            F.concat(
-                F.lit(" A"),
-                (event % 5).cast("string"),
-                F.lit("@Mail"),
-                (user % 3).cast("string"),
-                F.lit(".Com "),
-            ),
-            F.lit("a@x.org, b@y.org"),
-            F.lit("a@x.org b@y.org"),
-            F.lit("s/d"),
-            F.lit("a@x.org,b@z.org"),
-            F.lit("u@"),
-            F.concat(F.lit("c@"), F.col("event_type"), F.lit(".net")),
-        ]
-        mail = shapes[7]
-        for i, shape in enumerate(shapes[:7]):
-            mail = F.when(event % 8 == i, shape).otherwise(mail)
-        return mail
+        """Events as centres, with mail fields in the shapes people type them."""
+        return self.table("events").selectExpr(
+            "event_id AS id_cc",
+            "CAST(user_id % 25 AS INT) AS id_prov",
+            "event_type AS id_depto",
+            "value AS Capacidad",
+            """CASE event_id % 8
+                 WHEN 0 THEN NULL
+                 WHEN 1 THEN concat(' A', event_id % 5, '@Mail', user_id % 3, '.Com ')
+                 WHEN 2 THEN 'a@x.org, b@y.org'
+                 WHEN 3 THEN 'a@x.org b@y.org'
+                 WHEN 4 THEN 's/d'
+                 WHEN 5 THEN 'a@x.org,b@z.org'
+                 WHEN 6 THEN 'u@'
+                 ELSE concat('c@', event_type, '.net')
+               END AS Mail""",
+        )
 
     # -- population -------------------------------------------------------------------------
 

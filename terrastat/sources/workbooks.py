@@ -2,8 +2,9 @@
 
 Spark has no xlsx source. Files are listed and distributed by ``binaryFile``; a workbook is a zip
 of XML whose rows are streamed out in Arrow batches. A sheet has at most 1,048,576 rows, so a
-single file bounds what one task step handles and the parallelism is across files. Only cell texts
-are read: no styles, dates or formulas.
+single file bounds what one task step handles and the parallelism is across files; a task's files
+together are at most ``spark.sql.files.maxPartitionBytes``, or a single larger one. Only cell
+texts are read: no styles, dates or formulas.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .delimited import NULL_TOKENS
+
 _BATCH_ROWS = 10_000
 _SCHEMA = "path string, row_no bigint, cells map<string,string>"
 
@@ -62,26 +65,27 @@ def _cell_text(cell, strings: Sequence[str]) -> str | None:
 
 
 def _sheet_rows(content: bytes) -> Iterator[tuple[int, dict[str, str]]]:
-    """(row number, {column letter: text}); rows the file leaves out come as empty ones."""
+    """(row number, {column letter: text}) up to the last row with a cell; blank rows are {}."""
     with zipfile.ZipFile(io.BytesIO(content)) as book:
         strings = _shared_strings(book)
         with book.open(_first_sheet(book)) as stream:
-            last = 0
+            number = last = 0
             for _, node in ElementTree.iterparse(stream):
                 if _local(node.tag) != "row":
                     continue
-                number = int(node.get("r", last + 1))
-                for gap in range(last + 1, number):
-                    yield gap, {}
+                number = int(node.get("r", number + 1))
                 cells = {}
                 for position, cell in enumerate(node):
                     ref = cell.get("r")
                     letter = re.match("[A-Z]+", ref)[0] if ref else _letter(position)
                     text = _cell_text(cell, strings)
-                    if text is not None:
+                    if text:
                         cells[letter] = text
-                yield number, cells
-                last = number
+                if cells:
+                    for blank in range(last + 1, number):
+                        yield blank, {}
+                    yield number, cells
+                    last = number
                 node.clear()
 
 
@@ -143,10 +147,13 @@ def read_workbooks(
     return files.mapInPandas(parse, _SCHEMA)
 
 
-def sheet_columns(sheet: DataFrame, columns: dict[str, str]) -> DataFrame:
+def sheet_columns(
+    sheet: DataFrame, columns: dict[str, str], null_tokens: Sequence[str] = NULL_TOKENS
+) -> DataFrame:
     """(path, row_no, …) with one text column per entry of ``{cell key: column name}``."""
+    texts = {name: F.try_element_at("cells", F.lit(key)) for key, name in columns.items()}
     return sheet.select(
         "path",
         "row_no",
-        *[F.try_element_at("cells", F.lit(key)).alias(name) for key, name in columns.items()],
+        *[F.when(~text.isin(*null_tokens), text).alias(name) for name, text in texts.items()],
     )

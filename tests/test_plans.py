@@ -99,7 +99,10 @@ def test_filters_and_columns_reach_the_scan(spark, tmp_path):
     ).write.parquet(path)
     people = spark.read.parquet(path)
     bands = [aggregates.Band("a", up_to=5), aggregates.Band("b", above=5, up_to=19)]
-    plan = _plan(aggregates.band_sums(people, ["p"], value="age", amount="n", bands=bands))
+    sums = aggregates.band_sums(
+        people, ["p"], value="age", amount="n", bands=bands, highest=19
+    )
+    plan = _plan(sums)
     assert "LessThanOrEqual(age,19)" in plan
     assert "ReadSchema: struct<p:int,age:bigint,n:int>" in plan
     above = aggregates.count_above(people, ["p"], value="n", threshold=1, name="c")

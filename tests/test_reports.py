@@ -123,6 +123,17 @@ def test_bands_equal_one_aggregate_per_band(spark):
     assert sorted(map(str, expected)) == sorted(str(tuple(r)) for r in got.collect())
 
 
+@pytest.mark.parametrize("highest", [None, 25])
+def test_a_region_edge_may_lie_above_the_last_band(spark, rows, highest):
+    df = spark.createDataFrame([(1, 22, 5), (1, 3, 2)], "id_prov int, Edad int, Casos int")
+    edge = agg.edge_by_region("id_prov", {25: (1,)})
+    bands = [agg.Band("low", up_to=5), agg.Band("mid", above=5, up_to=edge)]
+    got = agg.band_sums(
+        df, ["id_prov"], value="Edad", amount="Casos", bands=bands, highest=highest
+    )
+    assert rows(got) == [(1, 2, 5)]
+
+
 def test_region_under_two_edges_is_refused(spark):
     with pytest.raises(ValueError):
         agg.edge_by_region("id_prov", {12: (1, 2), 13: (2,)})

@@ -19,7 +19,9 @@ def test_box_stats(spark):
         "one": [7],
         "holes": [5, None, 5],
     }
-    got = {r.g: r for r in stats.box_stats(_points(spark, groups), group="g", value="v").collect()}
+    boxes = stats.box_stats(_points(spark, groups), group="g", value="v")
+    got = {r.g: r for r in stats.with_plot_order(boxes, group="g").collect()}
+
     def box(g):
         return tuple(got[g])[1:-1]
 

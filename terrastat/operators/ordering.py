@@ -170,18 +170,31 @@ def forward_fill(
 
 
 def truncate_at_sentinel(
-    df: DataFrame, is_sentinel: Column, seq: str, *, keys: Sequence[str] = ()
+    df: DataFrame,
+    is_sentinel: Column,
+    seq: str,
+    *,
+    keys: Sequence[str] = (),
+    bucket_bits: int = BUCKET_BITS,
 ) -> DataFrame:
-    """Keep the rows above the first sentinel row; all of them where there is none."""
-    cut = F.min(seq).alias("_cut")
-    sentinels = df.where(is_sentinel)
+    """Keep the rows above the first sentinel row; all of them where there is none.
+
+    For the table as one document the position of the cut is a scalar subquery and the rows are
+    only filtered. With ``keys`` each bucket is told its document's cut: a join by document alone
+    would bring all rows of a large one to one task.
+    """
     if not keys:
-        last_kept = F.coalesce(sentinels.agg(cut).scalar() - 1, F.lit(_MAX_SEQ))
-        return df.where(F.col(seq) <= last_kept)
+        first = df.where(is_sentinel).agg(F.min(seq)).scalar()
+        return df.where(F.col(seq) <= F.coalesce(first - 1, F.lit(_MAX_SEQ)))
     keys = list(keys)
-    cuts = sentinels.groupBy(*keys).agg(cut)
+    rows = _with_bucket(df, seq, bucket_bits)
+    cuts = (
+        rows.groupBy(*keys, _BUCKET)
+        .agg(F.min(F.when(is_sentinel, F.col(seq))).alias("_cut"))
+        .withColumn("_cut", F.min("_cut").over(Window.partitionBy(*keys)))
+    )
     return (
-        df.join(cuts, keys, "left")
-        .where(F.coalesce(F.col(seq) < F.col("_cut"), F.lit(True)))
+        rows.join(cuts, [*keys, _BUCKET])
+        .where(F.col("_cut").isNull() | (F.col(seq) < F.col("_cut")))
         .select(*df.columns)
     )

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.codes import AREA_PREFIX
-from .ordering import BUCKET_BITS, forward_fill, truncate_at_sentinel
+from .ordering import BUCKET_BITS, forward_fill
 
 # Fixed values of the source format.
 NOISE_LABELS = ("nan", "total", "edad")
@@ -37,18 +37,20 @@ def sectioned_report(
     everything from the summary section on.
     """
     rows = drop_noise(df.select(*keys, seq, label, value), label)
-    if summary is not None:
-        rows = truncate_at_sentinel(rows, F.col(label) == summary, seq, keys=keys)
     is_header = F.col(label).startswith(HEADER_START)
-    marked = rows.withColumns(
-        {
-            "area_code": F.when(is_header, F.replace(F.col(label), F.lit(AREA_PREFIX), F.lit(""))),
-            "area_name": F.when(is_header, F.upper(value)),
-        }
-    )
+    marks = {
+        "area_code": F.when(is_header, F.replace(F.col(label), F.lit(AREA_PREFIX), F.lit(""))),
+        "area_name": F.when(is_header, F.upper(value)),
+    }
+    if summary is not None:
+        # Filled down like the header cells, which costs a flag in the one shuffle where a cut
+        # of its own would cost another pass over the rows.
+        marks["_past_end"] = F.when(F.col(label) == summary, F.lit(True))
     filled = forward_fill(
-        marked, ["area_code", "area_name"], seq, keys=keys, bucket_bits=bucket_bits
+        rows.withColumns(marks), list(marks), seq, keys=keys, bucket_bits=bucket_bits
     )
+    if summary is not None:
+        filled = filled.where(F.col("_past_end").isNull())
     return filled.where(~is_header).select(*keys, seq, "area_code", "area_name", label, value)
 
 

@@ -66,10 +66,14 @@ def truncate_at_sentinel(t: StandIns) -> DataFrame:
 
 @register
 def truncate_by_document(t: StandIns) -> DataFrame:
-    orders = t.table("orders").select("o_orderkey", "o_custkey", "o_orderpriority")
-    return ordering.truncate_at_sentinel(
-        orders, F.col("o_orderpriority") == "5-LOW", "o_orderkey", keys=["o_custkey"]
+    """A thousand orders in a row are a document, which ends at its first dear urgent order."""
+    orders = t.table("orders").selectExpr(
+        "o_orderkey div 1000 AS document", "o_orderkey", "o_orderpriority", "o_totalprice"
     )
+    is_end = (F.col("o_orderpriority") == "1-URGENT") & (F.col("o_totalprice") > 490_000)
+    return ordering.truncate_at_sentinel(
+        orders, is_end, "o_orderkey", keys=["document"]
+    ).select("document", "o_orderkey")
 
 
 @register

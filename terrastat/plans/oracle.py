@@ -200,12 +200,13 @@ ORACLE_SQL = {
           WHERE o_totalprice = (SELECT max(o_totalprice) FROM orders)
         )""",
     "truncate_by_document": """
-        SELECT o_orderkey, o_custkey, o_orderpriority FROM orders o
-        WHERE NOT EXISTS (
-          SELECT 1 FROM orders s
-          WHERE s.o_custkey = o.o_custkey AND s.o_orderpriority = '5-LOW'
-            AND s.o_orderkey <= o.o_orderkey
-        )""",
+        WITH cuts AS (
+          SELECT o_orderkey // 1000 AS doc, min(o_orderkey) AS cut FROM orders
+          WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 490000 GROUP BY 1
+        )
+        SELECT o_orderkey // 1000 AS document, o_orderkey
+        FROM orders LEFT JOIN cuts ON doc = o_orderkey // 1000
+        WHERE cut IS NULL OR o_orderkey < cut""",
     "sectioned_report": f"""
         WITH {_RAW_REPORT},
         marked AS (

@@ -31,6 +31,11 @@ BUCKET_BITS = 16
 GROUP_BITS = 20
 
 
+def _named(names: Sequence[str]) -> list[Column]:
+    """Columns by their exact names, dots and spaces included."""
+    return [F.col(f"`{name}`") for name in names]
+
+
 def _with_bucket(df: DataFrame, seq: str, bits: int) -> DataFrame:
     # The coalesce tells the planner that buckets are never NULL. Without it each join below adds
     # its own IS NOT NULL to one of the summaries, which then no longer share one shuffle.
@@ -94,7 +99,7 @@ def dense_row_id(
         "_rank", F.row_number().over(Window.partitionBy(*keys, _BUCKET).orderBy(seq))
     )
     return numbered.join(starts, [*keys, _BUCKET]).select(
-        (F.col("_start") + F.col("_rank")).cast("bigint").alias(id_col), *df.columns
+        (F.col("_start") + F.col("_rank")).cast("bigint").alias(id_col), *_named(df.columns)
     )
 
 
@@ -165,7 +170,10 @@ def forward_fill(
     )
     filled = rows.withColumns({c: F.last(c, ignorenulls=True).over(inside) for c in columns})
     return filled.join(above, [*keys, _BUCKET]).select(
-        *[F.coalesce(c, f"_above_{c}").alias(c) if c in columns else F.col(c) for c in df.columns]
+        *[
+            F.coalesce(c, f"_above_{c}").alias(c) if c in columns else _named([c])[0]
+            for c in df.columns
+        ]
     )
 
 
@@ -196,5 +204,5 @@ def truncate_at_sentinel(
     return (
         rows.join(cuts, [*keys, _BUCKET])
         .where(F.col("_cut").isNull() | (F.col(seq) < F.col("_cut")))
-        .select(*df.columns)
+        .select(*_named(df.columns))
     )

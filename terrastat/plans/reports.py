@@ -78,9 +78,14 @@ def levels_table(
     return star(names, [bands, levels], AREA).select("Provincia", "Departamento", *pairs)
 
 
-def levels_report(model: Mapping[str, DataFrame], *args, **options) -> DataFrame:
+def levels_report(
+    model: Mapping[str, DataFrame],
+    last_primary_age: Mapping[int, Sequence[int]] = study.LAST_PRIMARY_AGE,
+    *,
+    keep_empty: bool = False,
+) -> DataFrame:
     """:func:`levels_table` by province, then most primary schools first."""
-    return levels_table(model, *args, **options).orderBy(
+    return levels_table(model, last_primary_age, keep_empty=keep_empty).orderBy(
         F.asc_nulls_last("Provincia"), F.desc_nulls_last("Primarias")
     )
 

@@ -91,6 +91,17 @@ def test_documents_are_filled_apart_and_numbered_together(spark):
     ]
 
 
+def test_columns_may_have_dots_and_spaces(spark):
+    df = spark.createDataFrame([(1, "x", "m")], "seq bigint, `a.1` string, `Mail ` string")
+    for out in (
+        dense_row_id(df, "seq").drop("row_id"),
+        forward_fill(df, ["Mail "], "seq"),
+        truncate_at_sentinel(df, F.lit(False), "seq", keys=["Mail "]),
+    ):
+        assert out.columns == df.columns
+        assert [tuple(r) for r in out.collect()] == [(1, "x", "m")]
+
+
 def test_huge_positions(spark):
     positions = [-(2**62), -1, 0, 2**40, 2**62, 2**63 - 1]
     df = spark.createDataFrame([(p, None if i else "v") for i, p in enumerate(positions)],

@@ -151,6 +151,15 @@ def test_totals(spark, rows):
     assert rows(sums) == [(2, 0, 12), (2, 7, 11), (2, 14, 1), (6, 7, 4)]
 
 
+def test_a_detail_equal_to_the_total_is_listed_once(spark, rows):
+    df = spark.createDataFrame([(2, 0, 1, 5), (2, 7, 1, 0)], "p int, d int, k bigint, n int")
+    common = {"region": "p", "area": "d", "total_regions": [2], "total_label": 0}
+    distinct = agg.distinct_with_totals(df, value="k", name="k", **common)
+    assert rows(distinct) == [(2, 0, 1), (2, 7, 1)]
+    sums = agg.sums_with_totals(df, value="n", name="n", **common)
+    assert rows(sums) == [(2, 0, 5), (2, 7, 0)]
+
+
 def test_most_frequent_keeps_ties(spark, rows):
     data = [(1, "a"), (1, "a"), (1, "b"), (1, "b"), (1, "c"), (2, None), (3, ""), (3, None)]
     df = spark.createDataFrame(data, "k int, v string")

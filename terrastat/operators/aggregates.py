@@ -133,6 +133,19 @@ def _with_totals(
     )
 
 
+def _unfold_totals(grouped: DataFrame, region: str, area: str, name: str) -> DataFrame:
+    """One row for the detail and one for the total of an area, or one where they are equal.
+
+    A region's total shares a group with details only if its label is a real area.
+    """
+    values = F.expr(
+        "array_distinct(transform(filter(array("
+        "struct(_details > 0 AS found, _detail AS value),"
+        "struct(_totals > 0 AS found, _total_value AS value)), v -> v.found), v -> v.value))"
+    )
+    return grouped.select(region, area, F.explode(values).alias(name))
+
+
 def distinct_with_totals(
     df: DataFrame,
     *,
@@ -148,13 +161,14 @@ def distinct_with_totals(
     A distinct count is not additive, so the total has to see the values again; only the rows of
     ``total_regions`` are repeated for it, where GROUPING SETS would repeat every row.
     """
-    rows = _with_totals(df, region, area, total_regions, total_label, [value])
-    return (
-        rows.groupBy(region, area, "_total")
-        .agg(F.countDistinct(value).alias(name))
-        .drop("_total")
-        .distinct()
+    values = _with_totals(df, region, area, total_regions, total_label, [value]).distinct()
+    grouped = values.groupBy(region, area).agg(
+        F.count_if(~F.col("_total")).alias("_details"),
+        F.count_if("_total").alias("_totals"),
+        F.count(F.when(~F.col("_total"), F.col(value))).alias("_detail"),
+        F.count(F.when(F.col("_total"), F.col(value))).alias("_total_value"),
     )
+    return _unfold_totals(grouped, region, area, name)
 
 
 def sums_with_totals(
@@ -172,13 +186,17 @@ def sums_with_totals(
     Sums are additive: the totals are built from the per-area sums.
     """
     sums = df.groupBy(region, area).agg(F.sum(value).alias(name))
-    return (
+    grouped = (
         _with_totals(sums, region, area, total_regions, total_label, [name])
-        .groupBy(region, area, "_total")
-        .agg(F.sum(name).alias(name))
-        .drop("_total")
-        .distinct()
+        .groupBy(region, area)
+        .agg(
+            F.count_if(~F.col("_total")).alias("_details"),
+            F.count_if("_total").alias("_totals"),
+            F.sum(F.when(~F.col("_total"), F.col(name))).alias("_detail"),
+            F.sum(F.when(F.col("_total"), F.col(name))).alias("_total_value"),
+        )
     )
+    return _unfold_totals(grouped, region, area, name)
 
 
 def most_frequent(

@@ -24,6 +24,7 @@ def report_tables(
     fit = reports.level_fit(levels)
     counts = reports.department_counts(model)
     return {
+        "provincias_sin_grupo": reports.provinces_without_edge(model["Provincias"]),
         "consulta_2": reports.threshold_report(model),
         "consulta_3": reports.coverage_report(model),
         "consulta_4": reports.dominant_domain_report(model),

@@ -49,6 +49,14 @@ def school_age_bands(last_primary: Column) -> list[Band]:
     ]
 
 
+def provinces_without_edge(
+    provinces: DataFrame,
+    last_primary_age: Mapping[int, Sequence[int]] = study.LAST_PRIMARY_AGE,
+) -> DataFrame:
+    """Provinces listed under no school age. The levels report leaves them out."""
+    return provinces.where(edge_by_region("id_prov", last_primary_age).isNull())
+
+
 def levels_table(
     model: Mapping[str, DataFrame],
     last_primary_age: Mapping[int, Sequence[int]] = study.LAST_PRIMARY_AGE,

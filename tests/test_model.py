@@ -160,8 +160,9 @@ def test_quality_of_the_raw_sources(raw):
 
 def test_the_whole_study(spark, files, tmp_path):
     written = job.run_study(spark, **files, out=str(tmp_path))
-    assert len(written) == 15
+    assert len(written) == 16
     assert written["consulta_3"].count() == 5
+    assert [r.id_prov for r in written["provincias_sin_grupo"].collect()] == [12]
     assert written["grafico_2_recta"].count() == 3000
     assert written["calidad_poblacion"].collect()[0].non_numeric_rows == 6
     assert load_model(spark, str(tmp_path / "model"))["Poblacion"].count() == 4

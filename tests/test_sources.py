@@ -91,7 +91,7 @@ def test_workbook_ingest(spark, tmp_path, shared):
 
 def test_sheet_columns(spark, tmp_path):
     write_workbook(tmp_path / "p.xlsx", [["x"], [None, "AREA", "Uno"], [None, "NaN", 5], [""]])
-    sheet = read_workbooks(spark, str(tmp_path), skip_rows=1, header=False)
+    sheet = read_workbooks(spark, str(tmp_path / "p.xlsx"), skip_rows=1, header=False)
     cells = sheet_columns(sheet, {"B": "Edad", "C": "Casos"}).orderBy("row_no")
     assert [tuple(r)[1:] for r in cells.collect()] == [(2, "AREA", "Uno"), (3, None, "5")]
 

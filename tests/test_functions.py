@@ -1,3 +1,5 @@
+import duckdb
+import pandas as pd
 from pyspark.sql import functions as F
 
 from terrastat.functions import (
@@ -57,6 +59,27 @@ def test_trim_strips_unicode_spaces_but_not_tabs(spark):
     ]
 
 
+def test_trim_strips_what_sql_trim_strips(spark):
+    candidates = [chr(i) for i in [*range(1, 0x21), 0x85, 0xA0, 0x1680, 0x180E,
+                                   *range(0x2000, 0x2070), 0x3000, 0xFEFF]]
+    con = duckdb.connect()
+    expected = [con.execute("SELECT trim(?)", [c + "x" + c]).fetchall()[0][0] for c in candidates]
+    df = spark.createDataFrame([(i, c + "x" + c) for i, c in enumerate(candidates)],
+                               "i int, v string")
+    got = df.select("i", trim_unicode(F.col("v")).alias("t")).orderBy("i").collect()
+    assert [r.t for r in got] == expected
+
+
+def test_numbers_are_what_a_numeric_column_accepts(spark):
+    cells = ["1", "-1", "+1", " 5 ", "5.", ".5", "1E3", "1e+3", "1e-3", "e3", "1e", "1_000",
+             "1,000", "0x10", "1d", "1f", "inf", "-Infinity", "iNf", "nan", "", "  ", "1 2",
+             "\t5\n", "1.2.3", "--1", "\u0663", "True", "-", ".", "0005", "1L", "5%"]
+    expected = pd.to_numeric(pd.Series(cells, dtype=object), errors="coerce")
+    df = spark.createDataFrame(list(enumerate(cells)), "i int, v string")
+    got = df.select("i", to_number(F.col("v")).alias("n")).orderBy("i").collect()
+    assert [r.n for r in got] == [None if pd.isna(n) else n for n in expected]
+
+
 def test_location_codes(spark):
     cases = [
         ("6028010", "CAPITAL", 6, 28, False),

@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 _BUCKET, _GROUP = "_bucket", "_group"
 
@@ -47,12 +47,25 @@ def _group_of(bits: int) -> Column:
     return F.shiftright(F.col(_BUCKET), bits)
 
 
-def _before(*order: str, within: Sequence[str] = ()):
+def _before(*order: str, within: Sequence[str] = ()) -> WindowSpec:
     """Frame of all rows strictly before the current one."""
     window = Window.partitionBy(*within) if within else Window
     return window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
 
 
+def _whole(*order: str, within: Sequence[str]) -> WindowSpec:
+    """Frame of all rows of the partition."""
+    return (
+        Window.partitionBy(*within)
+        .orderBy(*order)
+        .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    )
+
+
+def _first_of_group(keys: Sequence[str]) -> Column:
+    return F.row_number().over(Window.partitionBy(*keys, _GROUP).orderBy(_BUCKET)) == 1
+
+
 def dense_row_id(
     df: DataFrame,
     seq: str,
@@ -75,17 +88,20 @@ def dense_row_id(
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn(_GROUP, _group_of(group_bits))
     )
+    group = [*keys, _GROUP]
     group_starts = (
-        counts.groupBy(*keys, _GROUP)
-        .agg(F.sum("_n").alias("_n"))
-        .withColumn("_group_start", F.sum("_n").over(_before(*keys, _GROUP)))
-        .drop("_n")
+        counts.withColumns(
+            {
+                "_group_n": F.sum("_n").over(_whole(_BUCKET, within=group)),
+                "_first": _first_of_group(keys),
+            }
+        )
+        .where("_first")
+        .select(*group, F.sum("_group_n").over(_before(*group)).alias("_group_start"))
     )
     starts = (
-        counts.withColumn(
-            "_bucket_start", F.sum("_n").over(_before(_BUCKET, within=[*keys, _GROUP]))
-        )
-        .join(group_starts, [*keys, _GROUP])
+        counts.withColumn("_bucket_start", F.sum("_n").over(_before(_BUCKET, within=group)))
+        .join(group_starts, group)
         .select(
             *keys,
             _BUCKET,
@@ -132,30 +148,29 @@ def forward_fill(
         .join(last_values, [*keys, _BUCKET], "left")
         .withColumn(_GROUP, _group_of(group_bits))
     )
-    group_marks = marks.groupBy(*keys, _GROUP).agg(
-        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(_BUCKET))).alias(c) for c in columns]
-    )
-    from_groups = group_marks.select(
-        *keys,
-        _GROUP,
-        *[
-            F.last(c, ignorenulls=True).over(_before(_GROUP, within=keys)).alias(f"_group_{c}")
-            for c in columns
-        ],
-    )
-    above = (
-        marks.select(
-            *keys,
-            _BUCKET,
-            _GROUP,
+    group = [*keys, _GROUP]
+    whole_group = _whole(_BUCKET, within=group)
+    before_group = _before(_GROUP, within=keys)
+    from_groups = (
+        marks.withColumns(
+            {f"_last_{c}": F.last(c, ignorenulls=True).over(whole_group) for c in columns}
+            | {"_first": _first_of_group(keys)}
+        )
+        .where("_first")
+        .select(
+            *group,
             *[
-                F.last(c, ignorenulls=True)
-                .over(_before(_BUCKET, within=[*keys, _GROUP]))
-                .alias(f"_near_{c}")
+                F.last(f"_last_{c}", ignorenulls=True).over(before_group).alias(f"_group_{c}")
                 for c in columns
             ],
         )
-        .join(from_groups, [*keys, _GROUP])
+    )
+    before_bucket = _before(_BUCKET, within=group)
+    above = (
+        marks.withColumns(
+            {f"_near_{c}": F.last(c, ignorenulls=True).over(before_bucket) for c in columns}
+        )
+        .join(from_groups, group)
         .select(
             *keys,
             _BUCKET,

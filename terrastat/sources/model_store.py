@@ -49,6 +49,8 @@ def save_model(
     """
     if fmt not in ("parquet", "csv"):
         raise ValueError(f"unknown format {fmt!r}")
+    if partition_by and fmt != "parquet":
+        raise ValueError("only parquet tables can be partitioned")
     for name, table in tables.items():
         table = table.select(
             *[table[f"`{f.name}`"].cast(f.dataType) for f in MODEL_SCHEMAS[name]]

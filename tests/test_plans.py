@@ -59,9 +59,9 @@ def test_fact_tables_are_scanned_once(spark, at_scale, name, column, scans):
 @pytest.mark.parametrize("operator", ["dense_row_id", "forward_fill"])
 def test_ordering_never_puts_rows_in_one_partition(spark, at_scale, operator):
     plan = _plan(contract.queries()[operator](spark, SF_DIR))
-    single = re.search(r"Exchange SinglePartition[^\n]*\n[^\n]*", plan)
+    single = re.search(r"Exchange SinglePartition[^\n]*\n[^\n]*\n[^\n]*", plan)
     assert plan.count("Exchange SinglePartition") == 1
-    assert re.search(r"Aggregate\(keys?=\[_group#", single[0])
+    assert re.search(r"Filter _first#|Project \[_group#", single[0])
     assert "ReusedExchange" in plan
 
 

@@ -152,6 +152,8 @@ def test_csv_reload_reads_missing_tokens(spark, tmp_path):
 def test_unknown_format_is_refused(tmp_path):
     with pytest.raises(ValueError):
         save_model({}, str(tmp_path), fmt="xml")
+    with pytest.raises(ValueError):
+        save_model({}, str(tmp_path), fmt="csv", partition_by={"Poblacion": ["id_prov"]})
 
 
 @pytest.mark.parametrize("named", [True, False])

@@ -89,6 +89,7 @@ def dense_row_id(
         .withColumn(_GROUP, _group_of(group_bits))
     )
     group = [*keys, _GROUP]
+    # Both uses of the summary keep its columns as they are, so that they share one shuffle.
     group_starts = (
         counts.withColumns(
             {

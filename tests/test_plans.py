@@ -65,6 +65,12 @@ def test_ordering_never_puts_rows_in_one_partition(spark, at_scale, operator):
     assert "ReusedExchange" in plan
 
 
+@pytest.mark.parametrize("operator, shuffles", [("dense_row_id", 6), ("forward_fill", 7)])
+def test_summaries_share_shuffles(spark, at_scale, operator, shuffles):
+    plan = _plan(contract.queries()[operator](spark, SF_DIR))
+    assert len(re.findall(r"- Exchange ", plan)) == shuffles
+
+
 @pytest.mark.parametrize("operator", ["dense_row_id", "forward_fill"])
 def test_wide_rows_are_shuffled_once(spark, at_scale, operator, tmp_path):
     path = str(tmp_path / "t")

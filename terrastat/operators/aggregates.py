@@ -34,6 +34,8 @@ def edge_by_region(region: str, groups: Mapping[int, Sequence[int]]) -> Column:
     regions = [r for members in groups.values() for r in members]
     if len(regions) != len(set(regions)):
         raise ValueError("a region is listed under two band edges")
+    if not groups:
+        return F.lit(None).cast("int")
     cases = " ".join(
         f"WHEN `{region}` IN ({', '.join(map(str, members))}) THEN {edge}"
         for edge, members in groups.items()

@@ -7,9 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import common, decontaminate, exact_dedup, language, sentences, simhash
+from . import common, decontaminate, exact_dedup, language, sentences, simhash, token_files
 
-#: Vocabulary file of a public tokenizer; a parameter of the operators.
+#: Vocabulary files of public tokenizers; parameters of the operators.
+BYTE_LEVEL = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
@@ -36,6 +37,12 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.digests(read(spark, sf_dir, "documents"), PIECES)
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    location = common.new_location(spark, "tokens")
+    index = token_files.write_tokens(read(spark, sf_dir, "documents"), location, BYTE_LEVEL, end_id=0)
+    return token_files.read_tokens(index, location)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents")
     held_out = fold("doc_id", 4) == 2
@@ -53,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_sentencepiece": op5_sentencepiece,
+    "op7_token_files": op7_token_files,
     "op8_language_id": op8_language_id,
     "op10_simhash": op10_simhash,
 }

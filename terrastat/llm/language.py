@@ -1,6 +1,7 @@
 """Language identification by nearest centroids.
 
-Texts become vectors of hashed byte n-grams, weighted by TF-IDF and normalised. Each language is
+Texts become vectors of hashed n-grams (of the UTF-8 bytes of their lower-cased letters, with one
+space for anything between), weighted by TF-IDF and normalised. Each language is
 described by several centroids, found by spherical k-means over its labelled texts; a text gets the
 language of the centroid with the largest cosine. Where even that cosine is below the rejection
 distance, the text is rejected.
@@ -43,12 +44,22 @@ class LanguageModel:
     least: float
 
 
+def letters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of letters (a-z and beyond ASCII) with one space where others stood, and the offsets."""
+    data = lower(data)
+    other = (data < 97) | ((data > 122) & (data < 128))
+    keep = np.ones(len(data), bool)
+    keep[1:] = ~(other[1:] & other[:-1])
+    position = np.flatnonzero(keep)
+    return np.where(other, np.uint8(32), data)[position], np.searchsorted(position, offsets)
+
+
 def counts(texts: pa.Array) -> np.ndarray:
-    """Hashed n-gram counts, a row for each text, over the whole text with A-Z lower-cased."""
-    data, offsets = flat(texts)
+    """Hashed n-gram counts over the letters of each whole text; a row for each text."""
+    data, offsets = letters(*flat(texts))
     n, k = len(offsets) - 1, FEATURES
     out = np.zeros(n * k, np.float32)
-    data = lower(data).astype(np.uint64)
+    data = data.astype(np.uint64)
     of = np.repeat(np.arange(n, dtype=np.int64), np.diff(offsets))
     code = np.zeros(len(data), np.uint64)
     for length in range(1, max(GRAMS) + 1):
@@ -128,7 +139,7 @@ def fit(
     Without such rows the model knows no language and rejects every text.
     """
     rows = df.select(
-        col(id_col).alias("doc_id"), col(text_col).cast("string").alias("text"), col(lang_col).cast("string").alias("lang"), learn.alias("learn")
+        col(id_col).alias("doc_id"), F.lower(col(text_col).cast("string")).alias("text"), col(lang_col).cast("string").alias("lang"), learn.alias("learn")
     ).filter("learn AND lang IS NOT NULL AND text RLIKE '\\\\p{L}'")
     frequency, texts = _document_frequencies(rows)
     idf = np.log((1 + texts) / (1 + frequency)).astype(np.float32) + np.float32(1)
@@ -184,9 +195,10 @@ def predict(df: DataFrame, model: LanguageModel, text_col: str = "text") -> Data
     looked at, all of it. The model's size is FEATURES x centroids x languages, whatever the data.
     """
     names = [fresh(df, name) for name in ("lang_pred", "score", "rejected")]
-    has_letter = fresh(df, "has_letter")
+    low, has_letter = fresh(df, "low"), fresh(df, "has_letter")
     shared = df.sparkSession.sparkContext.broadcast(model)
-    rows = df.withColumns({has_letter: F.coalesce(col(text_col).cast("string").rlike("\\p{L}"), F.lit(False))})
+    text = F.coalesce(col(text_col).cast("string"), F.lit(""))
+    rows = df.withColumns({low: F.lower(text), has_letter: text.rlike("\\p{L}")})
     schema = schema_of(df, "`{}` string, `{}` double, `{}` boolean".format(*names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,11 +206,10 @@ def predict(df: DataFrame, model: LanguageModel, text_col: str = "text") -> Data
         for batch in batches:
             if not batch.num_rows:
                 continue
-            texts = batch.column(text_col).cast(pa.string())
             lang = np.full(batch.num_rows, UNKNOWN, object)
             score = np.zeros(batch.num_rows)
             done = 0
-            for block in blocks(iter([pa.RecordBatch.from_arrays([texts], ["text"])])):
+            for block in blocks(iter([pa.RecordBatch.from_arrays([batch.column(low)], ["text"])])):
                 if len(m.languages):
                     cosine = vectors(counts(block.column("text")), m.idf) @ m.centroids.T
                     best = np.argmax(cosine, axis=1)
@@ -207,7 +218,7 @@ def predict(df: DataFrame, model: LanguageModel, text_col: str = "text") -> Data
                 done += block.num_rows
             known = np.asarray(batch.column(has_letter)) & (len(m.languages) > 0)
             lang[~known], score[~known] = UNKNOWN, 0.0
-            kept = [batch.column(i) for i in range(batch.num_columns - 1)]
+            kept = [batch.column(i) for i in range(batch.num_columns - 2)]
             yield pa.RecordBatch.from_arrays(
                 kept + [pa.array(lang, pa.string()), pa.array(score), pa.array(~known | (score < m.least))], schema.names
             )

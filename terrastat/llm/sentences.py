@@ -23,12 +23,10 @@ import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from .common import col, pieces, ranges, schema_of, texts_of
+from .chunks import TABLE_ROWS, ChunkTable
+from .common import col, pieces, schema_of, texts_of
 
 MARK = "▁"
-#: Chunks that a task's table holds before it is begun anew.
-TABLE_ROWS = 400_000
-
 
 @lru_cache(maxsize=4)
 def processor(model: str) -> sentencepiece.SentencePieceProcessor:
@@ -74,49 +72,17 @@ def chunks_of(text: str) -> list[str]:
     return chunks
 
 
-class ChunkTable:
-    """Distinct chunks and their ids, for one task."""
-
-    def __init__(self, model: str, table_rows: int = TABLE_ROWS):
-        self.sp, self.limit = processor(model), table_rows
-        #: The library has no input for a marker alone; its id is that of the piece.
-        self._alone = [self.sp.piece_to_id(MARK)]
-        self._clear()
-
-    def _clear(self) -> None:
-        self.rows: dict[str, int] = {}
-        self.ids, self.used = np.empty(1 << 16, np.int32), 0
-        self.begins, self.lengths = np.empty(0, np.int64), np.empty(0, np.int64)
+def _table(model: str, limit: int) -> ChunkTable:
+    sp = processor(model)
+    alone = [sp.piece_to_id(MARK)]  # a marker alone: the library has no input for it
 
-    def _add(self, chunks: list[str]) -> None:
-        found = self.sp.encode(chunks, num_threads=1)
+    def segment(chunks: list[str]) -> list[list[int]]:
+        found = sp.encode(chunks, num_threads=1)
         if "" in chunks:
-            found[chunks.index("")] = self._alone
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        total = int(lengths.sum())
-        if self.used + total > len(self.ids):
-            self.ids = np.concatenate([self.ids[: self.used], np.empty(total + len(self.ids), np.int32)])
-        self.ids[self.used : self.used + total] = [i for ids in found for i in ids]
-        self.begins = np.concatenate([self.begins, self.used + np.cumsum(lengths) - lengths])
-        self.lengths = np.concatenate([self.lengths, lengths])
-        self.used += total
-        self.rows.update(zip(chunks, range(len(self.rows), len(self.rows) + len(chunks))))
-
-    def encode(self, chunks: pa.Array, per_text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts in a row, and how many each has, from their chunks in a row."""
-        if len(self.rows) > self.limit:
-            self._clear()
-        coded = chunks.dictionary_encode()
-        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        if new := [name for name in names if name not in self.rows]:
-            self._add(new)
-        rows = np.fromiter(map(self.rows.__getitem__, names), np.int64, len(names))
-        position = rows[np.asarray(coded.indices)]
-        lengths = self.lengths[position]
-        ids = self.ids[ranges(self.begins[position], lengths)]
-        upto = np.concatenate([[0], np.cumsum(lengths)])
-        ends = np.cumsum(per_text)
-        return ids, upto[ends] - upto[ends - per_text]
+            found[chunks.index("")] = alone
+        return found
+
+    return ChunkTable(segment, limit)
 
 
 def encoded(batches: Iterator[pa.RecordBatch], model: str, bounds: bool = True, table_rows: int = TABLE_ROWS) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
@@ -124,7 +90,7 @@ def encoded(batches: Iterator[pa.RecordBatch], model: str, bounds: bool = True,
     sp = processor(model)
     head = np.array([sp.bos_id()] if bounds and sp.bos_id() >= 0 else [], np.int32)
     tail = np.array([sp.eos_id()] if bounds and sp.eos_id() >= 0 else [], np.int32)
-    table = ChunkTable(model, table_rows) if separable(model) else None
+    table = _table(model, table_rows) if separable(model) else None
     for batch in pieces(batches):
         texts = batch.column("text")
         if table:
@@ -140,7 +106,10 @@ def encoded(batches: Iterator[pa.RecordBatch], model: str, bounds: bool = True,
             else:
                 split = pc.split_pattern(texts, " ")
                 per_text, chunks = np.asarray(pc.list_value_length(split), dtype=np.int64), split.flatten()
-            ids, lengths = table.encode(chunks, per_text)
+            table.begin()
+            coded = chunks.dictionary_encode()
+            rows = table.find(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+            ids, lengths = table.join(rows[np.asarray(coded.indices)], per_text)
             ends = np.cumsum(lengths)
             each = [ids[end - length : end] for end, length in zip(ends.tolist(), lengths.tolist())]
         else:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import common, decontaminate, exact_dedup, language, sentences, simhash, token_files
+from . import common, decontaminate, exact_dedup, language, sentences, simhash, token_files, warc
 
 #: Vocabulary files of public tokenizers; parameters of the operators.
 BYTE_LEVEL = public_tokenizers.path("byte_bpe_50k.json")
@@ -24,6 +24,14 @@ def fold(id_col: str, folds: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % folds
 
 
+def op1_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    location = common.new_location(spark, "warc")
+    index = warc.write_bundles(read(spark, sf_dir, "pages"), location, least_bytes=0)
+    return warc.read_bundles(index, location).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places of benchmark items in the documents."""
     return decontaminate.find_items(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("row_key")
@@ -57,6 +65,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_bundles": op1_warc_bundles,
     "op3_decontaminate": op3_decontaminate,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_sentencepiece": op5_sentencepiece,
@@ -65,7 +74,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash": op10_simhash,
 }
 
+#: A digit of base 32 is five bits of the digest, written as 0 and 1.
+_BASE32 = """
+    list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1
+        + 16 * CAST(substr(bits, 5 * i + 1, 1) AS BIGINT) + 8 * CAST(substr(bits, 5 * i + 2, 1) AS BIGINT)
+        + 4 * CAST(substr(bits, 5 * i + 3, 1) AS BIGINT) + 2 * CAST(substr(bits, 5 * i + 4, 1) AS BIGINT)
+        + CAST(substr(bits, 5 * i + 5, 1) AS BIGINT) AS BIGINT), 1)), 'string_agg', '')
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_warc_bundles": f"""
+        WITH payloads AS (
+            SELECT page_id, coalesce(html, '') AS payload,
+                   min(page_id) OVER (PARTITION BY coalesce(html, '')) AS owner
+            FROM pages
+        ), digests AS (
+            SELECT *, CAST(CAST(unhex(sha1(payload)) AS BIT) AS VARCHAR) AS bits FROM payloads
+        )
+        SELECT page_id, octet_length(encode(payload)) AS payload_bytes, {_BASE32} AS payload_digest,
+               CASE WHEN page_id = owner THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> owner THEN owner END AS refers_to
+        FROM digests
+    """,
     "op4_exact_dedup": r"""
         WITH normal AS (
             SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents

@@ -26,7 +26,7 @@ def new_name(part: int, suffix: str) -> str:
 def create(location: str, name: str) -> pa.NativeFile:
     where, path = store(location)
     where.create_dir(path, recursive=True)
-    return where.open_output_stream(f"{path}/{name}")
+    return where.open_output_stream(f"{path}/{name}", compression=None)
 
 
 def open_mapped(location: str) -> pa.NativeFile:

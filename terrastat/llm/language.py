@@ -24,13 +24,13 @@ from .common import col, flat, fresh, lower, mix, pieces, schema_of
 
 UNKNOWN = "und"
 #: n-gram lengths in bytes, and the number of hashed features (a power of two).
-GRAMS = (1, 2, 3, 4)
+GRAMS = (1, 2, 3)
 FEATURES = 1 << 13
 CENTROIDS = 4
 SAMPLE_ROWS = 4_000
 #: A text is rejected if its best cosine is below this share of the least that the sample shows.
 REJECT_SHARE = 0.5
-#: Texts in one dense block of vectors.
+#: Texts in one block of vectors.
 BLOCK = 256
 
 
@@ -54,30 +54,46 @@ def letters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.where(other, np.uint8(32), data)[position], np.searchsorted(position, offsets)
 
 
-def counts(texts: pa.Array) -> np.ndarray:
-    """Hashed n-gram counts over the letters of each whole text; a row for each text."""
+def counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashed n-gram counts over the letters of each whole text: text, feature, count, by text."""
     data, offsets = letters(*flat(texts))
-    n, k = len(offsets) - 1, FEATURES
-    out = np.zeros(n * k, np.float32)
     data = data.astype(np.uint64)
-    of = np.repeat(np.arange(n, dtype=np.int64), np.diff(offsets))
-    code = np.zeros(len(data), np.uint64)
-    for length in range(1, max(GRAMS) + 1):
-        if len(data) < length:
-            break
+    of = np.repeat(np.arange(len(offsets) - 1, dtype=np.int64), np.diff(offsets))
+    code, found = np.zeros(len(data), np.uint64), [np.empty(0, np.int64)]
+    for length in range(1, min(max(GRAMS), len(data)) + 1):
         code = code[: len(data) - length + 1] | data[length - 1 :] << np.uint64(8 * (length - 1))
         if length in GRAMS:
             whole = of[: len(code)] == of[length - 1 :]
-            feature = (mix(code + np.uint64(length << 56)) >> np.uint64(20)).astype(np.int64) & (k - 1)
-            out += np.bincount((of[: len(code)] * k + feature)[whole], minlength=n * k).astype(np.float32)
-    return out.reshape(n, k)
+            feature = (mix(code + np.uint64(length << 56)) >> np.uint64(20)).astype(np.int64) & (FEATURES - 1)
+            found.append((of[: len(code)] * FEATURES + feature)[whole])
+    count = np.bincount(np.concatenate(found), minlength=1)
+    place = np.flatnonzero(count)
+    return place // FEATURES, place % FEATURES, count[place]
+
+
+def weights(texts: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unit TF-IDF vectors, with damped counts: text, feature, weight. A text may have none."""
+    text, feature, count = counts(texts)
+    weight = np.log1p(count).astype(np.float32) * idf[feature]
+    norm = np.sqrt(np.bincount(text, weight * weight, minlength=1))
+    return text, feature, (weight / norm[text]).astype(np.float32)
+
+
+def cosines(texts: pa.Array, idf: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """The cosine of each text with each centroid; zero for a text without n-grams."""
+    text, feature, weight = weights(texts, idf)
+    out = np.zeros((len(texts), len(centroids)), np.float32)
+    if len(text):
+        begins = np.flatnonzero(np.diff(text, prepend=-1))
+        out[text[begins]] = np.add.reduceat(centroids.T[feature] * weight[:, None], begins, axis=0)
+    return out
 
 
-def vectors(count: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """Unit TF-IDF rows, with damped counts; a text without n-grams stays zero."""
-    weighted = np.log1p(count) * idf
-    norm = np.sqrt(np.einsum("ij,ij->i", weighted, weighted))
-    return weighted / np.where(norm > 0, norm, 1)[:, None]
+def dense(texts: pa.Array, idf: np.ndarray) -> np.ndarray:
+    text, feature, weight = weights(texts, idf)
+    out = np.zeros((len(texts), FEATURES), np.float32)
+    out[text, feature] = weight
+    return out
 
 
 def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,7 +108,7 @@ def _document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, texts = np.zeros(FEATURES, np.int64), 0
         for batch in blocks(batches):
-            total += (counts(batch.column("text")) > 0).sum(axis=0)
+            total += np.bincount(counts(batch.column("text"))[1], minlength=FEATURES)
             texts += batch.num_rows
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.arange(FEATURES + 1)), pa.array(np.append(total, texts))], ["feature", "texts"]
@@ -163,7 +179,7 @@ def fit(
 
     def centres(table: pa.Table) -> pa.Table:
         batches = (b for b in table.select(["text"]).to_batches())
-        found = np.concatenate([vectors(counts(b.column("text")), idf) for b in blocks(batches)])
+        found = np.concatenate([dense(b.column("text"), idf) for b in blocks(batches)])
         means = spherical_means(found, centroids)
         least = float((found @ means.T).max(axis=1).min())
         return pa.table(
@@ -211,7 +227,7 @@ def predict(df: DataFrame, model: LanguageModel, text_col: str = "text") -> Data
             done = 0
             for block in blocks(iter([pa.RecordBatch.from_arrays([batch.column(low)], ["text"])])):
                 if len(m.languages):
-                    cosine = vectors(counts(block.column("text")), m.idf) @ m.centroids.T
+                    cosine = cosines(block.column("text"), m.idf, m.centroids)
                     best = np.argmax(cosine, axis=1)
                     lang[done : done + block.num_rows] = np.array(m.languages, object)[best]
                     score[done : done + block.num_rows] = np.clip(cosine[np.arange(len(best)), best], 0, 1)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import common, decontaminate, exact_dedup, language, sentences, simhash, token_files, warc
+from . import common, decontaminate, exact_dedup, language, sentences, shards, simhash, token_files, warc
 
 #: Vocabulary files of public tokenizers; parameters of the operators.
 BYTE_LEVEL = public_tokenizers.path("byte_bpe_50k.json")
@@ -45,6 +45,10 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.digests(read(spark, sf_dir, "documents"), PIECES)
 
 
+def op6_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.kd_shards(read(spark, sf_dir, "documents"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     location = common.new_location(spark, "tokens")
     index = token_files.write_tokens(read(spark, sf_dir, "documents"), location, BYTE_LEVEL, end_id=0)
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_sentencepiece": op5_sentencepiece,
+    "op6_kd_shards": op6_kd_shards,
     "op7_token_files": op7_token_files,
     "op8_language_id": op8_language_id,
     "op10_simhash": op10_simhash,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import common, decontaminate, exact_dedup, language, sentences, shards, simhash, token_files, warc
+from . import common, decontaminate, exact_dedup, language, language_model, sentences, shards, simhash, token_files, warc
 
 #: Vocabulary files of public tokenizers; parameters of the operators.
 BYTE_LEVEL = public_tokenizers.path("byte_bpe_50k.json")
@@ -64,6 +64,13 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = language_model.score_texts(read(spark, sf_dir, "documents"), fold("doc_id", 10) != 0)
+    return scored.select(
+        "doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(read(spark, sf_dir, "documents"))
 
@@ -76,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_kd_shards": op6_kd_shards,
     "op7_token_files": op7_token_files,
     "op8_language_id": op8_language_id,
+    "op9_language_model": op9_language_model,
     "op10_simhash": op10_simhash,
 }
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import common, decontaminate, exact_dedup, language, language_model, sentences, shards, simhash, token_files, warc
+from . import common, decontaminate, exact_dedup, language, language_model, passages, sentences, shards, simhash, token_files, warc
 
 #: Vocabulary files of public tokenizers; parameters of the operators.
 BYTE_LEVEL = public_tokenizers.path("byte_bpe_50k.json")
@@ -32,6 +32,10 @@ def op1_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(read(spark, sf_dir, "documents"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places of benchmark items in the documents."""
     return decontaminate.find_items(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("row_key")
@@ -77,6 +81,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_bundles": op1_warc_bundles,
+    "op2_passages": op2_passages,
     "op3_decontaminate": op3_decontaminate,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_sentencepiece": op5_sentencepiece,

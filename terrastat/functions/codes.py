@@ -1,13 +1,12 @@
 """Decoding of location codes whose parts are glued together.
 
 All parts are cut by position from the code's text and converted with ``try_cast``: a bad code
-yields NULL parts and is reported by :func:`is_location_reject` instead of aborting the job.
+yields NULL parts and is reported by :func:`is_location_reject` or :func:`is_glued_key_reject`
+instead of aborting the job.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-
 from pyspark.sql import Column, functions as F
 
 AREA_PREFIX = "AREA # "
@@ -46,27 +45,14 @@ def is_location_reject(code: Column) -> Column:
     return ~F.coalesce(code.rlike(r"^[0-9]{7,8}$"), F.lit(False))
 
 
+def is_glued_key_reject(key: Column) -> Column:
+    """TRUE when the key is missing or is not made of 4 or 5 digits."""
+    return ~F.coalesce(key.rlike(r"^[0-9]{4,5}$"), F.lit(False))
+
+
 def split_glued_key(key: Column) -> tuple[Column, Column]:
     """(province, department) of a key of 1+3 digits when 4 long, of 2+3 digits otherwise."""
     short = F.length(key) == 4
     province = F.when(short, _digits(key, 1, 1)).otherwise(_digits(key, 1, 2))
     department = F.when(short, _digits(key, 2, 4)).otherwise(_digits(key, 3, 5))
     return province, department
-
-
-def remap(
-    region: Column, area: Column, moved: Mapping[tuple[int, int], int]
-) -> Column:
-    """``area`` with the (region, area) pairs in ``moved`` replaced by their new number.
-
-    ``moved`` is configuration and becomes a CASE expression; past a few hundred pairs use
-    :func:`terrastat.operators.joins.remap_by_table`.
-    """
-    if len(moved) > 500:
-        raise ValueError("too many pairs for an expression; use operators.remap_by_table")
-    result = area
-    for (old_region, old_area), new_area in moved.items():
-        result = F.when(
-            (region == old_region) & (area == old_area), F.lit(new_area)
-        ).otherwise(result)
-    return result

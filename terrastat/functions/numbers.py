@@ -14,6 +14,18 @@ def is_number(text: Column) -> Column:
     return F.coalesce(text.rlike(_NUMBER), F.lit(False))
 
 
+def to_whole(text: Column, kind: str) -> Column:
+    """The cell as a whole number; ``12.0`` counts as 12, anything else with a fraction is NULL."""
+    number = to_number(text)
+    whole = F.when(number == F.floor(number), number).try_cast(kind)
+    return F.coalesce(F.trim(text).try_cast(kind), whole)
+
+
+def is_missing(value: Column) -> Column:
+    """TRUE for NULL and for NaN, which both mean that there is no value."""
+    return value.isNull() | F.isnan(value.cast("double"))
+
+
 def to_number(text: Column) -> Column:
     """The cell as a double, NULL when it is not a number."""
     return F.when(is_number(text), F.trim(text).try_cast("double"))

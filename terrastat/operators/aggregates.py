@@ -108,8 +108,9 @@ def count_rows(df: DataFrame, by: Sequence[str], name: str) -> DataFrame:
 def count_above(
     df: DataFrame, by: Sequence[str], *, value: str, threshold: float, name: str
 ) -> DataFrame:
-    """Rows per key with ``value`` above the threshold; NULL is not above."""
-    return count_rows(df.where(F.col(value) > threshold), by, name)
+    """Rows per key with ``value`` above the threshold; NULL and NaN are not above."""
+    high = df.where(F.col(value) > threshold).where(~F.isnan(F.col(value).cast("double")))
+    return count_rows(high, by, name)
 
 
 def _with_totals(

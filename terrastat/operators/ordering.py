@@ -1,8 +1,8 @@
 """Operators that depend on row order, without a task that sees all rows.
 
 Every operator takes ``seq``, a bigint column that gives each row's position. It must be unique
-within one document (``keys``, never NULL, identify the document; with no keys the table is one
-document).
+within one document (``keys`` identify the document; with no keys the table is one document). A
+NULL in either fails the job: such a row has no place, and an equi-join would lose it silently.
 
 A window over the whole document would put it in one task. Instead positions are cut into
 buckets of ``2**bucket_bits`` consecutive values, so a bucket never holds more rows than that,
@@ -17,11 +17,11 @@ by, so the wide rows are shuffled exactly once.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
-from operator import or_
+from operator import add, or_
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F, types as T
 
 _BUCKET, _GROUP = "_bucket", "_group"
 
@@ -31,16 +31,29 @@ BUCKET_BITS = 16
 GROUP_BITS = 20
 
 
-def _named(names: Sequence[str]) -> list[Column]:
-    """Columns by their exact names, dots and spaces included."""
-    return [F.col(f"`{name}`") for name in names]
+class _Plain:
+    """``df`` with plain names (c0, c1, ...), so that dots and spaces need no care inside."""
 
+    def __init__(self, df: DataFrame, seq: str, keys: Sequence[str]):
+        self.names = list(df.columns)
+        self.of = {name: f"c{i}" for i, name in enumerate(self.names)}
+        self.seq, self.keys = self.of[seq], [self.of[k] for k in keys]
+        # A filter that the planner derives for a join evaluates the check as well.
+        error = F.raise_error(F.lit("no position or no document: sequence and keys must not be NULL"))
+        placed = {c: F.coalesce(F.col(c), error) for c in [self.seq, *self.keys]}
+        self.df = df.toDF(*self.of.values()).withColumns(placed)
 
-def _with_bucket(df: DataFrame, seq: str, bits: int) -> DataFrame:
+    def back(self, columns: Mapping[str, Column] | None = None) -> list[Column]:
+        """All columns under their own names, some of them replaced."""
+        columns = columns or {}
+        return [columns.get(c, F.col(c)).alias(n) for n, c in self.of.items()]
+
+
+def _with_bucket(plain: _Plain, bits: int) -> DataFrame:
     # The coalesce tells the planner that buckets are never NULL. Without it each join below adds
     # its own IS NOT NULL to one of the summaries, which then no longer share one shuffle.
-    position = F.coalesce(F.col(seq).cast("bigint"), F.lit(0))
-    return df.withColumn(_BUCKET, F.shiftright(position, bits))
+    position = F.coalesce(F.col(plain.seq).cast("bigint"), F.lit(0))
+    return plain.df.withColumn(_BUCKET, F.shiftright(position, bits))
 
 
 def _group_of(bits: int) -> Column:
@@ -66,6 +79,38 @@ def _first_of_group(keys: Sequence[str]) -> Column:
     return F.row_number().over(Window.partitionBy(*keys, _GROUP).orderBy(_BUCKET)) == 1
 
 
+def _running_total(rows: DataFrame, key: str, amount: str, name: str) -> DataFrame:
+    """``rows`` (one for each ``key``, a bigint) and the sum of ``amount`` over all smaller keys.
+
+    The sums of 2^16 keys, 2^32 keys and 2^48 keys are added up separately, so that no window sees
+    more than 2^16 rows, whatever the keys.
+    """
+    steps = (16, 32, 48, 64)
+    totals, out = rows.select(F.col(key).alias("_k"), F.col(amount).alias("_m")), rows
+    before = []
+    for i, step in enumerate(steps):
+        own = F.col("_k") if i == 0 else F.shiftright("_k", steps[i - 1])
+        parent = F.shiftright("_k", step) if step < 64 else None
+        level = totals.groupBy(own.alias("_own"), *([parent.alias("_parent")] if parent is not None else [])).agg(
+            F.sum("_m").alias("_sum")
+        )
+        window = _before("_own", within=["_parent"] if parent is not None else [])
+        level = level.select(F.col("_own").alias(f"_own{i}"), F.coalesce(F.sum("_sum").over(window), F.lit(0)).alias(f"_before{i}"))
+        out = out.withColumn(f"_own{i}", F.col(key) if i == 0 else F.shiftright(key, steps[i - 1])).join(level, f"_own{i}")
+        before.append(F.col(f"_before{i}"))
+    return out.select(*[F.col(c) for c in rows.columns], reduce(add, before).alias(name))
+
+
+def _document_starts(documents: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, _document_start) from (keys, _documents_n): rows of all documents that come before."""
+    if len(keys) == 1 and isinstance(documents.schema[keys[0]].dataType, T.IntegralType):
+        wide = documents.withColumn("_key", F.col(keys[0]).cast("bigint"))
+        return _running_total(wide, "_key", "_documents_n", "_document_start").drop("_key", "_documents_n")
+    # Documents with other names are files or the like: a list that the driver holds already.
+    start = F.coalesce(F.sum("_documents_n").over(_before(*keys)), F.lit(0))
+    return documents.withColumn("_document_start", start).drop("_documents_n")
+
+
 def dense_row_id(
     df: DataFrame,
     seq: str,
@@ -77,11 +122,13 @@ def dense_row_id(
 ) -> DataFrame:
     """Number the rows 1..n in (keys, seq) order; the id is the first column of the result.
 
-    The one window without a partition runs over a row per document and group of buckets: for
-    files, fewer rows than Spark's driver already lists.
+    Without keys the one window without a partition runs over a row for each group of buckets. With
+    one whole-number key, documents may be as many as rows: their starts are added up in steps of
+    2^16 keys. Any other key must name documents like files, a list that one task can hold.
     """
-    keys = list(keys)
-    rows = _with_bucket(df, seq, bucket_bits)
+    plain = _Plain(df, seq, keys)
+    keys = plain.keys
+    rows = _with_bucket(plain, bucket_bits)
 
     counts = (
         rows.groupBy(*keys, _BUCKET)
@@ -90,7 +137,7 @@ def dense_row_id(
     )
     group = [*keys, _GROUP]
     # Both uses of the summary keep its columns as they are, so that they share one shuffle.
-    group_starts = (
+    first_of_group = (
         counts.withColumns(
             {
                 "_group_n": F.sum("_n").over(_whole(_BUCKET, within=group)),
@@ -98,11 +145,11 @@ def dense_row_id(
             }
         )
         .where("_first")
-        .select(*group, F.sum("_group_n").over(_before(*group)).alias("_group_start"))
+        .select(*group, F.sum("_group_n").over(_before(_GROUP, within=keys)).alias("_group_start"))
     )
     starts = (
         counts.withColumn("_bucket_start", F.sum("_n").over(_before(_BUCKET, within=group)))
-        .join(group_starts, group)
+        .join(first_of_group, group)
         .select(
             *keys,
             _BUCKET,
@@ -111,12 +158,17 @@ def dense_row_id(
             ).alias("_start"),
         )
     )
+    if keys:
+        documents = counts.groupBy(*keys).agg(F.sum("_n").alias("_documents_n"))
+        starts = starts.join(_document_starts(documents, keys), keys).select(
+            *keys, _BUCKET, (F.col("_start") + F.col("_document_start")).alias("_start")
+        )
 
     numbered = rows.withColumn(
-        "_rank", F.row_number().over(Window.partitionBy(*keys, _BUCKET).orderBy(seq))
+        "_rank", F.row_number().over(Window.partitionBy(*keys, _BUCKET).orderBy(plain.seq))
     )
     return numbered.join(starts, [*keys, _BUCKET]).select(
-        (F.col("_start") + F.col("_rank")).cast("bigint").alias(id_col), *_named(df.columns)
+        (F.col("_start") + F.col("_rank")).cast("bigint").alias(id_col), *plain.back()
     )
 
 
@@ -133,8 +185,9 @@ def forward_fill(
 
     Rows above the first value keep NULL. Each column is filled on its own.
     """
-    keys, columns = list(keys), list(columns)
-    rows = _with_bucket(df, seq, bucket_bits)
+    plain = _Plain(df, seq, keys)
+    seq, keys, columns = plain.seq, plain.keys, [plain.of[c] for c in columns]
+    rows = _with_bucket(plain, bucket_bits)
 
     # Only rows that carry a value (usually few: section headers) reach the max_by, which has to
     # sort its input when the values are strings.
@@ -186,10 +239,7 @@ def forward_fill(
     )
     filled = rows.withColumns({c: F.last(c, ignorenulls=True).over(inside) for c in columns})
     return filled.join(above, [*keys, _BUCKET]).select(
-        *[
-            F.coalesce(c, f"_above_{c}").alias(c) if c in columns else _named([c])[0]
-            for c in df.columns
-        ]
+        *plain.back({c: F.coalesce(c, f"_above_{c}") for c in columns})
     )
 
 
@@ -204,21 +254,22 @@ def truncate_at_sentinel(
     """Keep the rows above the first sentinel row; all of them where there is none.
 
     For the table as one document the position of the cut is a scalar subquery and the rows are
-    only filtered. With ``keys`` each bucket is told its document's cut: a join by document alone
-    would bring all rows of a large one to one task.
+    only filtered. With ``keys`` the cut of each document is a grouped minimum, and each of its
+    buckets is told it: a join of the rows by document alone would bring all of a large one to one
+    task.
     """
+    marked = df.withColumn("_is_sentinel", is_sentinel)
+    plain = _Plain(marked, seq, keys)
+    sentinel, seq, keys = F.col(plain.of.pop("_is_sentinel")), plain.seq, plain.keys
     if not keys:
-        first = df.where(is_sentinel).agg(F.min(seq)).scalar()
-        return df.where(F.col(seq) <= F.coalesce(first - 1, F.lit(_MAX_SEQ)))
-    keys = list(keys)
-    rows = _with_bucket(df, seq, bucket_bits)
-    cuts = (
-        rows.groupBy(*keys, _BUCKET)
-        .agg(F.min(F.when(is_sentinel, F.col(seq))).alias("_cut"))
-        .withColumn("_cut", F.min("_cut").over(Window.partitionBy(*keys)))
-    )
+        first = plain.df.where(sentinel).agg(F.min(seq)).scalar()
+        kept = plain.df.where(F.col(seq) <= F.coalesce(first - 1, F.lit(_MAX_SEQ)))
+        return kept.select(*plain.back())
+    rows = _with_bucket(plain, bucket_bits)
+    cuts = rows.where(sentinel).groupBy(*keys).agg(F.min(seq).alias("_cut"))
+    told = rows.select(*keys, _BUCKET).distinct().join(cuts, keys, "left")
     return (
-        rows.join(cuts, [*keys, _BUCKET])
+        rows.join(told, [*keys, _BUCKET])
         .where(F.col("_cut").isNull() | (F.col(seq) < F.col("_cut")))
-        .select(*_named(df.columns))
+        .select(*plain.back())
     )

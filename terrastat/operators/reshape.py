@@ -7,6 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+_MASK_BITS = 63
+
+
 def is_set(flag: str) -> Column:
     """A flag cell counts only when its text is exactly ``'1'``."""
     return F.col(flag) == "1"
@@ -15,26 +18,38 @@ def is_set(flag: str) -> Column:
 def unpivot_flags(
     df: DataFrame, key: str, flags: Mapping[str, int], *, type_col: str
 ) -> DataFrame:
-    """Distinct (key, type) pairs, one for each flag column that is set on any row of the key.
+    """Distinct (key, type) pairs, one for each type with a flag column set on any row of the key.
 
-    One scan and one shuffle of one bigint per key: the flags of a row become a bit mask, masks
-    are OR-ed per key (combined on the map side), and the surviving bits are exploded. The result
-    stays partitioned by ``key``, which a following join on the key can use.
+    One scan and one shuffle of a few bigints per key: the types of a row become bits of as many
+    masks as are needed (63 types each), masks are OR-ed per key (combined on the map side), and the
+    surviving bits are exploded. Flag columns of one type share its bit. The result stays
+    partitioned by ``key``, which a following join on the key can use.
     """
-    if len(flags) > 63:
-        raise ValueError("at most 63 flag columns fit the bit mask")
-    mask = " | ".join(
-        f"IF(`{flag}` = '1', {1 << bit}L, 0L)" for bit, flag in enumerate(flags)
-    )
+    by_type: dict[int, list[str]] = {}
+    for flag, type_id in flags.items():
+        by_type.setdefault(type_id, []).append(f"`{flag}` = '1'")
+    places = {type_id: divmod(i, _MASK_BITS) for i, type_id in enumerate(by_type)}
+    masks = range(-(-len(by_type) // _MASK_BITS))
+    if not masks:
+        raise ValueError("no flag columns")
+    bits = [
+        " | ".join(
+            f"IF({' OR '.join(by_type[t])}, {1 << bit}L, 0L)"
+            for t, (mask, bit) in places.items()
+            if mask == m
+        )
+        for m in masks
+    ]
     types = ", ".join(
-        f"IF(_mask & {1 << bit}L <> 0, {type_id}, NULL)"
-        for bit, type_id in enumerate(flags.values())
+        f"IF(_mask{mask} & {1 << bit}L <> 0, {t}, NULL)" for t, (mask, bit) in places.items()
     )
     return (
-        df.groupBy(key)
-        .agg(F.expr(f"bit_or({mask})").alias("_mask"))
-        .where("_mask <> 0")
-        .select(key, F.expr(f"explode(array_compact(array({types})))").alias(type_col))
+        df.groupBy(F.col(f"`{key}`"))
+        .agg(*[F.expr(f"bit_or({bits[m]})").alias(f"_mask{m}") for m in masks])
+        .where(" OR ".join(f"_mask{m} <> 0" for m in masks))
+        .select(
+            F.col(f"`{key}`"), F.expr(f"explode(array_compact(array({types})))").alias(type_col)
+        )
     )
 
 

@@ -9,15 +9,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import (
     email_domain,
     first_email,
+    is_glued_key_reject,
     is_location_reject,
     location_department,
     location_province,
-    remap,
     split_glued_key,
     to_number,
 )
 from ..operators import aggregates, ordering, quality, reports as report_ops, reshape, stats
-from ..operators.joins import lookup
+from ..operators.joins import lookup, remap
 from ..sources import MODEL_SCHEMAS, literal_table
 from . import reports, study
 from .standins import CITY, CITY_LABEL, FLAGS, LAST_PRIMARY_AGE, StandIns
@@ -45,6 +45,13 @@ def dense_row_id(t: StandIns) -> DataFrame:
     return ordering.dense_row_id(t.table("orders").select("o_orderkey"), "o_orderkey")
 
 
+@register
+def dense_row_id_by_customer(t: StandIns) -> DataFrame:
+    """Every customer is a document; their orders are numbered one document after the other."""
+    orders = t.table("orders").select("o_custkey", "o_orderkey")
+    return ordering.dense_row_id(orders, "o_orderkey", keys=["o_custkey"])
+
+
 @register
 def forward_fill(t: StandIns) -> DataFrame:
     marked = t.table("orders").select(
@@ -107,22 +114,24 @@ def code_decode(t: StandIns) -> DataFrame:
 
 @register
 def composite_key_split(t: StandIns) -> DataFrame:
-    glued = (F.col("s_nationkey") + 1) * 1000 + (F.col("s_suppkey") % 5) * 7
-    province, department = split_glued_key(glued.cast("string"))
-    return t.table("supplier").select(
-        "s_suppkey", province.alias("id_prov"), department.alias("id_depto")
+    key = F.col("glued")
+    province, department = split_glued_key(key)
+    return t.glued_keys().select(
+        "s_suppkey",
+        province.alias("id_prov"),
+        department.alias("id_depto"),
+        is_glued_key_reject(key).alias("is_reject"),
     )
 
 
 @register
 def key_remap(t: StandIns) -> DataFrame:
-    area = (F.col("c_custkey") % 20).cast("int")
-    moved = {(4, 8): 7, (4, 15): 14}
-    return t.table("customer").select(
+    places = t.table("customer").select(
         "c_custkey",
         F.col("c_nationkey").alias("id_prov"),
-        remap(F.col("c_nationkey"), area, moved).alias("id_depto"),
+        (F.col("c_custkey") % 20).cast("int").alias("id_depto"),
     )
+    return remap(places, {(4, 8): 7, (4, 15): 14}, region="id_prov", area="id_depto")
 
 
 @register
@@ -260,6 +269,19 @@ def threshold_count(t: StandIns) -> DataFrame:
     return reports.threshold_report(_event_model(t), 20, "Cantidad_mayor_20")
 
 
+@register
+def threshold_with_gaps(t: StandIns) -> DataFrame:
+    """The same where capacities are missing: NULL for some centres, NaN for others."""
+    model = _event_model(t)
+    capacity = (
+        F.when(F.col("id_cc") % 5 == 0, None)
+        .when(F.col("id_cc") % 5 == 1, F.lit(float("nan")))
+        .otherwise(F.col("Capacidad"))
+    )
+    model["Centros_culturales"] = model["Centros_culturales"].withColumn("Capacidad", capacity)
+    return reports.threshold_report(model, 20, "Cantidad_mayor_20")
+
+
 @register
 def coverage_report(t: StandIns) -> DataFrame:
     model = {
@@ -313,6 +335,15 @@ def group_median(t: StandIns) -> DataFrame:
     )
 
 
+@register
+def price_median(t: StandIns) -> DataFrame:
+    """Median line price by nation: continuous values, nearly all of them different."""
+    quantiles = stats.group_quantiles(
+        t.line_prices(), group="id_prov", value="price", quantiles={"q1": 0.25, "median": 0.5}
+    )
+    return _rounded(quantiles, 4, "q1", "median")
+
+
 @register
 def box_stats(t: StandIns) -> DataFrame:
     return reports.department_boxes(_department_model(t))

@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import quality, stats
 from ..sources import load_model, save_model, stage
@@ -50,7 +50,7 @@ def quality_tables(
         "calidad_establecimientos": quality.flag_quality(
             raw_model.establishment_info(register), list(study.FLAG_COLUMNS)
         ),
-        "rechazos": raw_model.rejects(register, population),
+        "rechazos": raw_model.rejects(register, centres, population),
     }
 
 
@@ -59,6 +59,8 @@ def run_study(
 ) -> dict[str, DataFrame]:
     """Raw files to ``out/model`` and ``out/reports``; returns the written reports.
 
+    A stored report has its order in ``posicion``, which ascends but has gaps.
+
     The parsed sources are staged, the model is written, and the reports read the written model:
     no report recomputes the cleaning, and a lost executor costs a re-read.
     """
@@ -74,6 +76,8 @@ def run_study(
     def write(tables: dict[str, DataFrame]) -> None:
         for name, table in tables.items():
             location = f"{out}/reports/{name}"
+            # Rows of a sorted table keep their places: ids ascend with the partitions.
+            table = table.withColumn("posicion", F.monotonically_increasing_id())
             table.write.mode("overwrite").parquet(location)
             written[name] = spark.read.parquet(location)
 

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import (
     first_email,
+    is_glued_key_reject,
     is_location_reject,
     location_department,
     location_province,
-    remap,
     split_glued_key,
+    to_whole,
 )
+from ..operators.joins import remap
 from ..operators.ordering import dense_row_id
 from ..operators.reports import sectioned_report, typed_cells
 from ..operators.reshape import extract_dimension, is_set, unpivot_flags
@@ -43,13 +45,15 @@ _CENTRES_SCHEMA = T.StructType(
 
 def read_register(spark: SparkSession, path: str) -> DataFrame:
     """Establishment register workbooks: all cells as text, renamed to plain names."""
-    sheet = read_workbooks(spark, path, skip_rows=study.REGISTER_PREAMBLE_ROWS)
+    sheet = read_workbooks(
+        spark, path, skip_rows=study.REGISTER_PREAMBLE_ROWS, required=list(_REGISTER_COLUMNS)
+    )
     return sheet_columns(sheet, _REGISTER_COLUMNS).drop("path", "row_no")
 
 
 def read_centres(spark: SparkSession, path: str) -> DataFrame:
-    """Cultural-centre lists with their row order in (path, seq)."""
-    return read_delimited(spark, path, _CENTRES_SCHEMA, seq="seq")
+    """Cultural-centre lists with their row order in (path, seq); ``lost`` marks unread cells."""
+    return read_delimited(spark, path, _CENTRES_SCHEMA, seq="seq", reject="lost")
 
 
 def read_population(spark: SparkSession, path: str) -> DataFrame:
@@ -60,12 +64,13 @@ def read_population(spark: SparkSession, path: str) -> DataFrame:
     return sheet_columns(sheet, {"B": "Edad", "C": "Casos"})
 
 
-def establishment_info(register: DataFrame) -> DataFrame:
-    """Common-modality establishments with decoded location; flags stay as they are."""
+def _decoded_register(register: DataFrame) -> DataFrame:
+    """Every row of the register, with ``is_reject`` where its number or location did not decode."""
     district = F.upper("departamento")
-    code = F.col("cod_loc")
-    return register.where(is_set("comun")).select(
-        F.col("Cueanexo").try_cast("bigint").alias("Cueanexo"),
+    code, number = F.col("cod_loc"), to_whole(F.col("Cueanexo"), "bigint")
+    return register.select(
+        "comun",
+        number.alias("Cueanexo"),
         F.upper("jurisdiccion").alias("nombre"),
         district.alias("nombre_departamento"),
         "ambito",
@@ -73,10 +78,21 @@ def establishment_info(register: DataFrame) -> DataFrame:
         *[F.col(f"`{flag}`") for flag in study.FLAG_COLUMNS],
         location_province(code).alias("id_prov"),
         location_department(code, district).alias("id_depto"),
-        is_location_reject(code).alias("is_reject"),
+        (is_location_reject(code) | number.isNull()).alias("is_reject"),
     )
 
 
+def establishment_info(register: DataFrame) -> DataFrame:
+    """Common-modality establishments with decoded location; flags stay as they are."""
+    return _decoded_register(register).where(is_set("comun")).drop("comun")
+
+
+def _centre_reject(centres: DataFrame) -> Column:
+    """A centre whose province or glued key is missing or malformed, or that has an unread cell."""
+    bad = is_glued_key_reject(F.col("ID_DEPTO").cast("string")) | F.col("ID_PROV").isNull()
+    return bad | F.col("lost") if "lost" in centres.columns else bad
+
+
 def centres_info(centres: DataFrame) -> DataFrame:
     """Centres numbered in file order, key split, mail as typed."""
     _, department = split_glued_key(F.col("ID_DEPTO").cast("string"))
@@ -96,8 +112,7 @@ def population_cells(population: DataFrame) -> DataFrame:
         population, keys=["path"], seq="row_no", label="Edad", value="Casos"
     )
     typed = typed_cells(flat, label="Edad", value="Casos")
-    area = remap(F.col("id_prov"), F.col("id_depto"), study.MOVED_DEPARTMENTS)
-    return typed.withColumn("id_depto", area)
+    return remap(typed, study.MOVED_DEPARTMENTS, region="id_prov", area="id_depto")
 
 
 def build_model(
@@ -106,8 +121,8 @@ def build_model(
     """The seven model tables, lazy.
 
     Each source is read several times: pass staged tables (:func:`terrastat.sources.stage`).
-    Location codes and population lines that did not decode are reported by :func:`rejects`;
-    establishments with such a code are kept, with what could be decoded.
+    Rows of any source that did not decode are counted by :func:`rejects`; establishments and
+    centres among them are kept, with what could be decoded.
     """
     info = establishment_info(register)
     city = centres.where(F.col("ID_PROV") == study.CITY_PROVINCE).select(
@@ -139,12 +154,17 @@ def build_model(
     }
 
 
-def rejects(register: DataFrame, population: DataFrame) -> DataFrame:
-    """How many rows did not decode, by source."""
-    codes = establishment_info(register).select(F.lit("register").alias("source"), "is_reject")
-    lines = population_cells(population).select(F.lit("population").alias("source"), "is_reject")
+def rejects(register: DataFrame, centres: DataFrame, population: DataFrame) -> DataFrame:
+    """How many rows did not decode, by source, counted before any of them is left out.
+
+    Of the population these are its detail lines: headings, totals and blank lines hold no data.
+    """
+    codes = _decoded_register(register).select(F.lit("register").alias("source"), "is_reject")
+    places = centres.select(F.lit("centres"), _centre_reject(centres))
+    lines = population_cells(population).select(F.lit("population"), "is_reject")
     return (
-        codes.union(lines)
+        codes.union(places)
+        .union(lines)
         .groupBy("source")
         .agg(F.count(F.lit(1)).alias("total"), F.count_if("is_reject").alias("rejected"))
     )

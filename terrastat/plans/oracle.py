@@ -182,6 +182,10 @@ ORACLE_SQL = {
     "dense_row_id": """
         SELECT CAST(row_number() OVER (ORDER BY o_orderkey) AS BIGINT) AS row_id, o_orderkey
         FROM orders""",
+    "dense_row_id_by_customer": """
+        SELECT CAST(row_number() OVER (ORDER BY o_custkey, o_orderkey) AS BIGINT) AS row_id,
+               o_custkey, o_orderkey
+        FROM orders""",
     "forward_fill": """
         SELECT o_orderkey,
                last_value(c IGNORE NULLS) OVER w AS customer,
@@ -230,23 +234,44 @@ ORACLE_SQL = {
         SELECT o_orderkey, o_orderpriority AS label FROM orders
         WHERE o_orderstatus <> 'P' AND o_orderpriority NOT IN ('1-URGENT', '5-LOW')""",
     "code_decode": """
-        SELECT c_custkey,
-               CAST(CASE WHEN length(code) = 7 THEN substring(code, 1, 1)
-                         ELSE substring(code, 1, 2) END AS INTEGER) AS id_prov,
-               CASE WHEN c_nationkey = 1 THEN CAST(substring(code, 3, 2) AS INTEGER) * 7
-                    WHEN length(code) = 7 THEN CAST(substring(code, 2, 3) AS INTEGER)
-                    ELSE CAST(substring(code, 3, 3) AS INTEGER) END AS id_depto,
-               FALSE AS is_reject
-        FROM (
+        WITH codes AS (
           SELECT c_custkey, c_nationkey,
                  CAST((c_nationkey + 1) * 1000000 + (c_custkey % 15 + 1) * 1000 + 7 AS VARCHAR)
-                   AS code
+                   AS digits
           FROM customer
-        )""",
+        ),
+        typed AS (
+          SELECT c_custkey, c_nationkey,
+                 CASE c_custkey % 13 WHEN 0 THEN NULL WHEN 1 THEN substring(digits, 1, 6)
+                      WHEN 2 THEN 'x' || substring(digits, 2, 7) WHEN 3 THEN 's/d'
+                      ELSE digits END AS code
+          FROM codes
+        )
+        SELECT c_custkey,
+               TRY_CAST(CASE WHEN length(code) = 7 THEN substring(code, 1, 1)
+                             ELSE substring(code, 1, 2) END AS INTEGER) AS id_prov,
+               CASE WHEN c_nationkey = 1 THEN TRY_CAST(substring(code, 3, 2) AS INTEGER) * 7
+                    WHEN length(code) = 7 THEN TRY_CAST(substring(code, 2, 3) AS INTEGER)
+                    ELSE TRY_CAST(substring(code, 3, 3) AS INTEGER) END AS id_depto,
+               NOT coalesce(regexp_full_match(code, '[0-9]{7,8}'), FALSE) AS is_reject
+        FROM typed""",
     "composite_key_split": """
-        SELECT s_suppkey, CAST(s_nationkey + 1 AS INTEGER) AS id_prov,
-               CAST((s_suppkey % 5) * 7 AS INTEGER) AS id_depto
-        FROM supplier""",
+        WITH digits AS (
+          SELECT s_suppkey, CAST((s_nationkey + 1) * 1000 + (s_suppkey % 5) * 7 AS VARCHAR) AS d
+          FROM supplier
+        ),
+        typed AS (
+          SELECT s_suppkey, CASE s_suppkey % 7 WHEN 0 THEN NULL WHEN 1 THEN '12'
+                                 WHEN 2 THEN 'abc' || substring(d, 1, 2) ELSE d END AS k
+          FROM digits
+        )
+        SELECT s_suppkey,
+               TRY_CAST(substring(k, 1, CASE WHEN length(k) = 4 THEN 1 ELSE 2 END) AS INTEGER)
+                 AS id_prov,
+               TRY_CAST(substring(k, CASE WHEN length(k) = 4 THEN 2 ELSE 3 END) AS INTEGER)
+                 AS id_depto,
+               NOT coalesce(regexp_full_match(k, '[0-9]{4,5}'), FALSE) AS is_reject
+        FROM typed""",
     "key_remap": """
         SELECT c_custkey, c_nationkey AS id_prov,
                CAST(CASE WHEN c_nationkey = 4 AND c_custkey % 20 = 8 THEN 7
@@ -316,6 +341,11 @@ ORACLE_SQL = {
                count(*) AS "Cantidad_mayor_20"
         FROM events JOIN nation ON n_nationkey = user_id % 25
         WHERE value > 20 GROUP BY 1, 2""",
+    "threshold_with_gaps": """
+        SELECT n_name AS "Provincia", upper(event_type) AS "Departamento",
+               count(*) AS "Cantidad_mayor_20"
+        FROM events JOIN nation ON n_nationkey = user_id % 25
+        WHERE value > 20 AND event_id % 5 > 1 GROUP BY 1, 2""",
     "coverage_report": f"""
         WITH {_SPINE}, {_ESTABLISHMENTS}, {_SUPPLIER_CENTRES}, {_HEADCOUNT},
         ee AS (
@@ -351,6 +381,12 @@ ORACLE_SQL = {
         WITH {_AREA_COUNTS}
         SELECT nombre, count(*) AS points, CAST(median(n) AS DOUBLE) AS median
         FROM areas GROUP BY nombre""",
+    "price_median": """
+        SELECT c_nationkey AS id_prov, count(*) AS points,
+               round(quantile_cont(l_extendedprice, 0.25), 4) AS q1,
+               round(quantile_cont(l_extendedprice, 0.5), 4) AS median
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+        GROUP BY c_nationkey""",
     "box_stats": f"""
         WITH {_BOX}
         SELECT nombre, points, q1, median, q3,

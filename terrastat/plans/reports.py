@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import email_domain
 from ..operators import stats
@@ -70,7 +70,7 @@ def levels_table(
         value="Edad",
         amount="Casos",
         bands=school_age_bands(edge_by_region("id_prov", last_primary_age)),
-        highest=max(study.LAST_SECONDARY_AGE, *last_primary_age),
+        highest=max([study.LAST_SECONDARY_AGE, *last_primary_age]),
     )
     levels = level_pivot(
         model["Establecimientos_educativos"],
@@ -207,7 +207,9 @@ def department_counts(model: Mapping[str, DataFrame]) -> DataFrame:
 def department_boxes(model: Mapping[str, DataFrame]) -> DataFrame:
     """Box-plot numbers of establishments per department, by province, in the chart's order."""
     boxes = stats.box_stats(department_counts(model), group="nombre", value="Cantidad")
-    return stats.with_plot_order(boxes, group="nombre")
+    # One window over all boxes: a row for each province of the country.
+    order = Window.orderBy(F.asc_nulls_last("median"), F.asc_nulls_last("nombre"))
+    return boxes.withColumn("plot_order", F.row_number().over(order))
 
 
 def rates_by_province(model: Mapping[str, DataFrame]) -> DataFrame:

@@ -30,7 +30,9 @@ SCHEMAS = {
         "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
         "o_orderpriority string"
     ),
-    "lineitem": "l_orderkey bigint, l_partkey bigint, l_quantity double",
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_quantity double, l_extendedprice double"
+    ),
     "events": "event_id bigint, user_id bigint, event_type string, value double",
 }
 
@@ -94,7 +96,10 @@ class StandIns:
         )
 
     def location_codes(self) -> DataFrame:
-        """7- and 8-digit codes; departments of one nation are numbered districts."""
+        """7- and 8-digit codes; departments of one nation are numbered districts.
+
+        A few codes are bad: missing, of six digits, with letters, or no digits at all.
+        """
         customer = self.table("customer")
         code = (F.col("c_nationkey") + 1).cast("bigint") * 1_000_000 + (
             (F.col("c_custkey") % 15 + 1) * 1000 + 7
@@ -103,10 +108,33 @@ class StandIns:
             F.col("c_nationkey") == 1,
             F.concat(F.lit("comuna "), (F.col("c_custkey") % 15 + 1).cast("string")),
         ).otherwise(F.col("c_mktsegment"))
+        digits = code.cast("string")
+        kind = F.col("c_custkey") % 13
+        typed = (
+            F.when(kind == 0, F.lit(None))
+            .when(kind == 1, F.substring(digits, 1, 6))
+            .when(kind == 2, F.concat(F.lit("x"), F.substring(digits, 2, 7)))
+            .when(kind == 3, F.lit("s/d"))
+            .otherwise(digits)
+        )
         return customer.select(
-            "c_custkey", code.cast("string").alias("cod_loc"), F.upper(district).alias("district")
+            "c_custkey", typed.alias("cod_loc"), F.upper(district).alias("district")
         )
 
+    def glued_keys(self) -> DataFrame:
+        """Department keys of province and three digits; a few are missing, short or have letters."""
+        digits = (
+            (F.col("s_nationkey") + 1) * 1000 + (F.col("s_suppkey") % 5).cast("int") * 7
+        ).cast("string")
+        kind = F.col("s_suppkey") % 7
+        typed = (
+            F.when(kind == 0, F.lit(None))
+            .when(kind == 1, F.lit("12"))
+            .when(kind == 2, F.concat(F.lit("abc"), F.substring(digits, 1, 2)))
+            .otherwise(digits)
+        )
+        return self.table("supplier").select("s_suppkey", typed.alias("glued"))
+
     # -- cultural centres -------------------------------------------------------------------
 
     def supplier_centres(self) -> DataFrame:
@@ -179,6 +207,13 @@ class StandIns:
             self._order_areas(), F.col("l_orderkey") == F.col("o_orderkey")
         ).select("id_prov", "id_depto", "Casos")
 
+    def line_prices(self) -> DataFrame:
+        """(id_prov, price), one row per lineitem."""
+        lines = self.table("lineitem").select("l_orderkey", F.col("l_extendedprice").alias("price"))
+        return lines.join(
+            self._order_areas(), F.col("l_orderkey") == F.col("o_orderkey")
+        ).select("id_prov", "price")
+
     def raw_report(self) -> DataFrame:
         """The orders as lines (seq, Edad, Casos) of one sectioned report.
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+
+from ..functions.numbers import to_number, to_whole
 
 # The cell texts that mean "missing" when such a file is read as a table.
 NULL_TOKENS = (
@@ -30,6 +32,14 @@ NULL_TOKENS = (
 )
 
 
+def _converted(text: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.IntegralType):
+        return to_whole(text, kind.simpleString())
+    if isinstance(kind, T.FractionalType):
+        return to_number(text).try_cast(kind)
+    return text.try_cast(kind)
+
+
 def read_delimited(
     spark: SparkSession,
     path: str,
@@ -37,21 +47,28 @@ def read_delimited(
     *,
     null_tokens: Sequence[str] = NULL_TOKENS,
     seq: str | None = None,
+    reject: str | None = None,
     multi_line: bool = False,
 ) -> DataFrame:
     """Read the columns named in ``schema`` (verbatim, spaces included) with its types.
 
     Set ``multi_line`` when quoted cells contain line breaks; such a file cannot be split.
 
-    Cells are read as text, missing-value tokens become NULL, and the rest is converted with
-    ``try_cast``. With ``seq``, two columns are added: ``path`` and a bigint that is unique and
+    All files must have the same header: Spark compares each file's own when it is read and fails
+    naming the file, so swapped columns are never read by position.
+
+    Cells are read as text, missing-value tokens become NULL, and the rest is converted: what is not
+    a number (``nan`` and ``1d`` are none) becomes NULL, whole numbers may be written ``12.0``. With
+    ``reject``, a boolean column tells the rows with a cell that did not convert. With ``seq``, two columns are added: ``path`` and a bigint that is unique and
     ascending in file order within it, as the ordering operators need. That is the byte offset of
     the row's file split plus the row's number in its task: a task reads at most one split's
     length of bytes and a row has at least one, so offsets of successive splits never overlap.
     Splits depend on the cluster's size at the moment of the scan: write the result out
     (:func:`terrastat.sources.stage`) before an operator reads it more than once.
     """
-    raw = spark.read.csv(path, header=True, escape='"', multiLine=multi_line)
+    raw = spark.read.csv(
+        path, header=True, enforceSchema=False, escape='"', multiLine=multi_line
+    )
     columns = {f.name: F.col(f"`{f.name}`") for f in schema}
     if seq is not None:
         row_in_task = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
@@ -60,8 +77,11 @@ def read_delimited(
             (F.col("_metadata.file_block_start") + row_in_task).alias(seq),
             *columns.values(),
         )
-    typed = [
-        F.when(~c.isin(*null_tokens), c).try_cast(schema[name].dataType).alias(name)
-        for name, c in columns.items()
-    ]
-    return raw.select(*(["path", seq] if seq is not None else []), *typed)
+    texts = {name: F.when(~c.isin(*null_tokens), c) for name, c in columns.items()}
+    typed = {name: _converted(text, schema[name].dataType) for name, text in texts.items()}
+    if reject is not None:
+        lost = [text.isNotNull() & typed[name].isNull() for name, text in texts.items()]
+        typed[reject] = F.greatest(F.lit(False), F.lit(False), *lost)
+    return raw.select(
+        *(["path", seq] if seq is not None else []), *[c.alias(name) for name, c in typed.items()]
+    )

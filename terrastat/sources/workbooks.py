@@ -109,14 +109,23 @@ def _header_names(cells: dict[str, str]) -> dict[str, str]:
 
 
 def read_workbooks(
-    spark: SparkSession, path: str, *, skip_rows: int = 0, header: bool = True
+    spark: SparkSession,
+    path: str,
+    *,
+    skip_rows: int = 0,
+    header: bool = True,
+    required: Sequence[str] = (),
 ) -> DataFrame:
     """First sheet of every workbook under ``path`` as (path, row_no, cells).
 
     ``skip_rows`` preamble rows are skipped. With ``header`` the next row names the columns and
     ``cells`` is keyed by those names, otherwise by column letter. ``row_no`` is the sheet's own
-    row number: unique and ordered within a path.
+    row number: unique and ordered within a path. A workbook whose header lacks one of the
+    ``required`` names fails, naming the file: its rows would have no such cell and vanish later.
     """
+    required = tuple(required)
+    if required and not header:
+        raise ValueError("only a header can be required to have names")
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -127,6 +136,8 @@ def read_workbooks(
                         continue
                     if header and names is None:
                         names = _header_names(cells)
+                        if missing := [n for n in required if n not in names.values()]:
+                            raise ValueError(f"{file} has no column {', '.join(missing)}")
                         continue
                     if header:
                         cells = {names[k]: v for k, v in cells.items() if k in names}
@@ -134,6 +145,8 @@ def read_workbooks(
                     if len(rows) == _BATCH_ROWS:
                         yield pd.DataFrame(rows, columns=["path", "row_no", "cells"])
                         rows = []
+                if header and required and names is None:
+                    raise ValueError(f"{file} has no header row")
                 if rows:
                     yield pd.DataFrame(rows, columns=["path", "row_no", "cells"])
 

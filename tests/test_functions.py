@@ -5,15 +5,17 @@ from pyspark.sql import functions as F
 from terrastat.functions import (
     email_domain,
     first_email,
+    is_glued_key_reject,
     is_location_reject,
     is_number,
     location_department,
     location_province,
-    remap,
     split_glued_key,
     to_number,
+    to_whole,
     trim_unicode,
 )
+from terrastat.operators.joins import remap, remap_by_table
 
 MAILS = {
     None: (None, None),
@@ -107,10 +109,37 @@ def test_split_glued_key(spark):
     assert [tuple(r) for r in got] == [(2, 0), (6, 28), (14, 42), (None, None)]
 
 
-def test_remap_uses_the_original_number(spark):
+def test_glued_key_rejects(spark):
+    df = _one(spark, ["2000", "14042", "12", "abc12", "141234", None])
+    got = df.select(is_glued_key_reject(F.col("v"))).collect()
+    assert [r[0] for r in got] == [False, False, True, True, True, True]
+
+
+def test_remap_uses_the_original_number(spark, rows):
     df = spark.createDataFrame([(94, 8), (94, 15), (94, 7), (6, 8), (None, 8)], "p int, d int")
-    moved = remap(F.col("p"), F.col("d"), {(94, 8): 15, (94, 15): 14})
-    assert [r[0] for r in df.select(moved).collect()] == [15, 14, 7, 8, 8]
+    moved = remap(df, {(94, 8): 15, (94, 15): 14}, region="p", area="d")
+    assert moved.dtypes == df.dtypes
+    assert rows(moved) == [(6, 8), (94, 7), (94, 14), (94, 15), (None, 8)]
+    assert rows(remap(df, {}, region="p", area="d")) == rows(df)
+
+
+def test_remap_of_many_pairs(spark):
+    df = spark.range(6000).selectExpr("1 AS p", "CAST(id AS INT) AS d")
+    moved = remap(df, {(1, i): i + 100_000 for i in range(5000)}, region="p", area="d")
+    assert moved.count() == 6000
+    assert moved.where("d >= 100000").count() == 5000
+
+
+def test_a_pair_listed_twice_moves_once(spark, rows):
+    df = spark.createDataFrame([(1, 1)], "p int, d int")
+    moved = spark.createDataFrame([(1, 1, 9), (1, 1, 7)], "p int, d int, n int")
+    assert rows(remap_by_table(df, moved, region="p", area="d", new_area="n")) == [(1, 7)]
+
+
+def test_whole_numbers(spark):
+    cases = {"12": 12, " 12.0 ": 12, "1e2": 100, "12.5": None, "1d": None, "nan": None, "x": None, None: None}
+    got = _one(spark, cases).select("v", to_whole(F.col("v"), "int").alias("n")).collect()
+    assert {r.v: r.n for r in got} == cases
 
 
 def test_number_coercion(spark):

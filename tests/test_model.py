@@ -133,9 +133,10 @@ def test_population(tables, rows):
 
 
 def test_rejects_are_counted(raw, rows):
-    assert rows(model.rejects(raw["register"], raw["population"])) == [
+    assert rows(model.rejects(**raw)) == [
+        ("centres", 3, 0),
         ("population", 4, 0),
-        ("register", 4, 1),
+        ("register", 5, 1),  # the row of another modality counts too
     ]
 
 
@@ -166,6 +167,8 @@ def test_the_whole_study(spark, files, tmp_path):
     assert written["grafico_2_recta"].count() == 3000
     assert written["calidad_poblacion"].collect()[0].non_numeric_rows == 6
     assert load_model(spark, str(tmp_path / "model"))["Poblacion"].count() == 4
+    coverage = written["consulta_3"].orderBy("posicion").drop("posicion").collect()
+    assert coverage == reports.coverage_report(load_model(spark, str(tmp_path / "model"))).collect()
 
 
 def test_fixed_values():

@@ -6,6 +6,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
+from terrastat.operators import ordering
 from terrastat.operators.ordering import dense_row_id, forward_fill, truncate_at_sentinel
 
 PROPERTY = settings(
@@ -124,3 +125,36 @@ def test_truncate(spark, rows):
     assert rows(by_doc) == [("d", 1, "x"), ("f", 9, None)]
     untouched = truncate_at_sentinel(df, F.col("v") == "nothing", "seq")
     assert untouched.count() == 5
+
+
+def test_many_documents_with_any_keys(spark):
+    keys = [0, 1, 65535, 65536, -1, -65537, 2**40, 2**62, -(2**63), 2**63 - 1]
+    data = [(k, i) for k in keys for i in range(3)]
+    df = spark.createDataFrame(data, "k bigint, s bigint").repartition(5)
+    got = ordering.dense_row_id(df, "s", keys=["k"], bucket_bits=1).orderBy("row_id").collect()
+    assert [(r.k, r.s) for r in got] == sorted(data)
+    assert [r.row_id for r in got] == list(range(1, len(data) + 1))
+
+
+@pytest.mark.parametrize("row", [(None, 1, "a"), (1, None, "a")])
+def test_rows_without_a_place_are_refused(spark, row):
+    df = spark.createDataFrame([(1, 2, "b"), row], "k int, s bigint, v string")
+    for result in (
+        ordering.dense_row_id(df, "s", keys=["k"]),
+        ordering.forward_fill(df, ["v"], "s", keys=["k"]),
+        ordering.truncate_at_sentinel(df, F.col("v") == "z", "s", keys=["k"]),
+    ):
+        with pytest.raises(Exception, match="must not be NULL"):
+            result.collect()
+
+
+def test_names_with_dots_and_spaces(spark, rows):
+    df = spark.createDataFrame(
+        [(1, 1, "a"), (1, 2, None), (1, 3, "z")], "`k.y` int, `the s` bigint, `v.x` string"
+    )
+    filled = ordering.forward_fill(df, ["v.x"], "the s", keys=["k.y"])
+    assert filled.columns == df.columns
+    assert rows(filled) == [(1, 1, "a"), (1, 2, "a"), (1, 3, "z")]
+    cut = ordering.truncate_at_sentinel(df, F.col("`v.x`") == "z", "the s", keys=["k.y"])
+    assert rows(cut) == [(1, 1, "a"), (1, 2, None)]
+    assert ordering.dense_row_id(df, "the s", keys=["k.y"]).columns == ["row_id", *df.columns]

@@ -5,8 +5,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as contract
 from terrastat.operators import aggregates, ordering
+from terrastat.plans.catalog import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -30,9 +30,9 @@ def at_scale(spark):
         spark.conf.set(key, value)
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_cross_join_and_no_python(spark, at_scale, name):
-    plan = _plan(contract.queries()[name](spark, SF_DIR))
+    plan = _plan(QUERIES[name](spark, SF_DIR))
     for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "InPandas"):
         assert node not in plan
 
@@ -53,12 +53,12 @@ def _scans(plan, column):
     ],
 )
 def test_fact_tables_are_scanned_once(spark, at_scale, name, column, scans):
-    assert _scans(_plan(contract.queries()[name](spark, SF_DIR)), column) == scans
+    assert _scans(_plan(QUERIES[name](spark, SF_DIR)), column) == scans
 
 
 @pytest.mark.parametrize("operator", ["dense_row_id", "forward_fill"])
 def test_ordering_never_puts_rows_in_one_partition(spark, at_scale, operator):
-    plan = _plan(contract.queries()[operator](spark, SF_DIR))
+    plan = _plan(QUERIES[operator](spark, SF_DIR))
     single = re.search(r"Exchange SinglePartition[^\n]*\n[^\n]*\n[^\n]*", plan)
     assert plan.count("Exchange SinglePartition") == 1
     assert re.search(r"Filter _first#|Project \[_group#", single[0])
@@ -67,7 +67,7 @@ def test_ordering_never_puts_rows_in_one_partition(spark, at_scale, operator):
 
 @pytest.mark.parametrize("operator, shuffles", [("dense_row_id", 6), ("forward_fill", 7)])
 def test_summaries_share_shuffles(spark, at_scale, operator, shuffles):
-    plan = _plan(contract.queries()[operator](spark, SF_DIR))
+    plan = _plan(QUERIES[operator](spark, SF_DIR))
     assert len(re.findall(r"- Exchange ", plan)) == shuffles
 
 
@@ -89,12 +89,12 @@ def test_wide_rows_are_shuffled_once(spark, at_scale, operator, tmp_path):
 
 
 def test_level_pivot_join_needs_no_extra_shuffle(spark, at_scale):
-    plan = _plan(contract.queries()["level_pivot"](spark, SF_DIR))
+    plan = _plan(QUERIES["level_pivot"](spark, SF_DIR))
     assert len(re.findall(r"[^d]Exchange hashpartitioning", plan)) == 3
 
 
 def test_most_frequent_reads_its_counts_once(spark, at_scale):
-    plan = _plan(contract.queries()["dominant_domain"](spark, SF_DIR))
+    plan = _plan(QUERIES["dominant_domain"](spark, SF_DIR))
     assert "ReusedExchange" in plan
 
 
@@ -116,5 +116,5 @@ def test_filters_and_columns_reach_the_scan(spark, tmp_path):
 
 
 def test_literal_dimension_is_broadcast_by_size(spark):
-    plan = _plan(contract.queries()["type_dimension"](spark, SF_DIR))
+    plan = _plan(QUERIES["type_dimension"](spark, SF_DIR))
     assert "BroadcastHashJoin" in plan and "LocalTableScan" in plan

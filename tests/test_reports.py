@@ -59,6 +59,23 @@ def test_unpivot_keeps_distinct_set_flags(spark, rows):
     assert rows(got) == [(1, 7), (1, 8), (None, 7)]
 
 
+def test_many_flags_and_flags_of_one_type(spark):
+    names = [f"f {i}" for i in range(200)]
+    df = spark.createDataFrame(
+        [[1, *["1" if i % 3 == 0 else " " for i in range(200)]], [2, *[None] * 200]],
+        ", ".join(["`k.y` int", *[f"`{n}` string" for n in names]]),
+    )
+    got = unpivot_flags(df, "k.y", {n: i for i, n in enumerate(names)}, type_col="t").collect()
+    assert sorted(tuple(r) for r in got) == [(1, i) for i in range(0, 200, 3)]
+    shared = unpivot_flags(df, "k.y", {n: i // 100 for i, n in enumerate(names)}, type_col="t")
+    assert sorted(tuple(r) for r in shared.collect()) == [(1, 0), (1, 1)]
+
+
+def test_levels_without_age_groups(spark):
+    tables = {n: spark.createDataFrame([], s) for n, s in MODEL_SCHEMAS.items()}
+    assert reports.levels_table(tables, {}).count() == 0
+
+
 def test_unpivot_then_pivot_restores_the_flags(spark):
     rng = random.Random(5)
     data = [(k, *[rng.choice(["1", " ", None]) for _ in range(5)]) for k in range(50)]

@@ -163,3 +163,32 @@ def test_stage_replaces_lineage(spark, tmp_path, named):
     assert staged.schema.simpleString() == df.schema.simpleString()
     plan = staged.select("x")._jdf.queryExecution().executedPlan().toString()
     assert "Range" not in plan and "ReadSchema: struct<x:bigint>" in plan
+
+
+def test_csv_files_must_agree_on_their_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("ID_PROV,ID_DEPTO\n6,6028\n")
+    schema = T.StructType(
+        [T.StructField("ID_PROV", T.IntegerType()), T.StructField("ID_DEPTO", T.LongType())]
+    )
+    assert read_delimited(spark, str(tmp_path), schema).collect()[0].ID_DEPTO == 6028
+    (tmp_path / "b.csv").write_text("ID_DEPTO,ID_PROV\n14042,14\n")
+    with pytest.raises(Exception, match="(?s)header.*csv"):
+        read_delimited(spark, str(tmp_path), schema).collect()
+
+
+def test_cells_that_do_not_convert(spark, tmp_path):
+    cells = ["101", "NAN", "1d", " nan", "12.0", "x", ""]
+    (tmp_path / "a.csv").write_text("n,d\n" + "".join(f'"{c}","{c}"\n' for c in cells))
+    schema = T.StructType([T.StructField("n", T.IntegerType()), T.StructField("d", T.DoubleType())])
+    got = read_delimited(spark, str(tmp_path), schema, seq="seq", reject="lost").orderBy("seq").collect()
+    assert [r.n for r in got] == [101, None, None, None, 12, None, None]
+    assert [r.d for r in got] == [101.0, None, None, None, 12.0, None, None]
+    assert [r.lost for r in got] == [False, True, True, True, False, True, False]
+
+
+def test_a_workbook_without_a_header_fails(spark, tmp_path):
+    write_workbook(tmp_path / "good.xlsx", [["Clave", "Común"], ["a", "1"]])
+    assert read_workbooks(spark, str(tmp_path), required=["Común"]).count() == 1
+    write_workbook(tmp_path / "bad.xlsx", [["Clave", "Comun"], ["a", "1"]])
+    with pytest.raises(Exception, match="bad.xlsx has no column Común"):
+        read_workbooks(spark, str(tmp_path), required=["Común"]).collect()

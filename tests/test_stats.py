@@ -20,17 +20,56 @@ def test_box_stats(spark):
         "holes": [5, None, 5],
     }
     boxes = stats.box_stats(_points(spark, groups), group="g", value="v")
-    got = {r.g: r for r in stats.with_plot_order(boxes, group="g").collect()}
+    got = {r.g: r for r in boxes.collect()}
 
     def box(g):
-        return tuple(got[g])[1:-1]
+        return tuple(got[g])[1:]
 
     assert box("plain") == (4, 1.75, 2.5, 3.25, 1.0, 4.0, 0)
     assert box("far") == (5, 2.0, 3.0, 4.0, 1.0, 4.0, 1)
     assert box("inside") == (4, 0.0, 0.0, 25.0, 0.0, 25.0, 1)
     assert box("one") == (1, 7.0, 7.0, 7.0, 7.0, 7.0, 0)
     assert box("holes") == (2, 5.0, 5.0, 5.0, 5.0, 5.0, 0)
-    assert sorted(got, key=lambda g: got[g].plot_order) == ["inside", "plain", "far", "holes", "one"]
+
+
+def test_nan_is_no_point(spark):
+    nan = float("nan")
+    data = [("a", v) for v in (1.0, 2.0, 3.0, 4.0, nan, None)] + [("b", nan)]
+    points = spark.createDataFrame(data, "g string, v double")
+    median = stats.group_quantiles(points, group="g", value="v", quantiles={"m": 0.5})
+    assert [tuple(r) for r in median.collect()] == [("a", 4, 2.5)]
+    assert [r.outliers for r in stats.box_stats(points, group="g", value="v").collect()] == [0]
+    assert stats.box_outliers(points, group="g", value="v").count() == 0
+    xy = [("s", 1.0, 3.0), ("s", 2.0, 5.0), ("s", nan, 1.0), ("s", 1.0, nan)]
+    (fit,) = stats.linear_fit(
+        spark.createDataFrame(xy, "s string, x double, y double"), series="s", x="x", y="y"
+    ).collect()
+    assert (fit.slope, fit.intercept, fit.points) == (2.0, 1.0, 2)
+
+
+def test_quantiles_of_any_numbers(spark):
+    rng = random.Random(9)
+    groups = {
+        "wide": [rng.choice([-1, 1]) * 10 ** rng.uniform(-300, 300) for _ in range(301)],
+        "near": [1 + rng.random() * 1e-12 for _ in range(200)],
+        "tiny": [0.0, -0.0, 5e-324, -5e-324, 1e-310],
+        "mixed": [rng.gauss(0, 1) for _ in range(500)] + [0.0] * 100,
+        None: [1.0, 2.0],
+    }
+    points = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, v double")
+    asked = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.9, "e": 1.0}
+    got = {r.g: r for r in stats.group_quantiles(points, group="g", value="v", quantiles=asked).collect()}
+    assert set(got) == set(groups)
+    for g, values in groups.items():
+        expected = np.quantile(values, list(asked.values()))
+        assert [got[g][n] for n in asked] == pytest.approx(list(expected), rel=1e-12)
+
+
+def test_quantiles_need_no_map_of_a_group(spark):
+    points = spark.range(10).selectExpr("id % 2 AS g", "CAST(id AS DOUBLE) AS v")
+    df = stats.group_quantiles(points, group="g", value="v", quantiles={"m": 0.5})
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile" not in plan and "collect" not in plan
 
 
 def test_box_parts_add_up(spark):

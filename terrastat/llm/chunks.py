@@ -1,7 +1,8 @@
-"""A task's table of distinct chunks: each is segmented once, its ids are joined back by position."""
+"""A worker's table of distinct chunks: each is segmented once, its ids are joined back by position."""
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Hashable
 
 import numpy as np
@@ -9,7 +10,7 @@ import numpy as np
 from .common import ranges
 
 #: Chunks that a table holds before it is begun anew.
-TABLE_ROWS = 400_000
+TABLE_ROWS = 1_000_000
 
 
 class ChunkTable:
@@ -32,7 +33,12 @@ class ChunkTable:
     def find(self, names: list) -> np.ndarray:
         """The table's row of each (distinct) name."""
         if new := [name for name in names if name not in self.rows]:
+            # Very many small lists and no cycles: the collector would only walk them again and again.
+            collects = gc.isenabled()
+            gc.disable()
             found = self.segment(new)
+            if collects:
+                gc.enable()
             lengths = np.fromiter(map(len, found), np.int64, len(found))
             total = int(lengths.sum())
             if self.used + total > len(self.ids):

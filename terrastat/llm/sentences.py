@@ -2,10 +2,11 @@
 
 Where no piece of a model holds a whitespace marker after another character, no piece and no merge
 crosses the border before a marker. A text then is a row of independent chunks, each a marked word,
-and its ids are those of its chunks one after the other. Each task keeps a table of the distinct
-chunks it has met: a chunk is segmented once, by the library, and its ids are joined back to every
-position of that chunk by array lookups. No word occurrence is shuffled: the table is the task's, as
-a table of the whole corpus would cost a shuffle of every occurrence to join back.
+and its ids are those of its chunks one after the other. Each Python worker keeps a table of the
+distinct chunks it has met: a chunk is segmented once, by the library, and its ids are joined back
+to every position of that chunk by array lookups. No word occurrence is shuffled: the table is the
+worker's (of a bounded size, begun anew beyond it), as joining back from one table of the whole
+corpus would shuffle every occurrence.
 
 Models whose pieces do cross markers, or whose normaliser does more than mark spaces, are handed
 whole texts.
@@ -72,7 +73,9 @@ def chunks_of(text: str) -> list[str]:
     return chunks
 
 
+@lru_cache(maxsize=1)
 def _table(model: str, limit: int) -> ChunkTable:
+    """The table of this Python worker, which goes on from task to task."""
     sp = processor(model)
     alone = [sp.piece_to_id(MARK)]  # a marker alone: the library has no input for it
 

@@ -33,6 +33,8 @@ from .common import pieces, shuffle_parts, texts_of
 LENGTH = 2048
 #: Sequences in one batch of a file.
 BATCH_ROWS = 128
+#: Fixed value: how byte-level vocabularies write a space.
+SPACE = "Ġ"
 
 # A text may be cut before a space that follows anything but white space: no token of the byte-level
 # pattern runs over such a place, and none looks across it.
@@ -60,19 +62,36 @@ def separable(path: str) -> bool:
     )
 
 
+@lru_cache(maxsize=1)
+def _table(path: str, table_rows: int) -> ChunkTable:
+    """The table of this Python worker, which goes on from task to task."""
+    t = tokenizer(path)
+    # A word of ASCII letters is one token of the pre-tokenizer: the model alone gives its ids.
+    alone = not any(x.content.isalpha() for x in t.get_added_tokens_decoder().values())
+
+    def segment(names: list) -> list[list[int]]:
+        out, rest = [None] * len(names), []
+        for i, name in enumerate(names):
+            if alone and isinstance(name, str) and name.isascii() and name.isalpha():
+                out[i] = [token.id for token in t.model.tokenize(SPACE + name)]
+            else:
+                rest.append(i)
+        texts = [names[i][0] if isinstance(names[i], tuple) else " " + names[i] for i in rest]
+        for i, found in zip(rest, t.encode_batch_fast(texts, add_special_tokens=False)):
+            out[i] = found.ids
+        return out
+
+    return ChunkTable(segment, table_rows)
+
+
 def token_ids(batches: Iterator[pa.RecordBatch], path: str, table_rows: int = TABLE_ROWS) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
     """Identifiers, the ids of all texts in a row and how many each has, batch by batch.
 
     Exactly the library's ids for each whole text, without special tokens around it. Chunks that
-    begin at a certain cut are segmented once a task and joined back by position.
+    begin at a certain cut are segmented once a table and joined back by position.
     """
     t = tokenizer(path)
-
-    def segment(names: list) -> list[list[int]]:
-        texts = [name[0] if isinstance(name, tuple) else " " + name for name in names]
-        return [found.ids for found in t.encode_batch_fast(texts, add_special_tokens=False)]
-
-    table = ChunkTable(segment, table_rows) if separable(path) else None
+    table = _table(path, table_rows) if separable(path) else None
     for batch in pieces(batches):
         texts = batch.column("text")
         if table is None:

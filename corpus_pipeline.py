@@ -37,7 +37,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each document, checked by decoding: doc_id, n_tokens, both digests, ids."""
-    return sentences.digests(docs, catalog.PIECES, with_ids=True)
+    return sentences.digests(docs, catalog.sentence_pieces(), with_ids=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -4,14 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import common, decontaminate, exact_dedup, language, language_model, passages, sentences, shards, simhash, token_files, warc
 
-#: Vocabulary files of public tokenizers; parameters of the operators.
-BYTE_LEVEL = public_tokenizers.path("byte_bpe_50k.json")
-PIECES = public_tokenizers.path("piece_bpe_32k.model")
+def vocabulary(name: str) -> str:
+    """The place of a public tokenizer's file, which the operators take as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def byte_level() -> str:
+    return vocabulary("byte_bpe_50k.json")
+
+
+def sentence_pieces() -> str:
+    return vocabulary("piece_bpe_32k.model")
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -46,7 +55,7 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentences.digests(read(spark, sf_dir, "documents"), PIECES)
+    return sentences.digests(read(spark, sf_dir, "documents"), sentence_pieces())
 
 
 def op6_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +64,7 @@ def op6_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     location = common.new_location(spark, "tokens")
-    index = token_files.write_tokens(read(spark, sf_dir, "documents"), location, BYTE_LEVEL, end_id=0)
+    index = token_files.write_tokens(read(spark, sf_dir, "documents"), location, byte_level(), end_id=0)
     return token_files.read_tokens(index, location)
 
 

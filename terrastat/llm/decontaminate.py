@@ -39,6 +39,8 @@ STRIDE = 3
 #: Bytes of benchmark text in one block.
 BLOCK_BYTES = 1 << 20
 MOST_REPETITIONS = 32
+#: Symbols that the quick bound compares for one candidate; longer items are verified at once.
+MOST_COMPARED = 1 << 22
 SEED = 20240229
 
 
@@ -274,7 +276,7 @@ def _enough_grams(grams: np.ndarray, packed: np.ndarray, begin: int, slack: int)
     """
     least = len(grams) - STRIDE * slack
     low, high = begin - slack, begin + slack + len(grams)
-    if least <= 0 or low < 0 or high > len(packed):
+    if least <= 0 or low < 0 or high > len(packed) or len(grams) * (2 * slack + 1) > MOST_COMPARED:
         return True
     near = np.lib.stride_tricks.sliding_window_view(packed[low:high], len(grams))
     return int((near == grams).any(axis=0).sum()) >= least

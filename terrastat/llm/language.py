@@ -7,8 +7,9 @@ language of the centroid with the largest cosine. Where even that cosine is belo
 distance, the text is rejected.
 
 Document frequencies are counted over all labelled rows that may be learned from. Only the centroids
-are fitted on a sample, of at most ``sample_rows`` labelled rows (a documented bound): the rows with
-the smallest identifier hash of each language, dealt evenly.
+are fitted on a sample of about ``sample_rows`` labelled rows (a documented bound), dealt evenly to the
+languages, ``LEAST_ROWS`` to each at least: the rows whose hash is below the language's share. The
+languages themselves may be ``sample_rows`` at most, which bounds what is broadcast.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import col, flat, fresh, lower, mix, pieces, schema_of
 
@@ -28,6 +29,7 @@ GRAMS = (1, 2, 3)
 FEATURES = 1 << 13
 CENTROIDS = 4
 SAMPLE_ROWS = 4_000
+LEAST_ROWS = 50
 #: A text is rejected if its best cosine is below this share of the least that the sample shows.
 REJECT_SHARE = 0.5
 #: Texts in one block of vectors.
@@ -159,22 +161,21 @@ def fit(
     ).filter("learn AND lang IS NOT NULL AND text RLIKE '\\\\p{L}'")
     frequency, texts = _document_frequencies(rows)
     idf = np.log((1 + texts) / (1 + frequency)).astype(np.float32) + np.float32(1)
-    languages = rows.select("lang").distinct().count()
-    if not languages:
+    by_language = dict(rows.groupBy("lang").count().limit(sample_rows + 1).collect()) if texts else {}
+    if not by_language:
         return LanguageModel((), np.zeros((0, FEATURES), np.float32), idf, 0.0)
-    if languages > sample_rows:
-        raise ValueError(f"{languages} languages, but sample_rows allows {sample_rows}; labels look wrong")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-    sample = (
-        rows.select("lang", "doc_id", F.xxhash64("text").alias("mark"), F.row_number().over(order).alias("n"))
-        .filter(F.col("n") <= max(1, sample_rows // languages))
-        .select("lang", "doc_id", "mark")
-        .distinct()
-    )
-    chosen = rows.withColumn("mark", F.xxhash64("text")).join(
-        sample.withColumnsRenamed({"lang": "l", "doc_id": "d", "mark": "m"}),
-        F.expr("lang = l AND doc_id <=> d AND mark = m"),
-        "left_semi",
+    if len(by_language) > sample_rows:
+        raise ValueError(f"over {sample_rows} languages, more than sample_rows allows; labels look wrong")
+    # A row is in the sample if its hash is low enough: no shuffle, and repeats of a row count once.
+    wanted = max(LEAST_ROWS, sample_rows // len(by_language))
+    limits = [(lang, int(min(1.0, wanted / n) * (1 << 62))) for lang, n in by_language.items()]
+    limits = df.sparkSession.createDataFrame(limits, "lang string, most bigint")
+    chosen = (
+        rows.withColumn("mark", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2))
+        .join(F.broadcast(limits), "lang")
+        .filter("mark <= most")
+        .groupBy("lang", "doc_id", "mark")
+        .agg(F.first("text").alias("text"))
     )
 
     def centres(table: pa.Table) -> pa.Table:

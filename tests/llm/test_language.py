@@ -1,0 +1,87 @@
+import random
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from llm_data import documents
+from terrastat.llm import catalog, language
+
+SF_DIR = "/root/testdata/sf0.01"
+
+
+def test_held_out_accuracy(spark):
+    found = catalog.QUERIES["op8_language_id"](spark, SF_DIR)
+    assert found.columns[:4] == ["doc_id", "held_out", "lang_pred", "score"]
+    truth = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "lang")
+    rows = found.join(truth, "doc_id").collect()
+    assert len(rows) == truth.count()
+    held_out = [r for r in rows if r.held_out]
+    assert 0.2 < len(held_out) / len(rows) < 0.3
+    assert sum(r.lang == r.lang_pred for r in held_out) / len(held_out) > 0.98
+    assert all(0 <= r.score <= 1 for r in rows)
+    assert not any(r.rejected for r in rows)  # clean documents stay
+
+
+def texts(rng, letters):
+    return " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 7))) for _ in range(60))
+
+
+def rows():
+    rng = random.Random(1)
+    out = [(i, texts(rng, "abcde" if i % 2 else "vwxyz"), "left" if i % 2 else "right") for i in range(60)]
+    out += [(100, None, "left"), (101, "", "left"), (102, "12 !? 3", "right"), (103, texts(rng, "abcde"), None), (None, texts(rng, "vwxyz"), "right")]
+    return out + [(1, out[1][1], "left"), (200, texts(rng, "日本語漢字"), None), (201, "abcd " * 20000, None)]
+
+
+def test_odd_rows(spark):
+    df = documents(spark, rows())
+    model = language.fit(df, F.lit(True))
+    found = language.predict(df, model)
+    assert found.columns[: len(df.columns)] == df.columns
+    lang, score, rejected = found.columns[len(df.columns) :]
+    assert (lang, score, rejected) == ("lang_pred_", "score_", "rejected_")  # the table has such columns
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.doc_id, []).append((r[lang], r[score], r[rejected]))
+    assert sum(map(len, got.values())) == len(rows())
+    assert all(got[i][0] == ("und", 0.0, True) for i in (100, 101, 102))
+    assert got[103][0][0] == got[201][0][0] == "left" and got[None][0][0] == "right"
+    assert got[200][0][2] and not got[103][0][2]
+    assert len(got[1]) == 2 and got[1][0] == got[1][1]
+
+
+def test_nothing_to_learn_from(spark):
+    df = documents(spark, rows())
+    for model in (language.fit(df, F.lit(False)), language.fit(df.limit(0), F.lit(True))):
+        assert {r[-3] for r in language.predict(df, model).collect()} == {"und"}
+    assert language.predict(df.limit(0), model).count() == 0
+
+
+def test_labels_are_never_inputs(spark):
+    df = documents(spark, rows(), clash=False)
+    model = language.fit(df, F.col("doc_id") % 4 != 2)
+    first = language.predict(df, model).orderBy("doc_id", "text").select("doc_id", "lang_pred", "score")
+    second = language.predict(df.withColumn("lang", F.lit("x")), model).orderBy("doc_id", "text").select("doc_id", "lang_pred", "score")
+    assert first.collect() == second.collect()
+
+
+def test_the_sample_is_bounded(spark, monkeypatch):
+    df = documents(spark, rows())
+    monkeypatch.setattr(language, "LEAST_ROWS", 10)
+    model = language.fit(df, F.lit(True), sample_rows=4, centroids=2)
+    assert set(model.languages) == {"left", "right"} and len(model.languages) <= 4
+    with pytest.raises(ValueError, match="over 1 languages"):
+        language.fit(df, F.lit(True), sample_rows=1)
+
+
+def test_vectors():
+    idf = np.ones(language.FEATURES, np.float32)
+    found = language.dense(pa.array(["abc abd", "", "!!", "x", "abc, abd"]), idf)
+    assert np.linalg.norm(found, axis=1) == pytest.approx([1, 0, 1, 1, 1], abs=1e-6)
+    assert found[0] == pytest.approx(found[4], abs=0.3)
+    centres = language.spherical_means(found[[0, 3, 4]], 2)
+    assert len(centres) == 2
+    assert language.cosines(pa.array(["abc abd", ""]), idf, centres).max(axis=1) == pytest.approx([1, 0], abs=0.1)
+    assert len(language.spherical_means(found[[0, 0, 0]], 4)) == 1

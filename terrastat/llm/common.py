@@ -109,6 +109,17 @@ def row_key(id_col: str, text_col: str) -> Column:
     )
 
 
+def join_split(rows: DataFrame, grouped: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined with an aggregate of one row for each of ``keys`` (none of them NULL).
+
+    The keys are joined as one struct. An aggregate is already dealt out by its keys, so a join on
+    these would run in its stage, where Spark cannot split a hot key; the struct gets a shuffle of
+    its own, which it can.
+    """
+    named = grouped.select(F.struct(*[F.col(k).alias(k) for k in keys]).alias("_grouped"), *[c for c in grouped.columns if c not in keys])
+    return rows.join(named, F.struct(*[F.col(k).alias(k) for k in keys]) == F.col("_grouped"), how).drop("_grouped")
+
+
 def rows_with_keys(df: DataFrame, id_col: str, text_col: str, keys: DataFrame) -> DataFrame:
     """The rows of ``df`` whose :func:`row_key` is in ``keys`` (column ``row_key``), once for each key.
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import stage
+from .common import join_split, stage
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -17,8 +17,7 @@ def _large_star(links: DataFrame) -> DataFrame:
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("least"))
     return (
-        both.filter("b > a")
-        .join(least, "a")
+        join_split(both.filter("b > a"), least, ["a"])
         .select(F.col("b").alias("a"), F.col("least").alias("b"))
         .distinct()
     )
@@ -28,7 +27,7 @@ def _small_star(links: DataFrame) -> DataFrame:
     """Each node's smaller neighbours, and the node, are linked to the smallest of them."""
     down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("least"))
-    moved = down.join(least, "a").filter("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
+    moved = join_split(down, least, ["a"]).filter("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
     return moved.union(least.select("a", F.col("least").alias("b"))).distinct()
 
 

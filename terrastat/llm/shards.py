@@ -22,7 +22,7 @@ from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from .common import col, stage
+from .common import col, join_split, stage
 
 SHARDS = 24
 BINS = 1 << 12
@@ -85,7 +85,7 @@ def points(df: DataFrame, dimensions: Sequence[str], id_col: str, text_col: str)
         F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", *names)).alias("first")
     )
     return stage(
-        rows.drop(*names).join(first, same).select("row", "doc_id", *same, *[f"first.{n}" for n in names]), "points"
+        join_split(rows.drop(*names), first, same).select("row", "doc_id", *same, *[f"first.{n}" for n in names]), "points"
     )
 
 

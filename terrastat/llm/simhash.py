@@ -16,7 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import col, flat, lower, pieces, row_key, rows_with_keys, schema_of, shuffle_parts, stage, word_spans
+from .common import col, flat, join_split, lower, pieces, row_key, rows_with_keys, schema_of, shuffle_parts, stage, word_spans
 from .components import components
 
 WORDS = 4
@@ -224,7 +224,7 @@ def simhash_groups(
     """
     found = _resolved(df, id_col, text_col, words, max_bits, blocks)
     least = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return found.join(least, "root").select(
+    return join_split(found, least, ["root"]).select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
     )
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from terrastat.sources import stage as write_and_reread
 
 from . import files
-from .common import col
+from .common import col, join_split
 
 #: Plain bytes after which a frame is closed, and compressed bytes after which a bundle is.
 FRAME_BYTES = 1 << 20
@@ -170,7 +170,7 @@ def write_bundles(
         .groupBy("digest", "bytes")
         .agg(F.min("page_id").alias("owner"))
     )
-    joined = rows.join(owners, ["digest", "bytes"], "left").select("page_id", "uri", "payload", "owner")
+    joined = join_split(rows, owners, ["digest", "bytes"], "left").select("page_id", "uri", "payload", "owner")
     data = f"{location}/bundles"
     id_type = rows.schema["page_id"].dataType
     schema = T.StructType([T.StructField("page_id", id_type), *T.StructType.fromDDL("bundle string, frame int, offset bigint, length bigint")])

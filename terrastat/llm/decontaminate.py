@@ -317,11 +317,17 @@ def hits(index: Index, texts: pa.Array) -> list[tuple]:
             else:
                 places.append([low, high])
     for (text, item), places in groups.items():
+        stretches = []
         for low, high in places:
             if place := best_stretch(index.items[item], data_bytes[low:high], int(slack[item])):
-                distance, begin, end = place
-                begin, end = position[low + begin], position[low + end - 1] + 1
-                out.append((text, item, distance, int(begin - raw_offsets[text]), int(end - raw_offsets[text])))
+                stretches.append((place[0], low + place[1], low + place[2]))
+        # Neighbouring candidates may see one place, or an end of it: the nearest stretch counts.
+        taken: list[tuple[int, int]] = []
+        for distance, begin, end in sorted(stretches):
+            if all(end <= a or b <= begin for a, b in taken):
+                taken.append((begin, end))
+                old_begin, old_end = position[begin], position[end - 1] + 1
+                out.append((text, item, distance, int(old_begin - raw_offsets[text]), int(old_end - raw_offsets[text])))
     return out
 
 

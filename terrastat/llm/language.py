@@ -31,7 +31,7 @@ CENTROIDS = 4
 SAMPLE_ROWS = 4_000
 LEAST_ROWS = 50
 #: A text is rejected if its best cosine is below this share of the least that the sample shows.
-REJECT_SHARE = 0.5
+REJECT_SHARE = 0.25
 #: Texts in one block of vectors.
 BLOCK = 256
 

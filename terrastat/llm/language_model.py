@@ -32,11 +32,12 @@ from .packed import bucket_of, by_bucket, pack, summed, unpack
 
 #: The token after the last word of each text, and the history of its first.
 END = np.uint64(0x5851F42D4C957F2D)
-#: Tokens that a task counts before it sends them on.
-FLUSH_TOKENS = 2_000_000
+#: Tokens that a task counts before it sends them on, and bytes of text that it scores at once.
+FLUSH_TOKENS = 500_000
+SCORED_BYTES = 1 << 19
 BITS_PER_ENTRY = 6
 PROBES = 4
-FILTER_BYTES = 96 << 20
+FILTER_BYTES = 64 << 20
 HEAD_WORDS = 1 << 20
 #: Weight of the pair's own frequency against the word's.
 PAIR_WEIGHT = 0.6
@@ -132,7 +133,7 @@ def count_grams(rows: DataFrame, buckets: int) -> DataFrame:
             columns += [pa.array(c, pa.binary()) for c in zip(*parts.values())]
             return pa.RecordBatch.from_arrays(columns, ["bucket", "words", "word_counts", "pairs", "pair_counts"])
 
-        for batch in pieces(batches):
+        for batch in pieces(batches, SCORED_BYTES):
             # A text's tokens stay together, so a first word always follows END.
             tokens, _ = tokens_of(batch.column("text"))
             held.append(tokens)
@@ -140,6 +141,7 @@ def count_grams(rows: DataFrame, buckets: int) -> DataFrame:
             if size >= FLUSH_TOKENS:
                 yield flush()
                 held, size = [], 0
+                pa.default_memory_pool().release_unused()
         if size:
             yield flush()
 
@@ -184,14 +186,14 @@ def merge_grams(packed: DataFrame, buckets: int, bits_per_entry: int, filter_byt
     )
 
 
-def _words(model: DataFrame, least: int, most: int | None) -> DataFrame:
-    """(bucket, words, counts) packed, of the words with at least ``least`` and below ``most`` tokens."""
+def _frequent_words(model: DataFrame, least: int) -> DataFrame:
+    """(words, counts) packed, of the words with at least ``least`` tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 words, counts = unpack(row["words"]), np.frombuffer(row["counts"], "<i8")
-                chosen = (counts >= least) & (counts < most if most else True)
+                chosen = counts >= least
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([pack(words[chosen])], pa.binary()), pa.array([counts[chosen].tobytes()], pa.binary())], ["words", "counts"]
                 )
@@ -205,10 +207,11 @@ def _rare_words(model: DataFrame, below: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                words = unpack(row["words"]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(np.frombuffer(row["counts"], "<i8"))], ["word", "c"])
+                words, counts = unpack(row["words"]).view(np.int64), np.frombuffer(row["counts"], "<i8")
+                chosen = counts < below
+                yield pa.RecordBatch.from_arrays([pa.array(words[chosen]), pa.array(counts[chosen])], ["word", "c"])
 
-    return _words(model, 1, below).mapInArrow(run, "word bigint, c bigint")
+    return model.select("words", "counts").mapInArrow(run, "word bigint, c bigint")
 
 
 def _head_level(model: DataFrame, head_words: int) -> int:
@@ -264,7 +267,7 @@ def score_texts(
     del segments
     shared_filter = spark.sparkContext.broadcast(Filter(data, begins))
     least = _head_level(model, head_words)
-    head = _words(model, least, None).collect()
+    head = _frequent_words(model, least).collect()
     words = np.concatenate([np.empty(0, np.uint64), *(unpack(bytes(row["words"])) for row in head)])
     counts = np.concatenate([np.empty(0, np.int64), *(np.frombuffer(bytes(row["counts"]), "<i8") for row in head)])
     order = np.argsort(words)
@@ -273,7 +276,7 @@ def score_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, (head_words, head_counts) = shared_filter.value, shared_head.value
         next_row = TaskContext.get().partitionId() << 40
-        for batch in pieces(batches):
+        for batch in pieces(batches, SCORED_BYTES):
             tokens, per_text = tokens_of(batch.column("text"))
             begins = np.cumsum(per_text) - per_text
             distinct, inverse = np.unique(tokens, return_inverse=True)

@@ -22,6 +22,8 @@ from .components import components
 WORDS = 4
 MAX_BITS = 4
 SEED = 42
+#: Bytes of text that are hashed at once.
+HASHED_BYTES = 1 << 20
 #: More blocks: longer keys and so fewer candidates, but more keys for each fingerprint.
 BLOCKS = 7
 #: Fingerprints under one key that one task compares; a larger key is dealt out as pairs of parts.
@@ -74,7 +76,7 @@ def fingerprints_of(texts: pa.Array, words: int = WORDS) -> np.ndarray:
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """(doc_id, row_key, fingerprint bigint), a row for each row of ``df``; no shuffle."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
+        for batch in pieces(batches, HASHED_BYTES):
             marks = fingerprints_of(batch.column("text"), words).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("row_key"), pa.array(marks)],

@@ -78,6 +78,37 @@ def test_a_bounded_filter_keeps_the_frequent():
     assert (found[counts == 100] > 50).all() and (found[counts == 1] > 0).mean() < 0.2
 
 
+def test_no_ngram_is_left_out_however_large_the_filter(spark):
+    # 6000 n-grams of 16 KB each: 96 MB of filter.
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(30)), "a") for i in range(100)] + [(1000, "w1x0 w1x1 w2x7 new", "b")]
+    got = {r.doc_id: r.score for r in lm.score_texts(documents(spark, rows), F.col("lang") == "a", bits_per_entry=1 << 17).collect()}
+    counts, pairs = Counter(), Counter()
+    for _, text, lang in rows:
+        if lang == "a":
+            counts.update(words(text) + [None])
+            pairs.update(zip([None] + words(text), words(text) + [None]))
+    n, v = sum(counts.values()), len(counts)
+    middle = lambda c: 1.5 * 2 ** (c.bit_length() - 1) - 0.5 if c > 1 else c
+    for i, text, _ in rows:
+        want, before = 0.0, None
+        for token in words(text) + [None]:
+            alone = (middle(counts[token]) + 0.1) / (n + 0.1 * (v + 1))
+            share = min(1, middle(pairs[before, token]) / max(1, middle(counts[before])))
+            want += math.log10(0.6 * share + 0.4 * alone if counts[before] else alone)
+            before = token
+        assert got[i] == pytest.approx(want, rel=1e-9)
+
+
+def test_many_blocks_and_empty_texts(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = odd_rows() + [(1000 + i, sentence(rng, 40, 60), "en") for i in range(200)] + [(5000 + i, "", "en") for i in range(50)]
+    df, learned = documents(spark, rows), F.col("doc_id") % 3 != 0
+    want = sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.score, 9)) for r in lm.score_texts(df, learned).collect())
+    monkeypatch.setattr(lm, "READ_BYTES", 100)
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 300)
+    assert sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.score, 9)) for r in lm.score_texts(df, learned).collect()) == want
+
+
 def test_levels():
     assert lm.levels(np.array([1, 2, 3, 4, 7, 8, 1 << 30])).tolist() == [1, 2, 2, 3, 3, 4, 31]
 

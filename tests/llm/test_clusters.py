@@ -1,0 +1,91 @@
+import hashlib
+import random
+from math import floor, inf, isfinite, nan
+
+import numpy as np
+import pytest
+
+from llm_data import CLASHING
+from terrastat.llm import clusters
+
+
+def plain_nearest(vector, centroids):
+    return min((sum((a - b) ** 2 for a, b in zip(vector, c)), i) for i, c in enumerate(centroids))
+
+
+def expected(rows, k=16, rounds=3, dimensions=64):
+    kept = [
+        (i, [floor(64 * x) for x in v])
+        for i, v in rows
+        if v is not None and len(v) == dimensions and all(x is not None and isfinite(x) for x in v)
+    ]
+    mark = lambda r: (hashlib.sha256(f"1:{'' if r[0] is None else r[0]}".encode()).hexdigest(), r[1])
+    centroids = [v for _, v in sorted(kept, key=mark)[:k]]
+    for _ in range(rounds):
+        members = {}
+        for _, v in kept:
+            members.setdefault(plain_nearest(v, centroids)[1], []).append(v)
+        centroids = [[sum(p) // len(members[c]) for p in zip(*members[c])] if c in members else old for c, old in enumerate(centroids)]
+    found = [(i, *plain_nearest(v, centroids)[::-1]) for i, v in kept]
+    inertia = {}
+    for _, c, d in found:
+        inertia[c] = inertia.get(c, 0) + d
+    digest = lambda c: hashlib.sha256(",".join(map(str, centroids[c])).encode()).hexdigest()
+    return [(i, c, d, inertia[c], sum(inertia.values()), digest(c)) for i, c, d in found]
+
+
+def table(spark, rows, kind="float"):
+    data = [(i, v, *["x"] * len(CLASHING)) for i, v in rows]
+    return spark.createDataFrame(data, f"vec_id bigint, embedding array<{kind}>" + "".join(f", `{c}` string" for c in CLASHING)).repartition(3)
+
+
+def same(spark, rows, df):
+    key = lambda r: tuple((v is not None, v) for v in r)
+    return sorted([tuple(r) for r in df.collect()], key=key) == sorted(expected(rows), key=key)
+
+
+@pytest.mark.parametrize("spread", [1, 3, 200])
+def test_walk_finds_the_nearest(spread):
+    rng = np.random.default_rng(spread)
+    vectors = rng.integers(-spread, spread + 1, (300, 5))
+    for k in (1, 2, 16, 40):
+        centroids = rng.integers(-spread, spread + 1, (k, 5))
+        nearest, distance = clusters.nearest_centroids(vectors, centroids)
+        assert list(zip(distance.tolist(), nearest.tolist())) == [plain_nearest(v, centroids.tolist()) for v in vectors.tolist()]
+
+
+def test_walk_in_slices(monkeypatch):
+    rng = np.random.default_rng(9)
+    vectors, centroids = rng.integers(-50, 50, (100, 8)), rng.integers(-50, 50, (6, 8))
+    whole = clusters.nearest_centroids(vectors, centroids)
+    monkeypatch.setattr(clusters, "WALK_CELLS", 40)
+    sliced = clusters.nearest_centroids(vectors, centroids)
+    assert all((a == b).all() for a, b in zip(whole, sliced))
+    assert all(len(a) == 0 for a in clusters.nearest_centroids(vectors[:0], centroids))
+
+
+def test_clusters(spark):
+    rng = random.Random(1)
+    middles = [[rng.uniform(-1, 1) for _ in range(64)] for _ in range(20)]
+    as_float = lambda v: [float(np.float32(x)) for x in v]
+    rows = [(i, as_float([x + rng.gauss(0, 0.2) for x in rng.choice(middles)])) for i in range(400)]
+    hot = as_float(middles[0])
+    rows += [(1000 + i, hot) for i in range(200)] + [rows[5], rows[5], (None, rows[6][1]), (None, hot), (5, hot)]
+    odd = [(2000, None), (2001, []), (2002, hot[:63]), (2003, hot + [0.0]), (2004, [None] + hot[1:]), (2005, [nan] + hot[1:]), (2006, [inf] + hot[1:]), (2007, [-inf] + hot[1:])]
+    got = clusters.centroid_clusters(table(spark, rows + odd))
+    assert same(spark, rows, got)
+    assert [f.dataType.simpleString() for f in got.schema] == ["bigint", "int", "bigint", "bigint", "bigint", "string"]
+
+
+def test_far_vectors_are_left_out_and_large_ones_exact(spark):
+    rows = [(i, [float((i * 37 + j) % 5) * 2.0**18 for j in range(64)]) for i in range(40)]
+    far = [(100, [2.0**21] * 64), (101, [-3e38] + [0.0] * 63)]
+    assert same(spark, rows, clusters.centroid_clusters(table(spark, rows + far, "double")))
+
+
+def test_few_and_no_vectors(spark):
+    rows = [(1, [0.5] * 64), (2, [-0.51] * 64)]
+    assert same(spark, rows, clusters.centroid_clusters(table(spark, rows)))
+    empty = clusters.centroid_clusters(table(spark, [(1, None)]))
+    assert empty.collect() == [] and empty.columns[0] == "vec_id"
+    assert clusters.centroid_clusters(table(spark, rows).limit(0)).count() == 0

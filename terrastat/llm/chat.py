@@ -131,7 +131,9 @@ def chat_windows(
     turns = _turns(df, conv_col, turn_col, role_col, text_col, tokens)
     joined = turns.join(_blocks(turns, budget // 2), ["key", "block"])
 
-    place = Window.partitionBy("key", "block").orderBy("turn", "role", "text")
+    # With the number of parts among the keys, a filter on it reaches the blocks, before any text.
+    keys = ["key", "block", "parts"]
+    place = Window.partitionBy(*keys).orderBy("turn", "role", "text")
     sofar = place.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     room = F.floor((F.lit(budget - history) - F.col("system_tokens")) / 2)
     chars = F.length("role") + F.length("text") + len(f"{START}\n{END}\n")
@@ -157,13 +159,13 @@ def chat_windows(
     numbered = spans.withColumn("begins", begins).withColumn("window", F.sum(F.col("begins").cast("bigint")).over(sofar))
 
     turn = F.struct("n", "role", "text", "before", "tokens", "chars_before", "is_head")
-    windows = numbered.groupBy("key", "block", "window").agg(
+    windows = numbered.groupBy(*keys, "window").agg(
         F.sort_array(F.collect_list(turn)).alias("new"),
-        *[F.first(c).alias(c) for c in ("conv_id", "parts", "system")],
+        *[F.first(c).alias(c) for c in ("conv_id", "system")],
     )
     last = F.element_at("new", -1)
     tail = F.filter("new", lambda t: (last["before"] + last["tokens"] - t["before"] <= history) & ~t["is_head"])
-    follows = Window.partitionBy("key", "block").orderBy("window")
+    follows = Window.partitionBy(*keys).orderBy("window")
     nothing = F.filter(F.transform("new", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))), lambda t: F.lit(False))
     tailed = windows.withColumn("tail", F.transform(tail, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))))
     system = F.array(F.struct(F.lit(SYSTEM).alias("role"), F.col("system").alias("text")))

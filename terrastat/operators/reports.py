@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.codes import AREA_PREFIX
 from .ordering import BUCKET_BITS, forward_fill
+from .rejects import FAULTS, cell_fault, row_faults
 
 # Fixed values of the source format.
 NOISE_LABELS = ("nan", "total", "edad")
@@ -54,17 +55,28 @@ def sectioned_report(
     return filled.where(~is_header).select(*keys, seq, "area_code", "area_name", label, value)
 
 
-def typed_cells(df: DataFrame, *, label: str, value: str) -> DataFrame:
+def typed_cells(df: DataFrame, *, label: str, value: str, keep: Sequence[str] = ()) -> DataFrame:
     """Cast a flattened report: (region, area) from the 5-digit code, label and value to int.
 
     ``is_reject`` marks the lines with a part that did not convert; they are kept, so that a
-    caller can count or store them.
+    caller can count or store them. With the columns ``keep`` come the line's own place and, in
+    ``faults``, the cells that did not convert, ready for the quarantine.
     """
+    code = F.col("area_code")
     parts = {
         "id_prov": F.substring("area_code", 1, 2).try_cast("int"),
         "id_depto": F.substring("area_code", 3, 3).try_cast("int"),
         label: F.col(label).try_cast("int"),
         value: F.col(value).try_cast("int"),
     }
-    typed = df.select(*[c.alias(n) for n, c in parts.items()])
+    bad = {name: part.isNull() for name, part in parts.items()}
+    columns = [c.alias(n) for n, c in parts.items()]
+    if keep:
+        found = row_faults(
+            cell_fault("area_code", code, bad["id_prov"] | bad["id_depto"], "not an area code"),
+            *[cell_fault(c, F.col(c), bad[c], "not a whole number") for c in (label, value)],
+        )
+        typed = df.select(*keep, *columns, found.alias(FAULTS))
+    else:
+        typed = df.select(*columns)
     return typed.withColumn("is_reject", F.greatest(*[F.col(n).isNull() for n in parts]))

@@ -16,7 +16,7 @@ from ..functions import (
     split_glued_key,
     to_number,
 )
-from ..operators import aggregates, ordering, quality, reports as report_ops, reshape, stats
+from ..operators import aggregates, ordering, quality, rejects, reports as report_ops, reshape, stats
 from ..operators.joins import lookup, remap
 from ..sources import MODEL_SCHEMAS, literal_table
 from . import reports, study
@@ -124,6 +124,43 @@ def composite_key_split(t: StandIns) -> DataFrame:
     )
 
 
+def _decoded(t: StandIns) -> dict[str, DataFrame]:
+    """Codes, keys and report lines decoded, each row with its place and its faults."""
+    code, key = F.col("cod_loc"), F.col("glued")
+    lines = report_ops.sectioned_report(
+        t.raw_report(with_words=True), keys=["path"], seq="seq", label="Edad", value="Casos"
+    )
+    return {
+        "codes": t.location_codes().select(
+            F.lit("customer").alias("path"),
+            F.col("c_custkey").alias("seq"),
+            rejects.row_faults(
+                rejects.cell_fault("cod_loc", code, is_location_reject(code), "not 7 or 8 digits")
+            ).alias(rejects.FAULTS),
+        ),
+        "keys": t.glued_keys().select(
+            F.lit("supplier").alias("path"),
+            F.col("s_suppkey").alias("seq"),
+            rejects.row_faults(
+                rejects.cell_fault("glued", key, is_glued_key_reject(key), "not 4 or 5 digits")
+            ).alias(rejects.FAULTS),
+        ),
+        "lines": report_ops.typed_cells(lines, label="Edad", value="Casos", keep=["path", "seq"]),
+    }
+
+
+@register
+def reject_table(t: StandIns) -> DataFrame:
+    """Every cell that did not decode, with its place, its text and the reason."""
+    decoded = _decoded(t)
+    return rejects.reject_table(decoded, {source: ("path", "seq") for source in decoded})
+
+
+@register
+def reject_counts(t: StandIns) -> DataFrame:
+    return rejects.reject_counts(_decoded(t))
+
+
 @register
 def key_remap(t: StandIns) -> DataFrame:
     places = t.table("customer").select(

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import quality, stats
+from ..operators.reshape import is_set
 from ..sources import load_model, save_model, stage
 from . import model as raw_model, reports, study
 
@@ -41,16 +42,17 @@ def report_tables(
 
 
 def quality_tables(
-    register: DataFrame, centres: DataFrame, population: DataFrame
+    centres: DataFrame, population: DataFrame, decoded: dict[str, DataFrame]
 ) -> dict[str, DataFrame]:
-    """Quality metrics of the raw sources, by name; lazy."""
+    """Quality metrics of the raw and the decoded sources, by name; lazy."""
     return {
         "calidad_poblacion": quality.numeric_quality(population, "Edad"),
         "calidad_centros": quality.contact_quality(centres, "Mail "),
         "calidad_establecimientos": quality.flag_quality(
-            raw_model.establishment_info(register), list(study.FLAG_COLUMNS)
+            decoded["register"].where(is_set("comun")), list(study.FLAG_COLUMNS)
         ),
-        "rechazos": raw_model.rejects(register, centres, population),
+        "rechazos": raw_model.rejects(decoded),
+        "rechazos_celdas": raw_model.rejected_cells(decoded),
     }
 
 
@@ -61,15 +63,15 @@ def run_study(
 
     A stored report has its order in ``posicion``, which ascends but has gaps.
 
-    The parsed sources are staged, the model is written, and the reports read the written model:
-    no report recomputes the cleaning, and a lost executor costs a re-read.
+    The sources are decoded once, into staged rows that hold their faults; the model, the reject
+    table and the counts are selections of these. The reports read the written model: no report
+    recomputes the cleaning, and a lost executor costs a re-read.
     """
-    sources = {
-        "register": stage(raw_model.read_register(spark, register)),
-        "centres": stage(raw_model.read_centres(spark, centres)),
-        "population": stage(raw_model.read_population(spark, population)),
-    }
-    save_model(raw_model.build_model(**sources), f"{out}/model")
+    raw_centres = stage(raw_model.read_centres(spark, centres))
+    raw_population = stage(raw_model.read_population(spark, population))
+    sources = raw_model.decode(raw_model.read_register(spark, register), raw_centres, raw_population)
+    decoded = {name: stage(rows) for name, rows in sources.items()}
+    save_model(raw_model.model_tables(decoded), f"{out}/model")
     model = load_model(spark, f"{out}/model")
     written = {}
 
@@ -83,5 +85,5 @@ def run_study(
 
     write({"consulta_1": reports.levels_report(model)})
     write(report_tables(model, levels=written["consulta_1"]))
-    write(quality_tables(**sources))
+    write(quality_tables(raw_centres, raw_population, decoded))
     return written

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import (
     first_email,
@@ -15,6 +15,15 @@ from ..functions import (
 )
 from ..operators.joins import remap
 from ..operators.ordering import dense_row_id
+from ..operators.rejects import (
+    FAULTS,
+    cell_fault,
+    has_fault,
+    is_faulty,
+    reject_counts,
+    reject_table,
+    row_faults,
+)
 from ..operators.reports import sectioned_report, typed_cells
 from ..operators.reshape import extract_dimension, is_set, unpivot_flags
 from ..sources import literal_table, read_delimited, read_workbooks, sheet_columns
@@ -44,16 +53,16 @@ _CENTRES_SCHEMA = T.StructType(
 
 
 def read_register(spark: SparkSession, path: str) -> DataFrame:
-    """Establishment register workbooks: all cells as text, renamed to plain names."""
+    """Establishment register workbooks: all cells as text, renamed to plain names, by (path, row_no)."""
     sheet = read_workbooks(
         spark, path, skip_rows=study.REGISTER_PREAMBLE_ROWS, required=list(_REGISTER_COLUMNS)
     )
-    return sheet_columns(sheet, _REGISTER_COLUMNS).drop("path", "row_no")
+    return sheet_columns(sheet, _REGISTER_COLUMNS)
 
 
 def read_centres(spark: SparkSession, path: str) -> DataFrame:
-    """Cultural-centre lists with their row order in (path, seq); ``lost`` marks unread cells."""
-    return read_delimited(spark, path, _CENTRES_SCHEMA, seq="seq", reject="lost")
+    """Cultural-centre lists with their row order in (path, seq); ``faults`` lists unread cells."""
+    return read_delimited(spark, path, _CENTRES_SCHEMA, seq="seq", faults=FAULTS)
 
 
 def read_population(spark: SparkSession, path: str) -> DataFrame:
@@ -64,11 +73,20 @@ def read_population(spark: SparkSession, path: str) -> DataFrame:
     return sheet_columns(sheet, {"B": "Edad", "C": "Casos"})
 
 
-def _decoded_register(register: DataFrame) -> DataFrame:
-    """Every row of the register, with ``is_reject`` where its number or location did not decode."""
+#: Where a decoded row of each source stood: its path and position columns.
+PLACES = {"register": ("path", "row_no"), "centres": ("path", "seq"), "population": ("path", "row_no")}
+
+
+def decode_register(register: DataFrame) -> DataFrame:
+    """Every row of the register, with the faults of its number and location."""
     district = F.upper("departamento")
     code, number = F.col("cod_loc"), to_whole(F.col("Cueanexo"), "bigint")
+    found = row_faults(
+        cell_fault("Cueanexo", F.col("Cueanexo"), number.isNull(), "not a whole number"),
+        cell_fault("Código de localidad", code, is_location_reject(code), "not 7 or 8 digits"),
+    )
     return register.select(
+        *PLACES["register"],
         "comun",
         number.alias("Cueanexo"),
         F.upper("jurisdiccion").alias("nombre"),
@@ -78,64 +96,86 @@ def _decoded_register(register: DataFrame) -> DataFrame:
         *[F.col(f"`{flag}`") for flag in study.FLAG_COLUMNS],
         location_province(code).alias("id_prov"),
         location_department(code, district).alias("id_depto"),
-        (is_location_reject(code) | number.isNull()).alias("is_reject"),
+        found.alias(FAULTS),
     )
 
 
+def _common(decoded: DataFrame) -> DataFrame:
+    return decoded.where(is_set("comun")).drop("comun")
+
+
 def establishment_info(register: DataFrame) -> DataFrame:
     """Common-modality establishments with decoded location; flags stay as they are."""
-    return _decoded_register(register).where(is_set("comun")).drop("comun")
+    return _common(decode_register(register))
+
+
+def decode_centres(centres: DataFrame) -> DataFrame:
+    """Every centre with its key split and its faults: unread cells, a province or key that is missing
+    or malformed."""
+    key = F.col("ID_DEPTO").cast("string")
+    _, department = split_glued_key(key)
+    unread = lambda column: F.coalesce(has_fault(column), F.lit(False))
+    nothing = F.lit(False)
+    found = row_faults(
+        F.when(~unread("ID_PROV"), cell_fault("ID_PROV", F.col("ID_PROV"), nothing, "")),
+        F.when(~unread("ID_DEPTO"), cell_fault("ID_DEPTO", key, is_glued_key_reject(key), "not 4 or 5 digits")),
+    )
+    return centres.select(
+        *PLACES["centres"],
+        F.col("ID_PROV").alias("id_prov"),
+        department.alias("id_depto"),
+        F.substring(key, 2, 4).try_cast("int").alias("city_depto"),
+        "Departamento",
+        F.col("`Mail `").alias("Mail"),
+        "Capacidad",
+        F.concat(F.col(FAULTS), found).alias(FAULTS),
+    )
 
 
-def _centre_reject(centres: DataFrame) -> Column:
-    """A centre whose province or glued key is missing or malformed, or that has an unread cell."""
-    bad = is_glued_key_reject(F.col("ID_DEPTO").cast("string")) | F.col("ID_PROV").isNull()
-    return bad | F.col("lost") if "lost" in centres.columns else bad
+def _numbered_centres(decoded: DataFrame) -> DataFrame:
+    numbered = dense_row_id(decoded, "seq", keys=["path"], id_col="id_cc")
+    return numbered.select("id_cc", "id_prov", "id_depto", "Mail", "Capacidad")
 
 
 def centres_info(centres: DataFrame) -> DataFrame:
     """Centres numbered in file order, key split, mail as typed."""
-    _, department = split_glued_key(F.col("ID_DEPTO").cast("string"))
-    numbered = dense_row_id(centres, "seq", keys=["path"], id_col="id_cc")
-    return numbered.select(
-        "id_cc",
-        F.col("ID_PROV").alias("id_prov"),
-        department.alias("id_depto"),
-        F.col("`Mail `").alias("Mail"),
-        "Capacidad",
-    )
+    return _numbered_centres(decode_centres(centres))
+
 
+def decode_population(population: DataFrame) -> DataFrame:
+    """Every detail line of the population with its faults; departments renumbered.
 
-def population_cells(population: DataFrame) -> DataFrame:
-    """Tidy population lines with ``is_reject``; departments renumbered."""
+    Headings, totals and blank lines hold no data and are left behind.
+    """
     flat = sectioned_report(
         population, keys=["path"], seq="row_no", label="Edad", value="Casos"
     )
-    typed = typed_cells(flat, label="Edad", value="Casos")
-    return remap(typed, study.MOVED_DEPARTMENTS, region="id_prov", area="id_depto")
+    typed = typed_cells(flat, label="Edad", value="Casos", keep=PLACES["population"])
+    return remap(typed.drop("is_reject"), study.MOVED_DEPARTMENTS, region="id_prov", area="id_depto")
 
 
-def build_model(
-    register: DataFrame, centres: DataFrame, population: DataFrame
-) -> dict[str, DataFrame]:
-    """The seven model tables, lazy.
+def decode(register: DataFrame, centres: DataFrame, population: DataFrame) -> dict[str, DataFrame]:
+    """The raw sources decoded, by name; lazy. Stage them: every table is made from these rows."""
+    return {
+        "register": decode_register(register),
+        "centres": decode_centres(centres),
+        "population": decode_population(population),
+    }
+
+
+def model_tables(decoded: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The seven model tables from the decoded sources; lazy.
 
-    Each source is read several times: pass staged tables (:func:`terrastat.sources.stage`).
-    Rows of any source that did not decode are counted by :func:`rejects`; establishments and
-    centres among them are kept, with what could be decoded.
+    Population lines with a fault are left out; establishments and centres with one are kept, with
+    what could be decoded. The faults of all of them are in :func:`rejected_cells`.
     """
-    info = establishment_info(register)
-    city = centres.where(F.col("ID_PROV") == study.CITY_PROVINCE).select(
-        "ID_PROV",
-        F.substring(F.col("ID_DEPTO").cast("string"), 2, 4).try_cast("int"),
-        "Departamento",
-    )
-    spark = register.sparkSession
+    info = _common(decoded["register"])
+    centres, population = decoded["centres"], decoded["population"]
+    city = centres.where(F.col("id_prov") == study.CITY_PROVINCE).select("id_prov", "city_depto", "Departamento")
+    spark = info.sparkSession
     return {
-        "Poblacion": population_cells(population).where("not is_reject").drop("is_reject"),
-        "Centros_culturales": centres_info(centres).withColumn(
-            "Mail", first_email(F.col("Mail"))
-        ),
+        "Poblacion": population.where(~is_faulty()).select("id_prov", "id_depto", "Edad", "Casos"),
+        "Centros_culturales": _numbered_centres(centres).withColumn("Mail", first_email(F.col("Mail"))),
         "Establecimientos_educativos": info.select(
             "Cueanexo", "id_prov", "id_depto", "ambito", "sector"
         ),
@@ -154,17 +194,21 @@ def build_model(
     }
 
 
-def rejects(register: DataFrame, centres: DataFrame, population: DataFrame) -> DataFrame:
-    """How many rows did not decode, by source, counted before any of them is left out.
+def build_model(
+    register: DataFrame, centres: DataFrame, population: DataFrame
+) -> dict[str, DataFrame]:
+    """The seven model tables from the raw sources, lazy; each source is decoded once a table."""
+    return model_tables(decode(register, centres, population))
+
+
+def rejected_cells(decoded: dict[str, DataFrame]) -> DataFrame:
+    """(source, path, position, column, raw, reason) of every cell that did not decode."""
+    return reject_table(decoded, PLACES)
+
+
+def rejects(decoded: dict[str, DataFrame]) -> DataFrame:
+    """How many rows and cells did not decode, by source, before any row is left out.
 
     Of the population these are its detail lines: headings, totals and blank lines hold no data.
     """
-    codes = _decoded_register(register).select(F.lit("register").alias("source"), "is_reject")
-    places = centres.select(F.lit("centres"), _centre_reject(centres))
-    lines = population_cells(population).select(F.lit("population"), "is_reject")
-    return (
-        codes.union(places)
-        .union(lines)
-        .groupBy("source")
-        .agg(F.count(F.lit(1)).alias("total"), F.count_if("is_reject").alias("rejected"))
-    )
+    return reject_counts(decoded)

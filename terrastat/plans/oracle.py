@@ -112,6 +112,68 @@ raw AS (
   FROM orders
 )"""
 
+_FAULTS = """
+codes AS (
+  SELECT c_custkey AS seq,
+         CAST((c_nationkey + 1) * 1000000 + (c_custkey % 15 + 1) * 1000 + 7 AS VARCHAR) AS digits
+  FROM customer
+),
+typed_codes AS (
+  SELECT seq, CASE seq % 13 WHEN 0 THEN NULL WHEN 1 THEN substring(digits, 1, 6)
+                            WHEN 2 THEN 'x' || substring(digits, 2, 7) WHEN 3 THEN 's/d'
+                            ELSE digits END AS raw
+  FROM codes
+),
+keys AS (
+  SELECT s_suppkey AS seq, CAST((s_nationkey + 1) * 1000 + (s_suppkey % 5) * 7 AS VARCHAR) AS digits
+  FROM supplier
+),
+typed_keys AS (
+  SELECT seq, CASE seq % 7 WHEN 0 THEN NULL WHEN 1 THEN '12'
+                           WHEN 2 THEN 'abc' || substring(digits, 1, 2) ELSE digits END AS raw
+  FROM keys
+),
+raw_lines AS (
+  SELECT o_orderkey AS seq,
+         CASE WHEN o_orderkey = (SELECT max(o_orderkey) FROM orders) THEN 'RESUMEN'
+              WHEN o_orderpriority = '1-URGENT'
+                THEN 'AREA # ' || CASE WHEN o_custkey % 17 = 3 THEN 's/d'
+                                       ELSE lpad(CAST(o_custkey AS VARCHAR), 5, '0') END
+              WHEN o_orderstatus = 'P' THEN 'Total'
+              WHEN o_custkey % 17 = 6 THEN '85 y más'
+              ELSE CAST(o_custkey % 111 AS VARCHAR) END AS label,
+         CASE WHEN o_orderpriority = '1-URGENT' THEN o_orderpriority
+              WHEN o_custkey % 17 = 4 THEN NULL
+              WHEN o_custkey % 17 = 5 THEN 'muchos'
+              ELSE CAST(CAST(trunc(o_totalprice) AS BIGINT) AS VARCHAR) END AS cell
+  FROM orders
+),
+lines AS (
+  SELECT l.seq, l.label, l.cell, replace(h.label, 'AREA # ', '') AS area
+  FROM raw_lines l ASOF LEFT JOIN (SELECT * FROM raw_lines WHERE label LIKE 'AREA%') h ON h.seq <= l.seq
+  WHERE l.label NOT LIKE 'AREA%' AND lower(l.label) <> 'total' AND l.label <> 'RESUMEN'
+),
+faults AS (
+  SELECT 'codes' AS source, 'customer' AS path, seq AS position, 'cod_loc' AS "column", raw,
+         CASE WHEN raw IS NULL THEN 'missing' ELSE 'not 7 or 8 digits' END AS reason
+  FROM typed_codes WHERE raw IS NULL OR NOT regexp_full_match(raw, '[0-9]{7,8}')
+  UNION ALL
+  SELECT 'keys', 'supplier', seq, 'glued', raw,
+         CASE WHEN raw IS NULL THEN 'missing' ELSE 'not 4 or 5 digits' END
+  FROM typed_keys WHERE raw IS NULL OR NOT regexp_full_match(raw, '[0-9]{4,5}')
+  UNION ALL
+  SELECT 'lines', 'orders', seq, 'area_code', area,
+         CASE WHEN area IS NULL THEN 'missing' ELSE 'not an area code' END
+  FROM lines WHERE area IS NULL OR area = 's/d'
+  UNION ALL
+  SELECT 'lines', 'orders', seq, 'Edad', label, 'not a whole number'
+  FROM lines WHERE label = '85 y más'
+  UNION ALL
+  SELECT 'lines', 'orders', seq, 'Casos', cell,
+         CASE WHEN cell IS NULL THEN 'missing' ELSE 'not a whole number' END
+  FROM lines WHERE cell IS NULL OR cell = 'muchos'
+)"""
+
 _MAIL = """
 centres AS (
   SELECT event_id AS id, CAST(user_id % 25 AS INTEGER) AS p, event_type AS d, value,
@@ -272,6 +334,16 @@ ORACLE_SQL = {
                  AS id_depto,
                NOT coalesce(regexp_full_match(k, '[0-9]{4,5}'), FALSE) AS is_reject
         FROM typed""",
+    "reject_table": f"WITH {_FAULTS} SELECT * FROM faults",
+    "reject_counts": f"""
+        WITH {_FAULTS},
+        totals AS (
+          SELECT 'codes' AS source, count(*) AS total FROM typed_codes
+          UNION ALL SELECT 'keys', count(*) FROM typed_keys
+          UNION ALL SELECT 'lines', count(*) FROM lines
+        )
+        SELECT t.source, total, count(DISTINCT position) AS rejected, count(f.position) AS faults
+        FROM totals t LEFT JOIN faults f ON f.source = t.source GROUP BY t.source, total""",
     "key_remap": """
         SELECT c_custkey, c_nationkey AS id_prov,
                CAST(CASE WHEN c_nationkey = 4 AND c_custkey % 20 = 8 THEN 7

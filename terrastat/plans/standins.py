@@ -214,22 +214,31 @@ class StandIns:
             self._order_areas(), F.col("l_orderkey") == F.col("o_orderkey")
         ).select("id_prov", "price")
 
-    def raw_report(self) -> DataFrame:
+    def raw_report(self, with_words: bool = False) -> DataFrame:
         """The orders as lines (seq, Edad, Casos) of one sectioned report.
 
-        Urgent orders open a section, pending ones are totals, the last one is the summary.
+        Urgent orders open a section, pending ones are totals, the last one is the summary. With
+        words there is a ``path``, some ages and areas are words and some cells are empty.
         """
         orders = self.table("orders")
         last = orders.agg(F.max("o_orderkey")).scalar()
         code = F.lpad(F.col("o_custkey").cast("string"), 5, "0")
         is_header = F.col("o_orderpriority") == "1-URGENT"
         price = F.col("o_totalprice").cast("bigint").cast("string")
+        if with_words:
+            kind = F.col("o_custkey") % 17
+            code = F.when(kind == 3, F.lit("s/d")).otherwise(code)
+            price = F.when(kind == 4, F.lit(None)).when(kind == 5, F.lit("muchos")).otherwise(price)
+            age = F.when(kind == 6, F.lit("85 y más")).otherwise((F.col("o_custkey") % 111).cast("string"))
+        else:
+            age = (F.col("o_custkey") % 111).cast("string")
         return orders.select(
+            *([F.lit("orders").alias("path")] if with_words else []),
             F.col("o_orderkey").alias("seq"),
             F.when(F.col("o_orderkey") == last, "RESUMEN")
             .when(is_header, F.concat(F.lit("AREA # "), code))
             .when(F.col("o_orderstatus") == "P", "Total")
-            .otherwise((F.col("o_custkey") % 111).cast("string"))
+            .otherwise(age)
             .alias("Edad"),
             F.when(is_header, F.col("o_orderpriority")).otherwise(price).alias("Casos"),
         )

@@ -48,6 +48,7 @@ def read_delimited(
     null_tokens: Sequence[str] = NULL_TOKENS,
     seq: str | None = None,
     reject: str | None = None,
+    faults: str | None = None,
     multi_line: bool = False,
 ) -> DataFrame:
     """Read the columns named in ``schema`` (verbatim, spaces included) with its types.
@@ -59,8 +60,10 @@ def read_delimited(
 
     Cells are read as text, missing-value tokens become NULL, and the rest is converted: what is not
     a number (``nan`` and ``1d`` are none) becomes NULL, whole numbers may be written ``12.0``. With
-    ``reject``, a boolean column tells the rows with a cell that did not convert. With ``seq``, two columns are added: ``path`` and a bigint that is unique and
-    ascending in file order within it, as the ordering operators need. That is the byte offset of
+    ``reject``, a boolean column tells the rows with a cell that did not convert; with ``faults``, an
+    array column lists those cells with their text, for :mod:`terrastat.operators.rejects`. With
+    ``seq``, two columns are added: ``path`` and a bigint that is unique and ascending in file order
+    within it, as the ordering operators need. That is the byte offset of
     the row's file split plus the row's number in its task: a task reads at most one split's
     length of bytes and a row has at least one, so offsets of successive splits never overlap.
     Splits depend on the cluster's size at the moment of the scan: write the result out
@@ -79,9 +82,15 @@ def read_delimited(
         )
     texts = {name: F.when(~c.isin(*null_tokens), c) for name, c in columns.items()}
     typed = {name: _converted(text, schema[name].dataType) for name, text in texts.items()}
+    lost = {name: text.isNotNull() & typed[name].isNull() for name, text in texts.items()}
     if reject is not None:
-        lost = [text.isNotNull() & typed[name].isNull() for name, text in texts.items()]
-        typed[reject] = F.greatest(F.lit(False), F.lit(False), *lost)
+        typed[reject] = F.greatest(F.lit(False), F.lit(False), *lost.values())
+    if faults is not None:
+        cells = [
+            F.when(bad, F.struct(F.lit(name).alias("column"), texts[name].alias("raw"), F.lit("does not convert").alias("reason")))
+            for name, bad in lost.items()
+        ]
+        typed[faults] = F.array_compact(F.array(*cells))
     return raw.select(
         *(["path", seq] if seq is not None else []), *[c.alias(name) for name, c in typed.items()]
     )

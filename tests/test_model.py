@@ -133,13 +133,66 @@ def test_population(tables, rows):
 
 
 def test_rejects_are_counted(raw, rows):
-    assert rows(model.rejects(**raw)) == [
-        ("centres", 3, 0),
-        ("population", 4, 0),
-        ("register", 5, 1),  # the row of another modality counts too
+    assert rows(model.rejects(model.decode(**raw))) == [
+        ("centres", 3, 0, 0),
+        ("population", 4, 0, 0),
+        ("register", 5, 1, 1),  # the row of another modality counts too
     ]
 
 
+def test_rejected_cells_are_kept(spark, tmp_path, rows):
+    register = [[None, "x", "Sur", "Uno", 6028010, "Urbano", "Estatal", "1", "1"],
+                ["12x", "x", "Sur", "Uno", "s/d", "Urbano", "Estatal", " ", "1"],
+                [900000300, "x", "Sur", "Uno", None, "Urbano", "Estatal", "1", "1"],
+                [900000301, "x", "Sur", "Uno", 6028010, "Urbano", "Estatal", "1", "1"]]
+    population = [["Edad", "Casos"], [1, 2], ["AREA # xx203", "Corta"], [3, 4], ["AREA # 06028", "Buena"],
+                  ["85 y más", 5], [6, None], [7, 8]]
+    for name in ("ee", "cc", "pp"):
+        (tmp_path / name).mkdir()
+    write_workbook(tmp_path / "ee" / "r.xlsx", [["preamble"]] * 6 + [HEADER] + register)
+    (tmp_path / "cc" / "c.csv").write_text(
+        "ID_PROV,ID_DEPTO,Departamento,Mail ,Capacidad\n"
+        "dos,2000,A,,mucha\n,,B,,1\n6,602,C,,2\n6,6028,D,,NA\n", encoding="utf-8"
+    )
+    write_workbook(tmp_path / "pp" / "p.xlsx", [["preamble"]] * 13 + [[None, *line] for line in population])
+    decoded = {
+        name: stage(df)
+        for name, df in model.decode(
+            model.read_register(spark, str(tmp_path / "ee")),
+            stage(model.read_centres(spark, str(tmp_path / "cc"))),
+            stage(model.read_population(spark, str(tmp_path / "pp"))),
+        ).items()
+    }
+    cells = model.rejected_cells(decoded)
+    assert all(r.path.endswith((".xlsx", ".csv")) for r in cells.collect())
+    assert rows(cells.where("source = 'register'").drop("source", "path")) == [
+        (8, "Cueanexo", None, "missing"),
+        (9, "Cueanexo", "12x", "not a whole number"),
+        (9, "Código de localidad", "s/d", "not 7 or 8 digits"),
+        (10, "Código de localidad", None, "missing"),
+    ]
+    centres = cells.where("source = 'centres'")
+    assert len({r.position for r in centres.collect()}) == 3
+    assert rows(centres.drop("source", "path", "position")) == [
+        ("Capacidad", "mucha", "does not convert"),
+        ("ID_DEPTO", "602", "not 4 or 5 digits"),
+        ("ID_DEPTO", None, "missing"),
+        ("ID_PROV", "dos", "does not convert"),
+        ("ID_PROV", None, "missing"),
+    ]
+    assert rows(cells.where("source = 'population'").drop("source", "path")) == [
+        (15, "area_code", None, "missing"),
+        (17, "area_code", "xx203", "not an area code"),
+        (19, "Edad", "85 y más", "not a whole number"),
+        (20, "Casos", None, "missing"),
+    ]
+    counts = {r.source: tuple(r)[1:] for r in model.rejects(decoded).collect()}
+    assert counts == {"register": (4, 3, 4), "centres": (4, 3, 5), "population": (5, 4, 4)}
+    kept = model.model_tables(decoded)
+    assert rows(kept["Poblacion"]) == [(6, 28, 7, 8)]
+    assert kept["Centros_culturales"].count() == 4
+
+
 def test_reports_run_on_the_model(tables, rows):
     assert rows(reports.levels_report(tables)) == [
         ("CIUDAD DE BUENOS AIRES", "COMUNA 5", 0, 10, 1, 20, 0, 5)
@@ -161,7 +214,8 @@ def test_quality_of_the_raw_sources(raw):
 
 def test_the_whole_study(spark, files, tmp_path):
     written = job.run_study(spark, **files, out=str(tmp_path))
-    assert len(written) == 16
+    assert len(written) == 17
+    assert written["rechazos_celdas"].count() == written["rechazos"].agg({"faults": "sum"}).first()[0] == 1
     assert written["consulta_3"].count() == 5
     assert [r.id_prov for r in written["provincias_sin_grupo"].collect()] == [12]
     assert written["grafico_2_recta"].count() == 3000

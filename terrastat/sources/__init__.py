@@ -1,6 +1,6 @@
 from .delimited import NULL_TOKENS, read_delimited
 from .literal import literal_table
-from .model_store import MODEL_SCHEMAS, load_model, save_model, stage
+from .model_store import MODEL_SCHEMAS, load_model, save_model, stage, versions
 from .workbooks import read_workbooks, sheet_columns
 
 __all__ = [
@@ -13,4 +13,5 @@ __all__ = [
     "save_model",
     "sheet_columns",
     "stage",
+    "versions",
 ]

@@ -1,11 +1,22 @@
-"""The seven tables of the model, and their storage."""
+"""The seven tables of the model, and their storage.
+
+A save is one commit of all tables. They go to a folder of their own, ``versions/<name>``, and only
+when the last of them is written is that folder named in a new row of the ``commits`` table, which
+is one small file that appears whole. A job that dies midway leaves an unnamed folder, and readers
+go on with the version before; a reader that has resolved its version keeps reading it whole while a
+later one is committed. Nothing but Spark's own readers and writers is used, so a model can be in
+any store that these reach. One job at a time may save to a directory.
+
+Folders of earlier versions stay until someone removes them: a reader may still be on them.
+"""
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F, types as T
 
 from .delimited import read_delimited
 
@@ -32,6 +43,9 @@ MODEL_SCHEMAS: dict[str, T.StructType] = {
 }
 
 
+_COMMITS = _schema(version=_LONG, folder=_TEXT, format=_TEXT, committed_at=T.TimestampType())
+
+
 def _location(directory: str, name: str) -> str:
     return f"{directory.rstrip('/')}/{name}"
 
@@ -43,7 +57,7 @@ def save_model(
     fmt: str = "parquet",
     partition_by: Mapping[str, Sequence[str]] | None = None,
 ) -> None:
-    """Write every table to ``directory/name``, replacing what is there.
+    """Write all tables of ``tables`` and commit them together as the model's next version.
 
     Parquet by default; ``fmt='csv'`` writes header CSV. A table is a directory of part files.
     """
@@ -51,6 +65,12 @@ def save_model(
         raise ValueError(f"unknown format {fmt!r}")
     if partition_by and fmt != "parquet":
         raise ValueError("only parquet tables can be partitioned")
+    if not tables:
+        raise ValueError("a model without tables")
+    spark = next(iter(tables.values())).sparkSession
+    last = latest_version(spark, directory)
+    version = 1 if last is None else last.version + 1
+    folder = f"versions/{version:08d}-{uuid.uuid4().hex}"
     for name, table in tables.items():
         table = table.select(
             *[table[f"`{f.name}`"].cast(f.dataType) for f in MODEL_SCHEMAS[name]]
@@ -66,17 +86,52 @@ def save_model(
             )
         if partition_by and name in partition_by:
             writer = writer.partitionBy(*partition_by[name])
-        writer.save(_location(directory, name))
+        writer.save(_location(directory, f"{folder}/{name}"))
+    commit = spark.range(1).select(
+        F.lit(version).cast("bigint").alias("version"),
+        F.lit(folder).alias("folder"),
+        F.lit(fmt).alias("format"),
+        F.current_timestamp().alias("committed_at"),
+    )
+    commit.coalesce(1).write.mode("append").parquet(_location(directory, "commits"))
+
+
+def versions(spark: SparkSession, directory: str) -> DataFrame:
+    """The committed versions of a model: version, folder, format, committed_at."""
+    try:
+        return spark.read.schema(_COMMITS).parquet(_location(directory, "commits"))
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], _COMMITS)
+
+
+def latest_version(spark: SparkSession, directory: str, version: int | None = None) -> Row | None:
+    """The commit of the newest version, or of ``version``; None where there is none.
+
+    All readers choose alike if two jobs have committed the same number against the rule.
+    """
+    commits = versions(spark, directory)
+    if version is not None:
+        commits = commits.where(F.col("version") == version)
+    return commits.orderBy(F.desc("version"), F.desc("folder")).first()
 
 
 def load_model(
-    spark: SparkSession, directory: str, *, fmt: str = "parquet", views: bool = False
+    spark: SparkSession, directory: str, *, views: bool = False, version: int | None = None
 ) -> dict[str, DataFrame]:
-    """The saved tables by name; with ``views`` also registered as temporary views."""
+    """The saved tables by name; with ``views`` also registered as temporary views.
+
+    All are of one version, the newest or the one asked for, found once. The format is the one that
+    it was saved in.
+    """
+    commit = latest_version(spark, directory, version)
+    if commit is None:
+        raise FileNotFoundError(f"no committed model{'' if version is None else f' {version}'} in {directory}")
     tables = {}
     for name, schema in MODEL_SCHEMAS.items():
-        location = _location(directory, name)
-        if fmt == "csv":
+        location = _location(directory, f"{commit.folder}/{name}")
+        if commit.format == "csv":
             table = read_delimited(spark, location, schema)
         else:
             table = spark.read.schema(schema).parquet(location).select(*schema.names)

@@ -11,6 +11,7 @@ from terrastat.sources import (
     save_model,
     sheet_columns,
     stage,
+    versions,
 )
 from workbook_files import write_workbook
 
@@ -129,7 +130,7 @@ def test_model_roundtrip(spark, tmp_path, fmt):
     directory = str(tmp_path / "model")
     for _ in range(2):  # the second save replaces the first
         save_model(tables, directory, fmt=fmt)
-    loaded = load_model(spark, directory, fmt=fmt, views=True)
+    loaded = load_model(spark, directory, views=True)
     for name, expected in MODEL_ROWS.items():
         assert loaded[name].dtypes == tables[name].dtypes
         assert {tuple(r) for r in loaded[name].collect()} == set(expected)
@@ -145,13 +146,53 @@ def test_csv_reload_reads_missing_tokens(spark, tmp_path):
         [(1, "NA"), (2, ""), (3, "None"), (4, "x")], MODEL_SCHEMAS["Provincias"]
     )
     save_model(names, str(tmp_path), fmt="csv")
-    got = load_model(spark, str(tmp_path), fmt="csv")["Provincias"]
+    got = load_model(spark, str(tmp_path))["Provincias"]
     assert {tuple(r) for r in got.collect()} == {(1, None), (2, None), (3, None), (4, "x")}
 
 
+def model_of(spark, province):
+    tables = {n: spark.createDataFrame(r, MODEL_SCHEMAS[n]) for n, r in MODEL_ROWS.items()}
+    tables["Provincias"] = spark.createDataFrame([(6, province)], MODEL_SCHEMAS["Provincias"])
+    tables["Centros_culturales"] = tables["Centros_culturales"].withColumn("Mail", F.lit(province))
+    return tables
+
+
+def test_a_save_that_fails_midway_leaves_the_model_as_it_was(spark, tmp_path):
+    directory = str(tmp_path / "model")
+    with pytest.raises(FileNotFoundError):
+        load_model(spark, directory)
+    save_model(model_of(spark, "OLD"), directory)
+    broken = model_of(spark, "NEW")
+    fourth = list(broken)[3]
+    broken[fourth] = broken[fourth].withColumn("id_prov", F.raise_error(F.lit("lost")).cast("int"))
+    with pytest.raises(Exception, match="lost"):
+        save_model(broken, directory)
+    assert len(list((tmp_path / "model" / "versions").glob("00000002-*/*/_SUCCESS"))) == 3
+    loaded = load_model(spark, directory)
+    assert loaded["Provincias"].collect() == [(6, "OLD")]
+    assert {r.Mail for r in loaded["Centros_culturales"].collect()} == {"OLD"}
+    save_model(model_of(spark, "NEW"), directory)
+    # Tables that were loaded before stay on their version; older versions can be asked for.
+    assert loaded["Provincias"].collect() == [(6, "OLD")]
+    assert load_model(spark, directory)["Provincias"].collect() == [(6, "NEW")]
+    assert load_model(spark, directory, version=1)["Provincias"].collect() == [(6, "OLD")]
+    assert [r.version for r in versions(spark, directory).orderBy("version").collect()] == [1, 2]
+    with pytest.raises(FileNotFoundError, match="3"):
+        load_model(spark, directory, version=3)
+
+
+def test_an_unreadable_commit_is_not_taken_for_none(spark, tmp_path):
+    (tmp_path / "commits").mkdir()
+    (tmp_path / "commits" / "part-0.parquet").write_text("no parquet")
+    with pytest.raises(Exception):
+        load_model(spark, str(tmp_path))
+
+
 def test_unknown_format_is_refused(tmp_path):
     with pytest.raises(ValueError):
         save_model({}, str(tmp_path), fmt="xml")
+    with pytest.raises(ValueError, match="without tables"):
+        save_model({}, str(tmp_path))
     with pytest.raises(ValueError):
         save_model({}, str(tmp_path), fmt="csv", partition_by={"Poblacion": ["id_prov"]})
 

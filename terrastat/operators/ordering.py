@@ -19,9 +19,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
-from operator import add, or_
+from operator import or_
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
+
+from .ranges import total_before
 
 _BUCKET, _GROUP = "_bucket", "_group"
 
@@ -79,36 +81,9 @@ def _first_of_group(keys: Sequence[str]) -> Column:
     return F.row_number().over(Window.partitionBy(*keys, _GROUP).orderBy(_BUCKET)) == 1
 
 
-def _running_total(rows: DataFrame, key: str, amount: str, name: str) -> DataFrame:
-    """``rows`` (one for each ``key``, a bigint) and the sum of ``amount`` over all smaller keys.
-
-    The sums of 2^16 keys, 2^32 keys and 2^48 keys are added up separately, so that no window sees
-    more than 2^16 rows, whatever the keys.
-    """
-    steps = (16, 32, 48, 64)
-    totals, out = rows.select(F.col(key).alias("_k"), F.col(amount).alias("_m")), rows
-    before = []
-    for i, step in enumerate(steps):
-        own = F.col("_k") if i == 0 else F.shiftright("_k", steps[i - 1])
-        parent = F.shiftright("_k", step) if step < 64 else None
-        level = totals.groupBy(own.alias("_own"), *([parent.alias("_parent")] if parent is not None else [])).agg(
-            F.sum("_m").alias("_sum")
-        )
-        window = _before("_own", within=["_parent"] if parent is not None else [])
-        level = level.select(F.col("_own").alias(f"_own{i}"), F.coalesce(F.sum("_sum").over(window), F.lit(0)).alias(f"_before{i}"))
-        out = out.withColumn(f"_own{i}", F.col(key) if i == 0 else F.shiftright(key, steps[i - 1])).join(level, f"_own{i}")
-        before.append(F.col(f"_before{i}"))
-    return out.select(*[F.col(c) for c in rows.columns], reduce(add, before).alias(name))
-
-
 def _document_starts(documents: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, _document_start) from (keys, _documents_n): rows of all documents that come before."""
-    if len(keys) == 1 and isinstance(documents.schema[keys[0]].dataType, T.IntegralType):
-        wide = documents.withColumn("_key", F.col(keys[0]).cast("bigint"))
-        return _running_total(wide, "_key", "_documents_n", "_document_start").drop("_key", "_documents_n")
-    # Documents with other names are files or the like: a list that the driver holds already.
-    start = F.coalesce(F.sum("_documents_n").over(_before(*keys)), F.lit(0))
-    return documents.withColumn("_document_start", start).drop("_documents_n")
+    return total_before(documents, keys, "_documents_n", "_document_start").drop("_documents_n")
 
 
 def dense_row_id(
@@ -123,8 +98,8 @@ def dense_row_id(
     """Number the rows 1..n in (keys, seq) order; the id is the first column of the result.
 
     Without keys the one window without a partition runs over a row for each group of buckets. With
-    one whole-number key, documents may be as many as rows: their starts are added up in steps of
-    2^16 keys. Any other key must name documents like files, a list that one task can hold.
+    keys, of any types and as many as needed, documents may be as many as rows: the list of them is
+    dealt out by range and written, and their starts are running totals over its parts.
     """
     plain = _Plain(df, seq, keys)
     keys = plain.keys

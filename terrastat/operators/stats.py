@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numbers import is_missing
+from .quantiles import dealt_counts, frequencies, group_quantiles, read_quantiles
 
 
 def linear_fit(points: DataFrame, *, series: str, x: str, y: str) -> DataFrame:
@@ -51,98 +52,6 @@ def scatter_points(
     return points.withColumn("in_view", F.col(x).between(*x_view) & F.col(y).between(*y_view))
 
 
-def group_quantiles(
-    points: DataFrame, *, group: str, value: str, quantiles: Mapping[str, float]
-) -> DataFrame:
-    """Exact interpolated quantiles of ``value`` (as a double) per group; NULL and NaN are no points.
-
-    The points are counted per (group, value), and the two neighbours of each quantile are found by
-    place: first the magnitude (exponent and six bits) they fall into, then a finer range, then the
-    value, each by a running count over grouped sums. No task holds a group's values, however many
-    there are: a window sees at most 2^24 sums, whatever the data.
-    """
-    return _quantiles(_frequencies(points, group, value), group, value, quantiles)
-
-
-def _frequencies(points: DataFrame, group: str, value: str) -> DataFrame:
-    return (
-        points.where(~is_missing(F.col(value)))
-        .groupBy(group, value)
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-
-
-def _exponent(v: Column) -> Column:
-    """The binary exponent, cut off where scaling by it would overflow; 0 for zero."""
-    return F.greatest(F.coalesce(F.floor(F.log2(F.abs(v))), F.lit(0)), F.lit(-900))
-
-
-def _magnitude(v: Column) -> Column:
-    """A whole number that ascends with ``v``: 128 steps for each power of two."""
-    size = (_exponent(v) + 1100) * 128 + F.floor(F.abs(v) * F.pow(F.lit(2.0), 6 - _exponent(v)))
-    return F.when(v > 0, size).when(v < 0, -size).otherwise(0).cast("bigint")
-
-
-def _fine(v: Column) -> Column:
-    """A whole number that ascends with ``v`` among values of one magnitude: 2^22 steps."""
-    return F.floor(v * F.pow(F.lit(2.0), 28 - _exponent(v))).cast("bigint")
-
-
-def _quantiles(
-    frequencies: DataFrame, group: str, value: str, quantiles: Mapping[str, float]
-) -> DataFrame:
-    v = F.col(value).cast("double")
-    # A struct is never NULL, so the group of NULLs takes part in the joins.
-    rows = frequencies.select(
-        F.struct(F.col(group)).alias("_g"),
-        v.alias("_v"),
-        _magnitude(v).alias("_magnitude"),
-        _fine(v).alias("_fine"),
-        "_n",
-    )
-    totals = rows.groupBy("_g").agg(F.sum("_n").alias("points"))
-    asked = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("q")) for i, q in enumerate(quantiles.values())])
-    places = totals.select("_g", "points", F.inline(asked)).select(
-        "_g", "points", "i", (F.col("q") * (F.col("points") - 1)).alias("_place")
-    )
-    below, above = F.floor("_place").cast("bigint"), F.ceil("_place").cast("bigint")
-    found = (
-        places.select("_g", F.explode(F.array(below, above)).alias("_rank"))
-        .distinct()
-        .withColumn("_left", F.col("_rank"))
-    )
-    prefix = ["_g"]
-    for key in ("_magnitude", "_fine", "_v"):
-        of_rank = Window.partitionBy(*prefix, "_rank").orderBy(key)
-        before = F.sum("_m").over(of_rank) - F.col("_m")
-        if prefix == ["_g"]:
-            counted = rows.groupBy("_g", key).agg(F.sum("_n").alias("_m")).join(found, "_g")
-        else:
-            counted = (
-                rows.join(found, prefix)
-                .groupBy(*prefix, "_rank", "_left", key)
-                .agg(F.sum("_n").alias("_m"))
-            )
-        prefix = [*prefix, key]
-        found = (
-            counted.withColumn("_before", before)
-            .where("_before <= _left AND _left < _before + _m")
-            .select(*prefix, "_rank", (F.col("_left") - F.col("_before")).alias("_left"))
-        )
-    low = found.select("_g", F.col("_rank").alias("_below"), F.col("_v").alias("_low"))
-    high = found.select("_g", F.col("_rank").alias("_above"), F.col("_v").alias("_high"))
-    share = F.col("_place") - F.col("_below")
-    return (
-        places.withColumns({"_below": below, "_above": above})
-        .join(low, ["_g", "_below"])
-        .join(high, ["_g", "_above"])
-        .withColumn("_q", F.col("_low") + (F.col("_high") - F.col("_low")) * share)
-        .groupBy("_g", "points")
-        .agg(*[F.max(F.when(F.col("i") == i, F.col("_q"))).alias(n) for i, n in enumerate(quantiles)])
-        .select(F.col("_g")[group].alias(group), "points", *quantiles)
-    )
-
-
 _QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 _REACH = 1.5
 
@@ -158,12 +67,12 @@ def box_stats(points: DataFrame, *, group: str, value: str) -> DataFrame:
     A whisker ends at the furthest value within 1.5 interquartile ranges of the box, and never
     inside the box.
     """
-    frequencies = _frequencies(points, group, value)
+    dealt = dealt_counts(frequencies(points, group, value), group, value, list(_QUARTILES.values()))
     low, high = _fences()
-    v, n = F.col(value), F.col("_n")
-    quartiles = _quantiles(frequencies, group, value, _QUARTILES)
+    v, n = F.col("_v"), F.col("_n")
+    quartiles = read_quantiles(dealt, group, _QUARTILES)
     boxes = (
-        _join_group(frequencies, quartiles, group)
+        _join_group(dealt.drop("points"), quartiles, group)
         .groupBy(group, "points", *_QUARTILES)
         .agg(
             F.min(F.when(v >= low, v)).alias("_low"),

@@ -52,6 +52,22 @@ def dense_row_id_by_customer(t: StandIns) -> DataFrame:
     return ordering.dense_row_id(orders, "o_orderkey", keys=["o_custkey"])
 
 
+@register
+def dense_row_id_by_name(t: StandIns) -> DataFrame:
+    """Documents named by a text, as many as there are customers with orders."""
+    orders = t.table("orders").select(
+        F.format_string("customer %d", "o_custkey").alias("customer"), "o_orderkey"
+    )
+    return ordering.dense_row_id(orders, "o_orderkey", keys=["customer"])
+
+
+@register
+def dense_row_id_by_two_keys(t: StandIns) -> DataFrame:
+    """Documents named by a priority and a customer."""
+    orders = t.table("orders").select("o_orderpriority", "o_custkey", "o_orderkey")
+    return ordering.dense_row_id(orders, "o_orderkey", keys=["o_orderpriority", "o_custkey"])
+
+
 @register
 def forward_fill(t: StandIns) -> DataFrame:
     marked = t.table("orders").select(

@@ -248,6 +248,14 @@ ORACLE_SQL = {
         SELECT CAST(row_number() OVER (ORDER BY o_custkey, o_orderkey) AS BIGINT) AS row_id,
                o_custkey, o_orderkey
         FROM orders""",
+    "dense_row_id_by_name": """
+        SELECT row_number() OVER (ORDER BY 'customer ' || o_custkey, o_orderkey) AS row_id,
+               'customer ' || o_custkey AS customer, o_orderkey
+        FROM orders""",
+    "dense_row_id_by_two_keys": """
+        SELECT row_number() OVER (ORDER BY o_orderpriority, o_custkey, o_orderkey) AS row_id,
+               o_orderpriority, o_custkey, o_orderkey
+        FROM orders""",
     "forward_fill": """
         SELECT o_orderkey,
                last_value(c IGNORE NULLS) OVER w AS customer,

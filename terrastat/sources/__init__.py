@@ -1,6 +1,7 @@
 from .delimited import NULL_TOKENS, read_delimited
 from .literal import literal_table
-from .model_store import MODEL_SCHEMAS, load_model, save_model, stage, versions
+from .model_store import MODEL_SCHEMAS, load_model, save_model, versions
+from .shared import shared_folder, stage
 from .workbooks import read_workbooks, sheet_columns
 
 __all__ = [
@@ -11,6 +12,7 @@ __all__ = [
     "read_delimited",
     "read_workbooks",
     "save_model",
+    "shared_folder",
     "sheet_columns",
     "stage",
     "versions",

@@ -139,22 +139,3 @@ def load_model(
             table.createOrReplaceTempView(name)
         tables[name] = table
     return tables
-
-
-def stage(df: DataFrame, location: str | None = None) -> DataFrame:
-    """Write ``df`` as Parquet and read it back.
-
-    For results that are costly to compute or whose row positions depend on how files were split,
-    and that are read several times. The files replace the lineage, so a lost executor costs a
-    re-read, and later scans are pruned to the columns they use. The default location is a new
-    folder below the session's ``spark.checkpoint.dir``, which all executors share. Staged files
-    are not deleted; they can go once the job that reads them is done.
-    """
-    spark = df.sparkSession
-    if location is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared:
-            raise ValueError("set spark.checkpoint.dir or name a shared location")
-        location = _location(shared, f"stage-{uuid.uuid4().hex}")
-    df.write.mode("overwrite").parquet(location)
-    return spark.read.schema(df.schema).parquet(location)

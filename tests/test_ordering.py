@@ -7,6 +7,7 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from terrastat.operators import ordering
+from terrastat.operators.ranges import total_before
 from terrastat.operators.ordering import dense_row_id, forward_fill, truncate_at_sentinel
 
 PROPERTY = settings(
@@ -136,16 +137,48 @@ def test_many_documents_with_any_keys(spark):
     assert [r.row_id for r in got] == list(range(1, len(data) + 1))
 
 
+@pytest.mark.parametrize("parts", ["1", "2", "7"])
+def test_documents_with_texts_and_several_keys(spark, parts):
+    rng = random.Random(3)
+    names = ["", "a", "a ", "b", "ñ", "日", "hot"]
+    data = sorted({(rng.choice(names), rng.randrange(5), i) for i in range(300)} | {("hot", 2, i) for i in range(1000, 1500)})
+    df = spark.createDataFrame(data, "name string, n int, s bigint").repartition(6)
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = ordering.dense_row_id(df, "s", keys=["name", "n"], bucket_bits=4).orderBy("row_id").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+    assert [tuple(r) for r in got] == [(i, *row) for i, row in enumerate(sorted(data, key=lambda r: (r[0].encode(), *r[1:])), 1)]
+
+
+@pytest.mark.parametrize("parts", ["1", "5"])
+def test_total_before(spark, parts):
+    rng = random.Random(5)
+    data = [(None, 0, 3), *[(rng.choice("abc"), i, rng.randrange(4)) for i in range(200)]]
+    df = spark.createDataFrame(data, "k string, i int, n int").repartition(4)
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = {(r.k, r.i): r.sofar for r in total_before(df, ["k", "i"], "n", "sofar").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+    expected, sofar = {}, 0
+    for k, i, n in sorted(data, key=lambda r: (r[0] is not None, r[0] or "", r[1])):
+        expected[k, i] = sofar
+        sofar += n
+    assert got == expected
+    assert total_before(df.limit(0), ["k"], "n", "sofar").count() == 0
+
+
 @pytest.mark.parametrize("row", [(None, 1, "a"), (1, None, "a")])
 def test_rows_without_a_place_are_refused(spark, row):
     df = spark.createDataFrame([(1, 2, "b"), row], "k int, s bigint, v string")
     for result in (
-        ordering.dense_row_id(df, "s", keys=["k"]),
-        ordering.forward_fill(df, ["v"], "s", keys=["k"]),
-        ordering.truncate_at_sentinel(df, F.col("v") == "z", "s", keys=["k"]),
+        lambda: ordering.dense_row_id(df, "s", keys=["k"]),
+        lambda: ordering.forward_fill(df, ["v"], "s", keys=["k"]),
+        lambda: ordering.truncate_at_sentinel(df, F.col("v") == "z", "s", keys=["k"]),
     ):
         with pytest.raises(Exception, match="must not be NULL"):
-            result.collect()
+            result().collect()
 
 
 def test_names_with_dots_and_spaces(spark, rows):

@@ -65,11 +65,46 @@ def test_quantiles_of_any_numbers(spark):
         assert [got[g][n] for n in asked] == pytest.approx(list(expected), rel=1e-12)
 
 
-def test_quantiles_need_no_map_of_a_group(spark):
+@pytest.mark.parametrize("parts", ["1", "3", "40"])
+def test_groups_over_many_parts(spark, parts):
+    rng = random.Random(11)
+    groups = {
+        "hot": [rng.gauss(0, 1) for _ in range(3000)] + [0.5] * 2000,
+        "one value": [3.0] * 500,
+        **{f"small {i}": [rng.random() for _ in range(rng.randint(1, 6))] for i in range(60)},
+        None: [rng.random() for _ in range(400)],
+        "": [1.0, 4.0],
+    }
+    data = [(g, v) for g, vs in groups.items() for v in vs]
+    points = spark.createDataFrame(data, "g string, v double").repartition(5)
+    asked = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.99, "e": 1.0}
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = stats.group_quantiles(points, group="g", value="v", quantiles=asked).collect()
+        boxes = stats.box_stats(points, group="g", value="v").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+    assert len(got) == len(boxes) == len(groups)
+    for r in got:
+        assert r.points == len(groups[r.g])
+        assert [r[n] for n in asked] == pytest.approx(list(np.quantile(groups[r.g], list(asked.values()))), rel=1e-12)
+    for r in boxes:
+        assert (r.q1, r.median, r.q3) == pytest.approx(tuple(np.quantile(groups[r.g], [0.25, 0.5, 0.75])), rel=1e-12)
+
+
+def test_quantiles_of_nothing(spark):
+    empty = spark.createDataFrame([("a", None)], "g string, v double")
+    assert stats.group_quantiles(empty, group="g", value="v", quantiles={"m": 0.5}).collect() == []
+    assert stats.box_stats(empty, group="g", value="v").collect() == []
+
+
+def test_counts_are_not_shuffled_again(spark):
     points = spark.range(10).selectExpr("id % 2 AS g", "CAST(id AS DOUBLE) AS v")
     df = stats.group_quantiles(points, group="g", value="v", quantiles={"m": 0.5})
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    assert "percentile" not in plan and "collect" not in plan
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "percentile" not in plan and "collect" not in plan and "SortMergeJoin" not in plan
+    # Parts of open groups, their totals, and what is found of them: sums, not counts of values.
+    assert "Exchange hashpartitioning(_v" not in plan and plan.count("BroadcastHashJoin") == 1
 
 
 def test_box_parts_add_up(spark):

@@ -3,25 +3,29 @@
 The points are counted per (group, value) and the counts dealt out by ranges of that pair, once.
 A part then holds whole groups, except the first and the last one in it, which may go on in its
 neighbours. Quantiles of whole groups are read off the running counts where they stand. Of the
-others, two a part at most, the parts' totals are added up and each quantile's place is looked up
-in the one part that holds it. No task sees more than its part, whatever the size of a group, and
+others, two a part at most, the driver adds up the parts' totals, and each quantile's place is
+looked up in the one part that holds it. No task sees more than its part, whatever the size of a group, and
 the counts are not shuffled again.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.numbers import is_missing
+from ..sources.literal import literal_table
 from ..sources.shared import stage
 from .ranges import PART, shuffle_parts
 
-_COUNTED = "_key string, _v double, _n bigint, _part int, _before bigint, points bigint, _found array<double>"
+_COUNTED = (
+    "_key string, _v double, _n bigint, _part int, _before bigint, points bigint, _found array<double>, _open_n bigint"
+)
 
 
 def frequencies(points: DataFrame, group: str, value: str) -> DataFrame:
@@ -33,43 +37,6 @@ def frequencies(points: DataFrame, group: str, value: str) -> DataFrame:
     )
 
 
-def _counted(part: pa.Table, shares: list[float]) -> pa.RecordBatch:
-    """The part with running counts of each group; whole groups have their quantiles in their first row."""
-    rows = part.num_rows
-    key = part.column("_key").combine_chunks()
-    value, n = part.column("_v").to_numpy(), part.column("_n").to_numpy()
-    changes = pc.not_equal(key.slice(1), key.slice(0, rows - 1)).to_numpy(zero_copy_only=False)
-    starts = np.flatnonzero(np.concatenate([[True], changes]))
-    ends = np.append(starts[1:], rows)
-    upto = np.cumsum(n)
-    base = upto[starts] - n[starts]
-    total = upto[ends - 1] - base
-    whole = np.ones(len(starts), bool)
-    whole[[0, -1]] = False
-    place = np.array(shares) * (total[:, None] - 1)
-    low, high = np.floor(place), np.ceil(place)
-    low_value, high_value = (
-        value[np.minimum(np.searchsorted(upto, base[:, None] + rank, "right"), rows - 1)] for rank in (low, high)
-    )
-    found = low_value + (high_value - low_value) * (place - low)
-    first = np.zeros(rows, bool)
-    first[starts[whole]] = True
-    points = np.zeros(rows, np.int64)
-    points[starts] = total
-    lists = np.empty(rows, object)
-    lists[starts[whole]] = [found[i].tolist() for i in np.flatnonzero(whole)]
-    before = upto - n - np.repeat(base, ends - starts)
-    columns = [
-        *[part.column(c).combine_chunks() for c in ("_key", "_v", "_n", PART)],
-        pa.array(before),
-        pa.array(points, mask=~first),
-        pa.array(lists, pa.list_(pa.float64())),
-    ]
-    extra = [c for c in part.column_names if c not in ("_key", "_v", "_n", PART)]
-    names = ["_key", "_v", "_n", PART, "_before", "points", "_found", *extra]
-    return pa.RecordBatch.from_arrays([*columns, *[part.column(c).combine_chunks() for c in extra]], names)
-
-
 def dealt_counts(counted: DataFrame, group: str, value: str, shares: list[float]) -> DataFrame:
     """:func:`frequencies` dealt by range and written, with all that :func:`read_quantiles` needs.
 
@@ -86,72 +53,107 @@ def dealt_counts(counted: DataFrame, group: str, value: str, shares: list[float]
         .withColumn(PART, F.spark_partition_id())
     )
 
+    schema = T.StructType([*T.StructType.fromDDL(_COUNTED), rows.schema["_group"]])
+
+    # Local functions, so that workers need not find this package.
+    def counted_part(part: pa.Table) -> pa.RecordBatch:
+        """The part with running counts of each group.
+
+        The first row of a whole group has its points and quantiles, that of another its count here.
+        """
+        rows = part.num_rows
+        key = part.column("_key").combine_chunks()
+        value, n = part.column("_v").to_numpy(), part.column("_n").to_numpy()
+        changes = pc.not_equal(key.slice(1), key.slice(0, rows - 1)).to_numpy(zero_copy_only=False)
+        starts = np.flatnonzero(np.concatenate([[True], changes]))
+        ends = np.append(starts[1:], rows)
+        upto = np.cumsum(n)
+        base = upto[starts] - n[starts]
+        total = upto[ends - 1] - base
+        whole = np.ones(len(starts), bool)
+        whole[[0, -1]] = False
+        place = np.array(shares) * (total[:, None] - 1)
+        low, high = np.floor(place), np.ceil(place)
+        low_value, high_value = (
+            value[np.minimum(np.searchsorted(upto, base[:, None] + rank, "right"), rows - 1)] for rank in (low, high)
+        )
+        found = low_value + (high_value - low_value) * (place - low)
+        first, edge = np.zeros(rows, bool), np.zeros(rows, bool)
+        first[starts[whole]], edge[starts[~whole]] = True, True
+        points = np.zeros(rows, np.int64)
+        points[starts] = total
+        lists = np.empty(rows, object)
+        lists[starts[whole]] = [found[i].tolist() for i in np.flatnonzero(whole)]
+        before = upto - n - np.repeat(base, ends - starts)
+        columns = [
+            *[part.column(c).combine_chunks() for c in ("_key", "_v", "_n", PART)],
+            pa.array(before),
+            pa.array(points, mask=~first),
+            pa.array(lists, pa.list_(pa.float64())),
+            pa.array(points, mask=~edge),
+            part.column("_group").combine_chunks(),
+        ]
+        return pa.RecordBatch.from_arrays(columns, schema.names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = pa.Table.from_batches(batches) if (batches := [b for b in batches if b.num_rows]) else None
-        if part is not None:
-            yield _counted(part, shares)
+        if filled := [b for b in batches if b.num_rows]:
+            yield counted_part(pa.Table.from_batches(filled))
 
-    schema = T.StructType([*T.StructType.fromDDL(_COUNTED), T.StructField("_group", rows.schema["_group"].dataType)])
     return stage(dealt.mapInArrow(run, schema)).withColumnRenamed("_group", group)
 
 
-def read_quantiles(dealt: DataFrame, group: str, quantiles: Mapping[str, float]) -> DataFrame:
-    """(group, points, each quantile) from :func:`dealt_counts` made with the same shares."""
-    whole = dealt.where(F.col("points").isNotNull()).select(
-        group, "points", *[F.col("_found")[i].alias(name) for i, name in enumerate(quantiles)]
-    )
+def _ranks(points: int, shares: list[float]) -> list[int]:
+    places = [share * (points - 1) for share in shares]
+    return sorted({rank(place) for place in places for rank in (math.floor, math.ceil)})
 
-    # The first and the last group of each part; their parts are as many as the shuffle's at most.
-    groups = dealt.groupBy(PART, "_key").agg(
-        F.sum("_n").alias("_m"), F.count("points").alias("_whole"), F.first(group).alias("_group")
-    )
-    parts = Window.partitionBy("_key").orderBy(PART)
-    open_groups = groups.where("_whole = 0").select(
-        PART,
-        "_key",
-        "_group",
-        "_m",
-        (F.sum("_m").over(parts) - F.col("_m")).alias("_earlier"),
-        F.sum("_m").over(Window.partitionBy("_key")).alias("points"),
+
+def _of_open_groups(dealt: DataFrame, group: str, shares: list[float]) -> list[tuple]:
+    """(group, points, quantiles) of the first and the last group of each part.
+
+    The driver gets two rows a part at most, and two values for each quantile of these groups.
+    """
+    counts: dict[str, list[tuple[int, int]]] = {}
+    names = {}
+    for r in dealt.where(F.col("_open_n").isNotNull()).select(PART, "_key", "_open_n", group).collect():
+        counts.setdefault(r._key, []).append((r[PART], r._open_n))
+        names[r._key] = r[group]
+    total = {key: sum(n for _, n in parts) for key, parts in counts.items()}
+    targets = []
+    for key, parts in counts.items():
+        earlier = 0
+        for part, n in sorted(parts):
+            targets += [(part, key, rank - earlier, rank) for rank in _ranks(total[key], shares) if earlier <= rank < earlier + n]
+            earlier += n
+    wanted = literal_table(
+        dealt.sparkSession, targets, T.StructType.fromDDL("_at int, _of string, _left bigint, _rank bigint")
     )
-    asked = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("q")) for i, q in enumerate(quantiles.values())])
-    places = open_groups.select("*", F.inline(asked)).withColumn("_place", F.col("q") * (F.col("points") - 1))
-    ranks = places.select(
-        "*", F.explode(F.array(F.floor("_place"), F.ceil("_place"))).alias("_rank")
-    ).where((F.col("_earlier") <= F.col("_rank")) & (F.col("_rank") < F.col("_earlier") + F.col("_m")))
-    targets = ranks.select(
-        F.col(PART).alias("_of_part"),
-        F.col("_key").alias("_of_key"),
-        "_group",
-        "points",
-        "i",
-        "_place",
-        "_rank",
-        (F.col("_rank") - F.col("_earlier")).alias("_left"),
-    ).distinct()
-    # Bounded by the parts of the shuffle: two groups of each, and two ranks a quantile.
     at = (
-        (F.col(PART) == F.col("_of_part"))
-        & (F.col("_key") == F.col("_of_key"))
+        (F.col(PART) == F.col("_at"))
+        & (F.col("_key") == F.col("_of"))
         & (F.col("_before") <= F.col("_left"))
         & (F.col("_left") < F.col("_before") + F.col("_n"))
     )
-    found = dealt.drop("points", group).join(F.broadcast(targets), at)
-    low = F.max(F.when(F.col("_rank") == F.floor("_place"), F.col("_v")))
-    high = F.max(F.when(F.col("_rank") == F.ceil("_place"), F.col("_v")))
-    read = (
-        found.groupBy("_of_key", "i")
-        .agg(F.first("_group").alias("_group"), F.first("points").alias("points"), F.first("_place").alias("_place"), low.alias("_low"), high.alias("_high"))
-        .withColumn("_q", F.col("_low") + (F.col("_high") - F.col("_low")) * (F.col("_place") - F.floor("_place")))
-        .groupBy("_of_key")
-        .agg(
-            F.first("_group").alias(group),
-            F.first("points").alias("points"),
-            *[F.max(F.when(F.col("i") == i, F.col("_q"))).alias(name) for i, name in enumerate(quantiles)],
-        )
-        .drop("_of_key")
+    found = dealt.join(F.broadcast(wanted), at).select("_of", "_rank", "_v").collect()
+    value = {(r._of, r._rank): r._v for r in found}
+    out = []
+    for key, points in total.items():
+        quantiles = []
+        for share in shares:
+            place = share * (points - 1)
+            low, high = value[key, math.floor(place)], value[key, math.ceil(place)]
+            quantiles.append(low + (high - low) * (place - math.floor(place)))
+        out.append((names[key], points, *quantiles))
+    return out
+
+
+def read_quantiles(dealt: DataFrame, group: str, quantiles: Mapping[str, float]) -> DataFrame:
+    """(group, points, each quantile) from :func:`dealt_counts` made with the same shares."""
+    whole = dealt.where(F.col("points").isNotNull()).select(
+        group, "points", *[F.col("_found")[i].alias(name) for i, name in enumerate(quantiles)]
     )
-    return whole.unionByName(read)
+    shares = [float(q) for q in quantiles.values()]
+    rest = literal_table(dealt.sparkSession, _of_open_groups(dealt, group, shares), whole.schema)
+    return whole.unionAll(rest)
 
 
 def group_quantiles(

@@ -9,8 +9,9 @@ import numpy as np
 
 from .common import ranges
 
-#: Chunks that a table holds before it is begun anew.
+#: Chunks, and bytes of their names, that a table holds before it is begun anew.
 TABLE_ROWS = 400_000
+TABLE_BYTES = 16 << 20
 
 
 class ChunkTable:
@@ -22,12 +23,13 @@ class ChunkTable:
 
     def _clear(self) -> None:
         self.rows: dict[Hashable, int] = {}
+        self.bytes = 0
         self.ids, self.used = np.empty(1 << 16, np.int32), 0
         self.begins, self.lengths = np.empty(0, np.int64), np.empty(0, np.int64)
 
     def begin(self) -> None:
         """Before each batch: a table that has grown over its limit starts again."""
-        if len(self.rows) > self.limit:
+        if len(self.rows) > self.limit or self.bytes > TABLE_BYTES:
             self._clear()
 
     def find(self, names: list) -> np.ndarray:
@@ -47,6 +49,7 @@ class ChunkTable:
             self.begins = np.concatenate([self.begins, self.used + np.cumsum(lengths) - lengths])
             self.lengths = np.concatenate([self.lengths, lengths])
             self.used += total
+            self.bytes += sum(len(name if isinstance(name, str) else name[0]) for name in new) + 4 * total
             self.rows.update(zip(new, range(len(self.rows), len(self.rows) + len(new))))
         return np.fromiter(map(self.rows.__getitem__, names), np.int64, len(names))
 

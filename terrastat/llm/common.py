@@ -17,13 +17,14 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from terrastat.sources import stage as write_and_reread
 
 #: Texts are worked on in pieces of about this many bytes, whatever the size of an Arrow batch.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 
 _own_folders: dict[str, str] = {}
 
@@ -194,25 +195,39 @@ def mix(value: np.ndarray) -> np.ndarray:
 
 
 _BASE = 0x9E3779B97F4A7C15 | 1
+#: Powers that a worker keeps, and bytes of a word that the polynomial hashes: modulo 2^64, with any
+#: base, it has known collisions of 1,024 bytes.
+_KEPT, _LONG_WORD = 1 << 20, 256
 _powers: dict[str, np.ndarray] = {}
 
 
 def _power(kind: str, base: int, n: int) -> np.ndarray:
+    """The first n powers. A table of up to _KEPT, grown in doublings, stays with the worker."""
     if len(_powers.get(kind, ())) < n:
-        steps = np.full(max(n, PIECE_BYTES + 1), base, np.uint64)
+        steps = np.full(max(n, min(_KEPT, 2 * n)), base, np.uint64)
         steps[0] = 1
-        _powers[kind] = np.cumprod(steps, dtype=np.uint64)
+        powers = np.cumprod(steps, dtype=np.uint64)
+        if n > _KEPT:
+            return powers
+        _powers[kind] = powers
     return _powers[kind][:n]
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word, by one polynomial over all bytes; equal words hash alike anywhere."""
+    """A 64-bit hash of each word; equal words hash alike anywhere.
+
+    Words of up to _LONG_WORD bytes are hashed together by one polynomial over all bytes, longer ones
+    each by XXH64.
+    """
     n = len(data)
     upto = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power("up", _BASE, n), out=upto[1:])
     down = _power("down", pow(_BASE, -1, 1 << 64), n + 1)
     value = (upto[ends] - upto[starts]) * down[starts]
-    return mix(value ^ ((ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+    value = mix(value ^ ((ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+    for i in np.flatnonzero(ends - starts > _LONG_WORD):
+        value[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]].tobytes())
+    return value
 
 
 def ranges(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:

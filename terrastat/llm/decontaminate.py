@@ -88,11 +88,11 @@ def symbols(data: np.ndarray) -> np.ndarray:
 @lru_cache(maxsize=MOST_REPETITIONS)
 def _walk(repetition: int) -> tuple[np.ndarray, ...]:
     """For each look-up: how far the walk gets in STRIDE steps, by the packed symbols it sees."""
-    bits = np.random.default_rng([SEED, repetition]).integers(0, 2, (STEPS, 32), dtype=np.int32)
+    bits = np.random.default_rng([SEED, repetition]).integers(0, 2, (STEPS, 32), dtype=np.uint8)
     code = np.arange(1 << (5 * STRIDE))
     tables = []
     for first in range(0, STEPS, STRIDE):
-        at = np.zeros(len(code), np.int32)
+        at = np.zeros(len(code), np.uint8)
         for step in range(first, first + STRIDE):
             at += bits[step][(code >> (5 * at)) & 31]
         tables.append(at)

@@ -3,13 +3,16 @@
 Texts become vectors of hashed n-grams (of the UTF-8 bytes of their lower-cased letters, with one
 space for anything between), weighted by TF-IDF and normalised. Each language is
 described by several centroids, found by spherical k-means over its labelled texts; a text gets the
-language of the centroid with the largest cosine. Where even that cosine is below the rejection
-distance, the text is rejected.
+language of the centroid with the largest cosine. Where even that cosine is below what the language
+shows for texts of that length, the text is rejected: for each language and each power of two of
+letters the bound is a little under nearly all cosines of the sample's texts of that length, or of
+stretches of longer ones where these are few. Short texts say little, so their bounds are low, and
+the shortest have none.
 
 Document frequencies are counted over all labelled rows that may be learned from. Only the centroids
 are fitted on a sample of about ``sample_rows`` labelled rows (a documented bound), dealt evenly to the
 languages, ``LEAST_ROWS`` to each at least: the rows whose hash is below the language's share. The
-languages themselves may be ``sample_rows`` at most, which bounds what is broadcast.
+languages themselves may be ``sample_rows`` at most and no more than a model of MODEL_BYTES holds.
 """
 
 from __future__ import annotations
@@ -19,9 +22,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import col, flat, fresh, lower, mix, pieces, schema_of
+from .common import col, flat, fresh, lower, mix, pieces, ranges, schema_of
 
 UNKNOWN = "und"
 #: n-gram lengths in bytes, and the number of hashed features (a power of two).
@@ -30,20 +34,28 @@ FEATURES = 1 << 13
 CENTROIDS = 4
 SAMPLE_ROWS = 4_000
 LEAST_ROWS = 50
-#: A text is rejected if its best cosine is below this share of the least that the sample shows.
-REJECT_SHARE = 0.25
+#: A text is rejected if its best cosine is below this share of a low quantile of the sample's.
+REJECT_SHARE = 0.9
+REJECT_QUANTILE = 0.005
+#: Lengths of stretches are 2^SHORTEST to 2^LONGEST bytes of letters; shorter texts are not rejected.
+SHORTEST, LONGEST = 4, 12
+#: Whole texts of one length, and stretches, that a quantile needs; with fewer stretches the bound is
+#: half of the least.
+LEAST_TEXTS, LEAST_STRETCHES = 100, 40
+MODEL_BYTES = 64 << 20
 #: Texts in one block of vectors.
 BLOCK = 256
 
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """languages[i] is the language of centroids[i] (unit rows); idf by feature; the least cosine accepted."""
+    """languages[i] is the language of centroids[i] (unit rows); idf by feature; least[i] the least cosine
+    accepted for each length class."""
 
     languages: tuple[str, ...]
     centroids: np.ndarray
     idf: np.ndarray
-    least: float
+    least: np.ndarray
 
 
 def letters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -56,9 +68,21 @@ def letters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.where(other, np.uint8(32), data)[position], np.searchsorted(position, offsets)
 
 
-def counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+Letters = tuple[np.ndarray, np.ndarray]
+
+
+def letters_of(texts: pa.Array) -> Letters:
+    return letters(*flat(pc.utf8_lower(texts)))
+
+
+def length_class(lengths: np.ndarray) -> np.ndarray:
+    """The power of two that a number of letters reaches, LONGEST at most."""
+    return np.minimum(np.frexp(np.maximum(lengths, 1).astype(np.float64))[1] - 1, LONGEST)
+
+
+def counts(found: Letters) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashed n-gram counts over the letters of each whole text: text, feature, count, by text."""
-    data, offsets = letters(*flat(texts))
+    data, offsets = found
     data = data.astype(np.uint64)
     of = np.repeat(np.arange(len(offsets) - 1, dtype=np.int64), np.diff(offsets))
     code, found = np.zeros(len(data), np.uint64), [np.empty(0, np.int64)]
@@ -73,7 +97,7 @@ def counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return place // FEATURES, place % FEATURES, count[place]
 
 
-def weights(texts: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def weights(texts: Letters, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Unit TF-IDF vectors, with damped counts: text, feature, weight. A text may have none."""
     text, feature, count = counts(texts)
     weight = np.log1p(count).astype(np.float32) * idf[feature]
@@ -81,19 +105,19 @@ def weights(texts: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return text, feature, (weight / norm[text]).astype(np.float32)
 
 
-def cosines(texts: pa.Array, idf: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+def cosines(texts: Letters, idf: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     """The cosine of each text with each centroid; zero for a text without n-grams."""
     text, feature, weight = weights(texts, idf)
-    out = np.zeros((len(texts), len(centroids)), np.float32)
+    out = np.zeros((len(texts[1]) - 1, len(centroids)), np.float32)
     if len(text):
         begins = np.flatnonzero(np.diff(text, prepend=-1))
         out[text[begins]] = np.add.reduceat(centroids.T[feature] * weight[:, None], begins, axis=0)
     return out
 
 
-def dense(texts: pa.Array, idf: np.ndarray) -> np.ndarray:
+def dense(texts: Letters, idf: np.ndarray) -> np.ndarray:
     text, feature, weight = weights(texts, idf)
-    out = np.zeros((len(texts), FEATURES), np.float32)
+    out = np.zeros((len(texts[1]) - 1, FEATURES), np.float32)
     out[text, feature] = weight
     return out
 
@@ -110,7 +134,7 @@ def _document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, texts = np.zeros(FEATURES, np.int64), 0
         for batch in blocks(batches):
-            total += np.bincount(counts(batch.column("text"))[1], minlength=FEATURES)
+            total += np.bincount(counts(letters_of(batch.column("text")))[1], minlength=FEATURES)
             texts += batch.num_rows
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.arange(FEATURES + 1)), pa.array(np.append(total, texts))], ["feature", "texts"]
@@ -142,6 +166,65 @@ def spherical_means(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centres
 
 
+def stretches(found: Letters, length: int) -> Letters:
+    """One stretch of ``length`` bytes out of each text that has as many, at a place that depends on its size."""
+    data, offsets = found
+    size = np.diff(offsets)
+    long = np.flatnonzero(size >= length)
+    place = offsets[:-1][long] + (size[long] * 2654435761) % (size[long] - length + 1)
+    return data[ranges(place, np.full(len(long), length))], np.arange(len(long) + 1) * length
+
+
+def _best(found: Letters, idf: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """The largest cosine of each text, a block of texts at a time."""
+    data, offsets = found
+    out = [np.empty(0, np.float32)]
+    for first in range(0, len(offsets) - 1, BLOCK):
+        part = offsets[first : first + BLOCK + 1]
+        out.append(cosines((data[part[0] : part[-1]], part - part[0]), idf, centroids).max(axis=1))
+    return np.concatenate(out)
+
+
+def _some(found: Letters, chosen: np.ndarray) -> Letters:
+    data, offsets = found
+    size = np.diff(offsets)[chosen]
+    return data[ranges(offsets[:-1][chosen], size)], np.concatenate([[0], np.cumsum(size)])
+
+
+def bounds(found: Letters, idf: np.ndarray, centroids: int, share: float) -> np.ndarray:
+    """The least cosine accepted for each length class, from a language's sample.
+
+    Either half of the sample is compared with centroids of the other half: a text is never nearer
+    because it was learned from. A bound comes from the texts of its length, or from stretches of
+    longer ones where these are few.
+    """
+    texts = np.arange(len(found[1]) - 1)
+    best: dict[int, list[np.ndarray]] = {c: [] for c in range(SHORTEST, LONGEST + 1)}
+    cut: dict[int, list[np.ndarray]] = {c: [] for c in best}
+    for half in range(2):
+        learned, told = (_some(found, texts[texts % 2 == n]) for n in (1 - half, half))
+        if len(learned[1]) == 1:
+            continue
+        means = spherical_means(dense(learned, idf), centroids)
+        nearest, of = _best(told, idf, means), length_class(np.diff(told[1]))
+        for c in best:
+            best[c].append(nearest[of == c])
+            cut[c].append(_best(stretches(told, 1 << c), idf, means))
+    out = np.zeros(LONGEST + 1)
+    for c in best:
+        if sum(map(len, best[c])) >= LEAST_TEXTS:
+            out[c] = share * np.quantile(np.concatenate(best[c]), REJECT_QUANTILE)
+            continue
+        near = np.concatenate([np.empty(0), *cut[c]])
+        if len(near) >= LEAST_STRETCHES:
+            out[c] = share * np.quantile(near, REJECT_QUANTILE)
+        elif len(near):
+            out[c] = 0.5 * near.min()
+        if len(near) < LEAST_STRETCHES and c > SHORTEST:  # too few are as long: no more than shorter ones show
+            out[c] = min(out[c], out[c - 1]) if len(near) else out[c - 1]
+    return out
+
+
 def fit(
     df: DataFrame,
     learn: Column,
@@ -157,15 +240,16 @@ def fit(
     Without such rows the model knows no language and rejects every text.
     """
     rows = df.select(
-        col(id_col).alias("doc_id"), F.lower(col(text_col).cast("string")).alias("text"), col(lang_col).cast("string").alias("lang"), learn.alias("learn")
+        col(id_col).alias("doc_id"), col(text_col).cast("string").alias("text"), col(lang_col).cast("string").alias("lang"), learn.alias("learn")
     ).filter("learn AND lang IS NOT NULL AND text RLIKE '\\\\p{L}'")
     frequency, texts = _document_frequencies(rows)
     idf = np.log((1 + texts) / (1 + frequency)).astype(np.float32) + np.float32(1)
     by_language = dict(rows.groupBy("lang").count().limit(sample_rows + 1).collect()) if texts else {}
     if not by_language:
-        return LanguageModel((), np.zeros((0, FEATURES), np.float32), idf, 0.0)
-    if len(by_language) > sample_rows:
-        raise ValueError(f"over {sample_rows} languages, more than sample_rows allows; labels look wrong")
+        return LanguageModel((), np.zeros((0, FEATURES), np.float32), idf, np.zeros((0, LONGEST + 1)))
+    most = min(sample_rows, MODEL_BYTES // (4 * FEATURES * centroids))
+    if len(by_language) > most:
+        raise ValueError(f"over {most} languages, more than the sample or the model allows; labels look wrong")
     # A row is in the sample if its hash is low enough: no shuffle, and repeats of a row count once.
     wanted = max(LEAST_ROWS, sample_rows // len(by_language))
     limits = [(lang, int(min(1.0, wanted / n) * (1 << 62))) for lang, n in by_language.items()]
@@ -179,27 +263,30 @@ def fit(
     )
 
     def centres(table: pa.Table) -> pa.Table:
-        batches = (b for b in table.select(["text"]).to_batches())
-        found = np.concatenate([dense(b.column("text"), idf) for b in blocks(batches)])
-        means = spherical_means(found, centroids)
-        least = float((found @ means.T).max(axis=1).min())
+        # In one order, however the rows came: the means begin with the first.
+        texts = letters_of(table.sort_by([("mark", "ascending"), ("text", "ascending")])["text"].combine_chunks())
+        means = spherical_means(dense(texts, idf), centroids)
+        least = bounds(texts, idf, centroids, reject_share)
         return pa.table(
             {
                 "lang": pa.array([table["lang"][0].as_py()] * len(means), pa.string()),
-                "least": pa.array([least] * len(means)),
+                "least": pa.array([least.tolist()] * len(means)),
                 "centre": pa.array([m.astype("<f4").tobytes() for m in means], pa.binary()),
             }
         )
 
     found = (
-        chosen.select("lang", "text").groupBy("lang").applyInArrow(centres, "lang string, least double, centre binary").collect()
+        chosen.select("lang", "mark", "text")
+        .groupBy("lang")
+        .applyInArrow(centres, "lang string, least array<double>, centre binary")
+        .collect()
     )
     found = sorted(found, key=lambda row: (row["lang"], bytes(row["centre"])))
     return LanguageModel(
         tuple(row["lang"] for row in found),
         np.stack([np.frombuffer(bytes(row["centre"]), "<f4") for row in found]),
         idf,
-        reject_share * min(row["least"] for row in found),
+        np.array([row["least"] for row in found]),
     )
 
 
@@ -208,14 +295,15 @@ def predict(df: DataFrame, model: LanguageModel, text_col: str = "text") -> Data
 
     lang_pred is a learned language, or ``und`` where the text is NULL or has no letter; score is the
     cosine with the nearest centroid, 0 to 1. rejected holds for ``und`` and for texts farther from
-    every centroid than the model accepts. Ties go to the first language in order. Only the text is
+    their nearest centroid than the model accepts for its language and the text's length. Ties go to the first language in order. Only the text is
     looked at, all of it. The model's size is FEATURES x centroids x languages, whatever the data.
     """
     names = [fresh(df, name) for name in ("lang_pred", "score", "rejected")]
-    low, has_letter = fresh(df, "low"), fresh(df, "has_letter")
+    has_letter = fresh(df, "has_letter")
     shared = df.sparkSession.sparkContext.broadcast(model)
     text = F.coalesce(col(text_col).cast("string"), F.lit(""))
-    rows = df.withColumns({low: F.lower(text), has_letter: text.rlike("\\p{L}")})
+    rows = df.withColumn(has_letter, text.rlike("\\p{L}"))
+    at = df.columns.index(text_col)
     schema = schema_of(df, "`{}` string, `{}` double, `{}` boolean".format(*names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,20 +312,22 @@ def predict(df: DataFrame, model: LanguageModel, text_col: str = "text") -> Data
             if not batch.num_rows:
                 continue
             lang = np.full(batch.num_rows, UNKNOWN, object)
-            score = np.zeros(batch.num_rows)
+            score, least = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
             done = 0
-            for block in blocks(iter([pa.RecordBatch.from_arrays([batch.column(low)], ["text"])])):
+            for block in blocks(iter([pa.RecordBatch.from_arrays([batch.column(at).cast(pa.string())], ["text"])])):
                 if len(m.languages):
-                    cosine = cosines(block.column("text"), m.idf, m.centroids)
+                    found = letters_of(block.column("text"))
+                    cosine = cosines(found, m.idf, m.centroids)
                     best = np.argmax(cosine, axis=1)
                     lang[done : done + block.num_rows] = np.array(m.languages, object)[best]
                     score[done : done + block.num_rows] = np.clip(cosine[np.arange(len(best)), best], 0, 1)
+                    least[done : done + block.num_rows] = m.least[best, length_class(np.diff(found[1]))]
                 done += block.num_rows
             known = np.asarray(batch.column(has_letter)) & (len(m.languages) > 0)
             lang[~known], score[~known] = UNKNOWN, 0.0
-            kept = [batch.column(i) for i in range(batch.num_columns - 2)]
+            kept = batch.columns[:-1]
             yield pa.RecordBatch.from_arrays(
-                kept + [pa.array(lang, pa.string()), pa.array(score), pa.array(~known | (score < m.least))], schema.names
+                kept + [pa.array(lang, pa.string()), pa.array(score), pa.array(~known | (score < least))], schema.names
             )
 
     return rows.mapInArrow(run, schema)

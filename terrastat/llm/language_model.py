@@ -76,16 +76,10 @@ def _positions(keys: np.ndarray, level: int, probe: int, bits: np.ndarray) -> np
     return ((value & np.uint64(0xFFFFFFFF)) + np.uint64(probe) * step) % bits
 
 
-def segment_of(keys: np.ndarray, counts: np.ndarray, bits_per_entry: int, most_bytes: int | None = None) -> bytes:
-    """The part of the filter for one bucket's n-grams, all of them unless ``most_bytes`` is given."""
+def segment_of(keys: np.ndarray, counts: np.ndarray, bits_per_entry: int) -> bytes:
+    """The part of the filter for one bucket's n-grams, all of them."""
     level = levels(counts)
-    if most_bytes is not None:
-        least = 1
-        while len(level) and level[level >= least].sum() * bits_per_entry > most_bytes * 8:
-            least += 1
-        keys, level = keys[level >= least], level[level >= least]
     size = int(level.sum() * bits_per_entry // 8 + 8)
-    size = size if most_bytes is None else max(8, min(size, most_bytes))
     bits = np.zeros(size * 8, bool)
     of = np.full(1, size * 8, np.uint64)
     for n in range(1, int(level.max(initial=0)) + 1):

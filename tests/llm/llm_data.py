@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import random
 import re
 
@@ -56,3 +57,13 @@ def groups(links, nodes):
         a, b = sorted((find(a), find(b)))
         root[b] = a
     return {n: find(n) for n in nodes}
+
+
+def foreign():
+    """Texts of 200 characters and more in no language of the corpus."""
+    rng = random.Random(5)
+    finnish = "Suomen kieli on uralilainen kieli jota puhutaan Suomessa ja jonka puhujia on myös Ruotsissa ja Norjassa sekä monissa muissa maissa ympäri maailmaa, ja se on yksi unionin virallisista kielistä vuodesta yhdeksänkymmentäviisi lähtien. "
+    polish = "Język polski należy do grupy zachodniosłowiańskiej i jest używany głównie w Polsce, gdzie mówi nim niemal cała ludność kraju, a także w wielu krajach świata, między innymi w Niemczech, Wielkiej Brytanii oraz Stanach Zjednoczonych. "
+    words = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(60))
+    greek = "Η ελληνική γλώσσα ανήκει στην ινδοευρωπαϊκή οικογένεια γλωσσών " * 4
+    return [finnish, finnish * 20, polish, polish * 20, words, words * 20, greek, base64.b64encode(rng.randbytes(300)).decode(), rng.randbytes(3000).hex()]

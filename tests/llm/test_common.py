@@ -37,6 +37,25 @@ def test_equal_words_hash_alike_wherever_they_are():
     assert len(set(found.values())) == len(found)
 
 
+def test_words_that_collide_in_any_polynomial():
+    """Thue-Morse words and their complements hash alike in every polynomial modulo 2^64."""
+    for n in (10, 11, 12):
+        bits = [bin(i).count("1") % 2 for i in range(1 << n)]
+        pair = ["".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)]
+        data, offsets = common.flat(pa.array([*pair, f"x {pair[0]} y"]))
+        starts, ends, _ = common.word_spans(data, offsets)
+        first, second, _, again, _ = common.word_hashes(data, starts, ends).tolist()
+        assert first != second and first == again
+
+
+def test_powers_of_long_pieces_are_not_kept():
+    common._powers.clear()
+    whole = common._power("up", common._BASE, 3 << 20)
+    assert len(whole) == 3 << 20 and not common._powers
+    assert (common._power("up", common._BASE, 1000) == whole[:1000]).all()
+    assert sum(x.nbytes for x in common._powers.values()) <= 1 << 16
+
+
 def test_pieces_keep_all_rows():
     batch = pa.RecordBatch.from_arrays([pa.array(range(len(ODD_TEXTS))), pa.array(ODD_TEXTS)], ["doc_id", "text"])
     for limit in (1, 100, 10**9):

@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from llm_data import documents
+from llm_data import documents, foreign
 from terrastat.llm import catalog, language
 
 SF_DIR = "/root/testdata/sf0.01"
@@ -21,7 +21,27 @@ def test_held_out_accuracy(spark):
     assert 0.2 < len(held_out) / len(rows) < 0.3
     assert sum(r.lang == r.lang_pred for r in held_out) / len(held_out) > 0.98
     assert all(0 <= r.score <= 1 for r in rows)
-    assert not any(r.rejected for r in rows)  # clean documents stay
+    assert sum(r.rejected for r in held_out) / len(held_out) < 0.01  # clean documents stay
+
+
+def test_foreign_texts_are_rejected(spark):
+    docs = catalog.read(spark, "/root/testdata/sf0.1", "documents")
+    model = language.fit(docs, catalog.fold("doc_id", 4) != 2)
+    texts = foreign()
+    planted = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r.doc_id: r for r in language.predict(planted, model).collect()}
+    assert all(found[i].rejected for i in range(len(texts)))
+    held_out = language.predict(docs.filter(catalog.fold("doc_id", 4) == 2).select("doc_id", "text"), model).collect()
+    assert sum(r.rejected for r in held_out) / len(held_out) < 0.01
+    assert all(not r.rejected for r in held_out if len(r.text) < 8)  # the shortest say too little
+
+
+def test_the_model_does_not_depend_on_the_order_of_rows(spark):
+    docs = catalog.read(spark, SF_DIR, "documents")
+    first = language.fit(docs.repartition(1), F.lit(True))
+    second = language.fit(docs.repartition(7, "text"), F.lit(True))
+    assert first.languages == second.languages and (first.centroids == second.centroids).all()
+    assert (first.least == second.least).all()
 
 
 def texts(rng, letters):
@@ -78,10 +98,10 @@ def test_the_sample_is_bounded(spark, monkeypatch):
 
 def test_vectors():
     idf = np.ones(language.FEATURES, np.float32)
-    found = language.dense(pa.array(["abc abd", "", "!!", "x", "abc, abd"]), idf)
+    found = language.dense(language.letters_of(pa.array(["abc abd", "", "!!", "x", "abc, abd"])), idf)
     assert np.linalg.norm(found, axis=1) == pytest.approx([1, 0, 1, 1, 1], abs=1e-6)
     assert found[0] == pytest.approx(found[4], abs=0.3)
     centres = language.spherical_means(found[[0, 3, 4]], 2)
     assert len(centres) == 2
-    assert language.cosines(pa.array(["abc abd", ""]), idf, centres).max(axis=1) == pytest.approx([1, 0], abs=0.1)
+    assert language.cosines(language.letters_of(pa.array(["abc abd", ""])), idf, centres).max(axis=1) == pytest.approx([1, 0], abs=0.1)
     assert len(language.spherical_means(found[[0, 0, 0]], 4)) == 1

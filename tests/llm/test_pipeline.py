@@ -5,15 +5,20 @@ import sys
 import pytest
 
 import corpus_pipeline
-from llm_data import documents, odd_rows
-from terrastat.llm import catalog, common, decontaminate, exact_dedup, simhash
+from llm_data import documents, foreign, odd_rows
+from terrastat.llm import catalog, common, decontaminate, exact_dedup, language, simhash
 
-SF_DIR = "/root/testdata/sf0.001"
+SF_DIR = "/root/testdata/sf0.01"
 REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def test_stages_take_effect_one_after_the_other(spark):
     docs = catalog.read(spark, SF_DIR, "documents")
+    docs_schema = docs.schema
+    odd = [*foreign(), None, "", "1234 !!"]
+    planted = {10**6 + i for i in range(len(odd))}
+    source = [tuple(r) for r in docs.collect()] + [(i, text, None, "src", 0) for i, text in zip(sorted(planted), odd)]
+    docs = spark.createDataFrame(source, docs_schema)
     columns, seen = docs.columns, []
     for name, stage in corpus_pipeline.STAGES:
         before = {r.doc_id: r.text for r in docs.collect()}
@@ -25,7 +30,10 @@ def test_stages_take_effect_one_after_the_other(spark):
         seen.append((name, before, after))
     kept = {name: after for name, _, after in seen}
     first = {name: before for name, before, _ in seen}
-    assert kept["language_id"] == set(first["language_id"])  # every document here has a language
+    model = language.fit(spark.createDataFrame(source, docs_schema), catalog.fold("doc_id", 4) != 2)
+    rejected = {r.doc_id for r in language.predict(spark.createDataFrame(source, docs_schema), model).collect() if r.rejected}
+    assert planted <= rejected and len(rejected - planted) < 0.01 * len(source)
+    assert kept["language_id"] == set(first["language_id"]) - rejected
     texts = first["exact_dedup"]
     smallest = {}
     for i in sorted(texts):
@@ -38,8 +46,13 @@ def test_stages_take_effect_one_after_the_other(spark):
     )
     assert kept["decontaminate"] == set(first["decontaminate"]) - {r.doc_id for r in leaks.collect()}
     assert kept["sentencepiece"] == kept["decontaminate"]
-    run = corpus_pipeline.run(spark, SF_DIR)
-    assert sorted(run.collect()) == sorted(docs.collect())
+
+
+def test_run_applies_the_stages(spark):
+    docs = catalog.read(spark, SF_DIR, "documents")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = common.stage(stage(spark, docs, SF_DIR), name)
+    assert sorted(corpus_pipeline.run(spark, SF_DIR).collect()) == sorted(docs.collect())
 
 
 def test_odd_documents_pass_through(spark):
@@ -68,6 +81,6 @@ def test_every_operator_has_a_query():
     import __spark_entry__ as contract
 
     names = [q for q in contract.queries() if q.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert "pipeline" in contract.queries()
     assert set(contract.oracle_sql()) <= set(contract.queries())

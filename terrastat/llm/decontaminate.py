@@ -5,11 +5,14 @@ random bit, drawn for that step and symbol, says whether it moves on. Two string
 distance walk together again after each edit, so their embeddings are at a small Hamming distance.
 Sampled coordinates of the embedding are then an LSH key: windows with equal keys are candidates.
 
-Every word of every text begins a window, and so does every word of a benchmark item (as far as a
-whole window fits); several repetitions with other random bits and coordinates raise the recall.
-Their number is found from the items themselves: items are edited at random up to the accepted
-distance, and repetitions are added until the target recall is reached. Each candidate is verified
-by the exact edit distance between the whole item and the item-sized stretch of the text.
+Windows begin at every word of every text, behind quotes and brackets too, and at every character of
+scripts without spaces; in items likewise, as far as a whole window fits. An embedding of a whole
+item would differ in too many coordinates, so a window is the part of an item that its length class
+says: 36 steps for long items down to the whole of the shortest. Repetitions with other random bits
+and coordinates raise the recall. Their number is found for each class from its items: they are
+edited at random up to the accepted distance, and repetitions are added until the target recall is
+reached; a class that does not get there gets shorter windows. Each candidate is verified by the
+exact edit distance between the whole item and the item-sized stretch of the text.
 
 Texts are compared with A-Z in lower case and each run of white space as one space. Nothing is
 shuffled: the texts are scanned once for each block of items, and a block is bounded in bytes.
@@ -26,19 +29,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import col, flat, lower, mix, pieces, row_key
+from .common import col, flat, lower, mix, pieces, ranges, row_key
 
 #: Accepted edit distance: at most (1 - SIMILARITY) x the item's length in bytes.
 SIMILARITY = 0.8
 TARGET_RECALL = 0.95
-#: Steps of the walk over a window, at most (a multiple of STRIDE), and coordinates in a key.
-STEPS = 48
-SAMPLED = 12
+#: Steps of the walk over a window, at most (a multiple of STRIDE).
+STEPS = 36
+#: From so many bytes of an item on: steps of its windows, and coordinates in a key. The walk moves on
+#: at every other step, so a window sees half as many bytes.
+PLANS = ((180, 36, 9), (90, 24, 8), (50, 24, 6), (30, 15, 5), (12, 12, 4), (9, 9, 3), (6, 6, 2), (3, 3, 1))
 #: Steps that one table look-up takes: the walk sees at most as many symbols.
 STRIDE = 3
-#: Bytes of benchmark text in one block.
+#: Bytes of benchmark text in one block; its keys take some ten times as much.
 BLOCK_BYTES = 1 << 20
-MOST_REPETITIONS = 32
+#: Edited items by which a class's recall is measured, and repetitions that are tried before its windows
+#: are made shorter.
+TRIALS, TRIED = 400, 24
+#: Pairs of a window and an item that are in hand at once.
+PAIRS = 1 << 18
 #: Symbols that the quick bound compares for one candidate; longer items are verified at once.
 MOST_COMPARED = 1 << 22
 SEED = 20240229
@@ -67,12 +76,12 @@ def normalised(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 @lru_cache(maxsize=1)
 def _classes() -> np.ndarray:
-    """The symbol, 0 to 31, of each byte: space, a-z, digits, punctuation, three kinds of other bytes."""
+    """The symbol, 0 to 31, of each byte: space, a-z, digits, punctuation; bytes beyond ASCII by their last bits."""
     out = np.full(256, 28, np.uint16)
     out[32] = 0
     out[ord("a") : ord("z") + 1] = np.arange(1, 27)
     out[ord("0") : ord("9") + 1] = 27
-    out[128:] = 29 + np.arange(128) % 3
+    out[128:] = np.arange(128) % 32  # other scripts' bytes share the symbols of a-z
     return out
 
 
@@ -85,7 +94,7 @@ def symbols(data: np.ndarray) -> np.ndarray:
     return packed
 
 
-@lru_cache(maxsize=MOST_REPETITIONS)
+@lru_cache(maxsize=TRIED)
 def _walk(repetition: int) -> tuple[np.ndarray, ...]:
     """For each look-up: how far the walk gets in STRIDE steps, by the packed symbols it sees."""
     bits = np.random.default_rng([SEED, repetition]).integers(0, 2, (STEPS, 32), dtype=np.uint8)
@@ -99,36 +108,46 @@ def _walk(repetition: int) -> tuple[np.ndarray, ...]:
     return tuple(tables)
 
 
-@lru_cache(maxsize=None)
-def _sampled(repetition: int, lookups: int) -> frozenset[int]:
-    rng = np.random.default_rng([SEED, repetition, lookups])
-    return frozenset(rng.choice(lookups, min(SAMPLED, lookups), replace=False).tolist())
+Plan = tuple[int, int]
 
 
-def window_steps(length: int) -> int:
-    """Steps of the walk for an item of so many bytes: it never leaves the item. 0: too short to find."""
-    return min(STEPS, length // STRIDE * STRIDE)
+@lru_cache(maxsize=1024)
+def _sampled(repetition: int, plan: Plan) -> frozenset[int]:
+    rng = np.random.default_rng([SEED, repetition, *plan])
+    return frozenset(rng.choice(plan[0] // STRIDE, plan[1], replace=False).tolist())
 
 
-def keys(packed: np.ndarray, starts: np.ndarray, repetition: int, steps: tuple[int, ...]) -> dict[int, np.ndarray]:
-    """The LSH key of the window at each start, for each number of steps (ascending)."""
+def plan_of(length: int) -> Plan | None:
+    """Steps and coordinates for an item of so many bytes; None for one that is too short to find."""
+    return next(((steps, sampled) for least, steps, sampled in PLANS if length >= least), None)
+
+
+def keys(packed: np.ndarray, starts: np.ndarray, repetition: int, plans: list[Plan]) -> dict[Plan, np.ndarray]:
+    """The LSH key of the window at each start, for each plan."""
     at = starts.astype(np.int32)
-    value = {s: np.full(len(at), s + 1, np.uint64) for s in steps}
-    for lookup, table in enumerate(_walk(repetition)[: steps[-1] // STRIDE]):
+    value = {p: np.full(len(at), p[0] + 1, np.uint64) for p in plans}
+    most = max((steps for steps, _ in plans), default=0)
+    for lookup, table in enumerate(_walk(repetition)[: most // STRIDE]):
         seen = packed[at]
-        for s in steps:
-            if lookup < s // STRIDE and lookup in _sampled(repetition, s // STRIDE):
-                value[s] = value[s] * np.uint64(37) + (seen & np.uint16(31))
+        for p in plans:
+            if lookup < p[0] // STRIDE and lookup in _sampled(repetition, p):
+                value[p] = value[p] * np.uint64(37) + (seen & np.uint16(31))
         at = at + table[seen]
-    return {s: mix(v + np.uint64(repetition << 40)) for s, v in value.items()}
+    return {p: mix(v + np.uint64(repetition << 40)) for p, v in value.items()}
 
 
-def word_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Where words begin in normalised bytes."""
+def window_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where windows begin in normalised bytes.
+
+    At each letter or digit behind another character, at each other character behind a space, at
+    the begin of a text, and at every character of the scripts that write words without spaces:
+    those with three bytes and more, but for the block of punctuation.
+    """
     if not len(data):
         return np.empty(0, np.int64)
-    begins = np.zeros(len(data), bool)
-    begins[1:] = data[:-1] == 32
+    letter = ((data >= 97) & (data <= 122)) | ((data >= 48) & (data <= 57)) | (data >= 128)
+    begins = (data >= 0xE0) & (data != 0xE2)
+    begins[1:] |= (letter[1:] & ~letter[:-1]) | ((data[:-1] == 32) & (data[1:] != 32))
     begins[offsets[:-1][offsets[:-1] < len(data)]] = True
     return np.flatnonzero(begins)
 
@@ -172,25 +191,32 @@ def best_stretch(item: bytes, text: bytes, most: int) -> tuple[int, int, int] |
 
 @dataclass(frozen=True)
 class Index:
-    """LSH keys of a block of items: for each repetition and number of steps, sorted, with item and offset."""
+    """LSH keys of a block of items: for each repetition and plan, sorted, with item and offset."""
 
     ids: list
     items: list[bytes]
     similarity: float
-    tables: list[dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]
+    tables: list[dict[Plan, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]
+
+
+def slack_of(items: list[bytes], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Edits that each item may have, and the cell that places of windows are rounded down to.
+
+    Windows of one item with equal keys in one cell are one, on either side, so a text that repeats
+    itself gives no more candidates than it has cells.
+    """
+    slack = ((1 - similarity) * np.array([len(x) for x in items]) + 1e-9).astype(np.int64)
+    return slack, np.maximum(slack // 6, 1)
 
 
-def _item_windows(items: list[bytes]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """By number of steps: (item, offset in the item, position in all items' bytes) of every window."""
+def _item_windows(items: list[bytes], plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(item, offset in the item, position in all items' bytes) of every window."""
     ends = np.cumsum([len(x) for x in items])
-    out: dict[int, list] = {}
-    for n, item in enumerate(items):
-        steps = window_steps(len(item))
-        if steps:
-            starts = word_starts(np.frombuffer(item, np.uint8), np.array([0, len(item)]))
-            starts = starts[starts + steps <= len(item)]
-            out.setdefault(steps, []).append((np.full(len(starts), n), starts, starts + ends[n] - len(item)))
-    return {s: tuple(np.concatenate(x) for x in zip(*parts)) for s, parts in sorted(out.items())}
+    starts = window_starts(np.frombuffer(b"".join(items), np.uint8), np.concatenate([[0], ends]))
+    item = np.searchsorted(ends, starts, "right")
+    fits = starts + plan[0] <= ends[item]
+    item, starts = item[fits], starts[fits]
+    return item, starts - (ends[item] - np.array([len(x) for x in items])[item]), starts
 
 
 def _packed_items(items: list[bytes]) -> np.ndarray:
@@ -211,72 +237,128 @@ def _edited(item: bytes, edits: int, rng: np.random.Generator) -> bytes:
     return bytes(out)
 
 
-def needed_repetitions(items: list[bytes], similarity: float = SIMILARITY, target: float = TARGET_RECALL, trials: int = 64) -> int:
-    """How many repetitions find this share of items at the largest edit distance that is accepted.
+def recall_by_repetitions(items: list[bytes], plan: Plan, similarity: float, trials: int, repetitions: int) -> np.ndarray:
+    """The share of edited items that 1, 2, ... repetitions find.
 
-    The edits are single bytes at random places, the hardest kind: edits of whole words leave longer
-    stretches as they are. Measured with ``trials`` edited items.
+    The items (each of them, as far as there are trials) get as many edits as are accepted, of single
+    bytes at random places, the hardest kind: edits of whole words leave longer stretches as they are.
     """
-    long = [x for x in items if window_steps(len(x))]
-    if not long:
-        return 1
     rng = np.random.default_rng(SEED)
-    found = np.zeros((trials, MOST_REPETITIONS), bool)
-    for t in range(trials):
-        item = long[t % len(long)]
-        edited = _edited(item, int((1 - similarity) * len(item)), rng)
-        steps = window_steps(len(item))
-        mine, theirs = _packed_items([item]), _packed_items([edited])
-        starts = _item_windows([item])[steps][1]
-        others = word_starts(np.frombuffer(edited, np.uint8), np.array([0, len(edited)]))
-        for r in range(MOST_REPETITIONS):
-            found[t, r] = np.isin(keys(mine, starts, r, (steps,))[steps], keys(theirs, others, r, (steps,))[steps]).any()
-    recall = np.logical_or.accumulate(found, axis=1).mean(axis=0)
-    enough = np.flatnonzero(recall >= target)
-    return int(enough[0]) + 1 if len(enough) else MOST_REPETITIONS
+    chosen = [items[int(i)] for i in np.linspace(0, len(items) - 1, trials)]
+    edited = [_edited(x, int((1 - similarity) * len(x) + 1e-9), rng) for x in chosen]
+    mine, theirs = _packed_items(chosen), _packed_items(edited)
+    item, _, starts = _item_windows(chosen, plan)
+    ends = np.cumsum([len(x) for x in edited])
+    others = window_starts(np.frombuffer(b"".join(edited), np.uint8), np.concatenate([[0], ends]))
+    of = np.searchsorted(ends, others, "right")
+    found = np.zeros((trials, repetitions), bool)
+    for r in range(repetitions):
+        a, b = keys(mine, starts, r, [plan])[plan], keys(theirs, others, r, [plan])[plan]
+        hit = np.isin(mix(a + item.astype(np.uint64)), mix(b + of.astype(np.uint64)))
+        found[item[hit], r] = True
+    return np.logical_or.accumulate(found, axis=1).mean(axis=0)
+
+
+def repetitions_of(items: list[bytes], similarity: float = SIMILARITY, target: float = TARGET_RECALL) -> tuple[Plan, int]:
+    """The plan for items of one class, and how many repetitions find this share of them.
+
+    Shorter windows with fewer coordinates are tried where TRIED repetitions do not; the shortest
+    that an item can have always end the search.
+    """
+    shortest = min(map(len, items))
+    plans = [(steps, sampled) for least, steps, sampled in PLANS if shortest >= least]
+    for plan in plans:
+        recall = recall_by_repetitions(items, plan, similarity, TRIALS, TRIED)
+        # Two standard errors above the target, so that chance does not choose too few.
+        enough = np.flatnonzero(recall >= min(1.0, target + 2 * np.sqrt(target * (1 - target) / TRIALS)))
+        if len(enough):
+            return plan, int(enough[0]) + 1
+    return plans[-1], TRIED
 
 
 def build_index(ids: list, items: list[bytes], similarity: float, target: float) -> Index:
-    windows, packed = _item_windows(items), _packed_items(items)
-    tables = []
-    for r in range(needed_repetitions(items, similarity, target) if windows else 0):
-        table = {}
-        for steps, (item, offset, position) in windows.items():
-            key = keys(packed, position, r, (steps,))[steps]
-            order = np.argsort(key, kind="stable")
+    classes: dict[Plan, list[int]] = {}
+    for n, item in enumerate(items):
+        if plan := plan_of(len(item)):
+            classes.setdefault(plan, []).append(n)
+    cells = slack_of(items, similarity)[1]
+    tables: list[dict] = []
+    for members in classes.values():
+        mine = [items[n] for n in members]
+        plan, repetitions = repetitions_of(mine, similarity, target)
+        item, offset, position = _item_windows(mine, plan)
+        item, packed = np.array(members)[item], _packed_items(mine)
+        tables += [{} for _ in range(repetitions - len(tables))]
+        for r in range(repetitions):
+            key = keys(packed, position, r, [plan])[plan]
+            order = np.lexsort((offset, item, key))
+            k, i, o = key[order], item[order], offset[order]
+            cell = o // cells[i]
+            first = np.ones(len(k), bool)
+            first[1:] = (k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (cell[1:] != cell[:-1])
+            rows = (k[first], i[first].astype(np.int32), o[first].astype(np.int32))
+            if plan in tables[r]:  # another class has come down to the same windows
+                rows = tuple(np.concatenate(x) for x in zip(tables[r][plan][:3], rows))
+                order = np.argsort(rows[0], kind="stable")
+                rows = tuple(x[order] for x in rows)
             sieve = np.zeros(1 << 20, bool)
-            sieve[key >> np.uint64(44)] = True
-            table[steps] = (key[order], item[order], offset[order], np.packbits(sieve))
-        tables.append(table)
+            sieve[rows[0] >> np.uint64(44)] = True
+            tables[r][plan] = (*rows, np.packbits(sieve))
     return Index(ids, items, similarity, tables)
 
 
 def candidates(index: Index, packed: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Rows (item, where the item would begin) that any repetition finds for the windows at ``starts``."""
-    found = [np.empty((0, 2), np.int64)]
+    """Rows (item, where the item would begin, rounded down to its cell) that any repetition finds."""
+    _, cells = slack_of(index.items, index.similarity)
+    found = np.empty((0, 2), np.int64)
     for r, table in enumerate(index.tables):
-        by_steps = keys(packed, starts, r, tuple(table))
-        for steps, key in by_steps.items():
-            sorted_keys, item, offset, sieve = table[steps]
+        by_plan = keys(packed, starts, r, list(table))
+        for plan, key in by_plan.items():
+            sorted_keys, item, offset, sieve = table[plan]
             sieve = np.unpackbits(sieve).view(bool)
             maybe = np.flatnonzero(sieve[key >> np.uint64(44)])
             low = np.searchsorted(sorted_keys, key[maybe], "left")
             many = np.searchsorted(sorted_keys, key[maybe], "right") - low
             maybe, low, many = maybe[many > 0], low[many > 0], many[many > 0]
-            if len(many):
-                at = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                found.append(np.stack([item[at], np.repeat(starts[maybe], many) - offset[at]], axis=1))
-    return np.unique(np.concatenate(found), axis=0)
-
-
-def _enough_grams(grams: np.ndarray, packed: np.ndarray, begin: int, slack: int) -> bool:
+            if not len(many):
+                continue
+            # Of windows with one key in one of the smallest cells, the first.
+            place = starts[maybe]
+            smallest = int(cells[item].min())
+            if smallest > 1:
+                order = np.lexsort((place, low))
+                a, b = low[order], place[order] // smallest
+                first = order[np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])]
+                place, low, many = place[first], low[first], many[first]
+            upto = np.concatenate([[0], np.cumsum(many)])
+            done = 0
+            while done < len(many):
+                last = max(done + 1, int(np.searchsorted(upto, upto[done] + PAIRS, "right")) - 1)
+                at = ranges(low[done:last], many[done:last])
+                begin = np.repeat(place[done:last], many[done:last]) - offset[at]
+                cell = cells[item[at]]
+                part = np.stack([item[at], begin // cell * cell], axis=1)
+                found = _distinct(np.concatenate([found, _distinct(part)]))
+                done = last
+    return found
+
+
+def _distinct(rows: np.ndarray) -> np.ndarray:
+    """The distinct rows of (item, begin), in order."""
+    if not len(rows):
+        return rows
+    code = np.unique((rows[:, 0] << 40) + (rows[:, 1] + (1 << 39)))
+    return np.stack([code >> 40, (code & ((1 << 40) - 1)) - (1 << 39)], axis=1)
+
+
+def _enough_grams(grams: np.ndarray, packed: np.ndarray, begin: int, slack: int, wide: int) -> bool:
     """Whether enough of an item's grams occur near their places for at most ``slack`` edits.
 
     An edit spoils STRIDE grams at most and shifts the rest by one, so this drops no true place.
     """
     least = len(grams) - STRIDE * slack
-    low, high = begin - slack, begin + slack + len(grams)
-    if least <= 0 or low < 0 or high > len(packed) or len(grams) * (2 * slack + 1) > MOST_COMPARED:
+    low, high = begin - wide, begin + wide + len(grams)
+    if least <= 0 or low < 0 or high > len(packed) or len(grams) * (2 * wide + 1) > MOST_COMPARED:
         return True
     near = np.lib.stride_tricks.sliding_window_view(packed[low:high], len(grams))
     return int((near == grams).any(axis=0).sum()) >= least
@@ -286,7 +368,7 @@ def hits(index: Index, texts: pa.Array) -> list[tuple]:
     """(text number, item number, distance, begin, end) for each place of an item; bytes of the text."""
     raw, raw_offsets = flat(texts)
     data, offsets, position = normalised(raw, raw_offsets)
-    starts = word_starts(data, offsets)
+    starts = window_starts(data, offsets)
     if not len(starts) or not index.tables:
         return []
     packed = symbols(data)
@@ -296,20 +378,20 @@ def hits(index: Index, texts: pa.Array) -> list[tuple]:
     grams = [_packed_items([item])[: max(0, len(item) - STRIDE + 1)] for item in index.items]
     # A candidate's place lies in the text of its window; the begin that it computes may lie before.
     lengths = np.array([len(x) for x in index.items])
-    slack = ((1 - index.similarity) * lengths + 1e-9).astype(np.int64)
+    slack, cells = slack_of(index.items, index.similarity)
+    wide = slack + 3 * (cells - 1)  # the begin, the window and its place in the item are rounded down
     out, data_bytes = [], data.tobytes()
-    order = np.lexsort((found[:, 1], found[:, 0]))
     groups: dict[tuple[int, int], list[list[int]]] = {}
-    for item, begin in found[order].tolist():
-        n, extra = int(lengths[item]), int(slack[item])
-        if not _enough_grams(grams[item], packed, begin, extra):
+    for item, begin in found.tolist():
+        n, extra = int(lengths[item]), int(wide[item])
+        if not _enough_grams(grams[item], packed, begin, int(slack[item]), extra):
             continue
         first = max(0, begin - extra)
         for text in range(
             max(0, int(np.searchsorted(offsets, first, "right")) - 1), min(len(offsets) - 1, int(np.searchsorted(offsets, begin + n + extra, "left")))
         ):
             low, high = max(first, int(offsets[text])), min(begin + n + extra, int(offsets[text + 1]))
-            if high - low < n - extra:
+            if high - low < n - int(slack[item]):
                 continue
             places = groups.setdefault((text, item), [])
             if places and low <= places[-1][0] + 2 * extra:
@@ -360,7 +442,7 @@ def find_items(
 
     A row for each place whose edit distance to a whole item is at most (1 - similarity) of the
     item's length; begin_byte and end_byte are UTF-8 bytes of the text as it is. Every text and every
-    item takes part, whatever its length; NULL and empty texts have no places, and items under three
+    item takes part, whatever its length, and a text that repeats itself costs bounded memory; NULL and empty texts have no places, and items under three
     bytes are not searched for. Repeated rows and items each give their own rows; NULL identifiers
     are carried along; other columns are ignored. ``row_key`` tells the rows of ``df`` apart.
     """

@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -66,7 +67,7 @@ def benchmark(spark, items):
     return spark.createDataFrame([(i, t, "x") for i, t in enumerate(items)], "item_id bigint, text string, row_key string")
 
 
-@pytest.mark.parametrize("share, least", [(0.0, 1.0), (0.1, 1.0), (0.19, 0.9)])
+@pytest.mark.parametrize("share, least", [(0.0, 1.0), (0.1, 1.0), (0.19, 0.95)])
 def test_recall_and_precision(spark, share, least):
     items, rows = planted(share)
     got = {(r.doc_id, r.item_id): r for r in dc.find_items(documents(spark, rows), benchmark(spark, items)).collect()}
@@ -121,9 +122,67 @@ def test_odd_rows(spark):
 def test_repetitions_reach_the_target():
     rng = random.Random(5)
     items = [passage(rng, 40).encode() for _ in range(30)]
-    few, many = dc.needed_repetitions(items, 0.95, 0.5), dc.needed_repetitions(items, 0.8, 0.99)
-    assert 1 <= few <= many <= dc.MOST_REPETITIONS
-    assert dc.needed_repetitions([b"x"]) == 1
+    few, many = dc.repetitions_of(items, 0.95, 0.5)[1], dc.repetitions_of(items, 0.8, 0.99)[1]
+    assert 1 <= few <= many <= dc.TRIED
+    assert dc.repetitions_of([b"xyz"])[0] == (3, 1)
+    assert dc.plan_of(2) is None and dc.plan_of(10**6) == dc.PLANS[0][1:]
+
+
+def prose(rng, n):
+    """Exactly n bytes of words of letters of natural frequency."""
+    out = ""
+    while len(out) < n:
+        out += "".join(rng.choice("eeettaaooiinnsshhrrddlucmfwypvbgk") for _ in range(rng.randint(1, 9))) + " "
+    return out[: n - 1] + "e"
+
+
+@pytest.mark.parametrize("share", [0.1, 0.2])
+@pytest.mark.parametrize("length", [40, 60, 80, 100, 130, 260])
+def test_recall_by_length(length, share):
+    """Whole operator, without Spark: items of one length among items of all others."""
+    rng, np_rng = random.Random(length), np.random.default_rng(length)
+    items = [prose(rng, length).encode() for _ in range(100)] + [prose(rng, n).encode() for n in (260, 40, 70, 150) for _ in range(20)]
+    index = dc.build_index(list(range(len(items))), items, 0.8, 0.95)
+    edited = [" ".join(dc._edited(x, int(share * length), np_rng).decode().split()) for x in items[:100]]
+    # Where an edit leaves two spaces, one of them goes, which is one edit more.
+    able = [i for i in range(100) if dc.best_stretch(items[i], edited[i].encode(), length)[0] <= 0.2 * length]
+    assert len(able) > 90
+    found = {(text, item) for text, item, *_ in dc.hits(index, pa.array([f"{prose(rng, 300)} {x} {prose(rng, 300)}" for x in edited]))}
+    assert sum((i, i) in found for i in able) >= 0.95 * len(able)
+
+
+def chinese(rng, n):
+    return "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(n))
+
+
+def test_items_behind_quotes_and_in_scripts_without_spaces():
+    rng = random.Random(8)
+    quoted = [prose(rng, 40) for _ in range(100)]
+    long = [chinese(rng, 30) for _ in range(100)]
+    items = [x.encode() for x in quoted + long + ["(" + prose(rng, 45) for _ in range(20)]]
+    index = dc.build_index(list(range(len(items))), items, 0.8, 0.95)
+    texts = [f'{prose(rng, 100)} "{x}" {prose(rng, 100)}' for x in quoted] + [chinese(rng, 200) + x + chinese(rng, 200) for x in long]
+    texts += [f'{prose(rng, 50)} "{items[200 + i].decode()})' for i in range(20)]
+    found = {(text, item) for text, item, *_ in dc.hits(index, pa.array(texts))}
+    assert {(i, i) for i in range(220)} <= found
+
+
+def test_a_text_that_repeats_itself_in_bounded_memory():
+    rng = random.Random(9)
+    items = [("a " * 130)[: 200 + i].encode() for i in range(50)] + [prose(rng, 200).encode()]
+    text = "a " * 100_000
+    index = dc.build_index(list(range(51)), items, 0.8, 0.95)
+    tracemalloc.start()
+    packed = dc.symbols(np.frombuffer(text.encode(), np.uint8))
+    starts = dc.window_starts(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+    found = dc.candidates(index, packed, starts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 150e6
+    # A candidate for each item and cell, at most.
+    assert 0 < len(found) <= 50 * (len(text) // 6 + 100)
+    got = {item for _, item, *_ in dc.hits(index, pa.array(["a " * 2000 + items[50].decode()]))}
+    assert got == set(range(51))
 
 
 def test_the_query_finds_every_exact_passage(spark):

@@ -46,8 +46,8 @@ BLOCK_BYTES = 1 << 20
 #: Edited items by which a class's recall is measured, and repetitions that are tried before its windows
 #: are made shorter.
 TRIALS, TRIED = 400, 24
-#: Pairs of a window and an item that are in hand at once.
-PAIRS = 1 << 18
+#: Windows of the texts, and pairs of a window and an item, that are in hand at once.
+STARTS, PAIRS = 1 << 16, 1 << 18
 #: Symbols that the quick bound compares for one candidate; longer items are verified at once.
 MOST_COMPARED = 1 << 22
 SEED = 20240229
@@ -206,7 +206,7 @@ def slack_of(items: list[bytes], similarity: float) -> tuple[np.ndarray, np.ndar
     itself gives no more candidates than it has cells.
     """
     slack = ((1 - similarity) * np.array([len(x) for x in items]) + 1e-9).astype(np.int64)
-    return slack, np.maximum(slack // 6, 1)
+    return slack, np.maximum(slack // 8, 1)
 
 
 def _item_windows(items: list[bytes], plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -351,16 +351,28 @@ def _distinct(rows: np.ndarray) -> np.ndarray:
     return np.stack([code >> 40, (code & ((1 << 40) - 1)) - (1 << 39)], axis=1)
 
 
+#: Symbols in a gram of the quick bound.
+GRAM = 4
+
+
+def grams_of(packed: np.ndarray) -> np.ndarray:
+    """The codes of GRAM symbols from each position on, from those of STRIDE."""
+    more = packed.astype(np.int32)
+    more[:-1] |= (more[1:] >> 10) << 15
+    return more
+
+
 def _enough_grams(grams: np.ndarray, packed: np.ndarray, begin: int, slack: int, wide: int) -> bool:
     """Whether enough of an item's grams occur near their places for at most ``slack`` edits.
 
-    An edit spoils STRIDE grams at most and shifts the rest by one, so this drops no true place.
+    An edit spoils GRAM grams at most and shifts the rest by one, so this drops no true place.
     """
-    least = len(grams) - STRIDE * slack
+    least = len(grams) - GRAM * slack
     low, high = begin - wide, begin + wide + len(grams)
     if least <= 0 or low < 0 or high > len(packed) or len(grams) * (2 * wide + 1) > MOST_COMPARED:
         return True
-    near = np.lib.stride_tricks.sliding_window_view(packed[low:high], len(grams))
+    step = packed.itemsize
+    near = np.ndarray((2 * wide + 1, len(grams)), packed.dtype, packed, low * step, (step, step))
     return int((near == grams).any(axis=0).sum()) >= least
 
 
@@ -372,19 +384,18 @@ def hits(index: Index, texts: pa.Array) -> list[tuple]:
     if not len(starts) or not index.tables:
         return []
     packed = symbols(data)
-    found = candidates(index, packed, starts)
-    if not len(found):
-        return []
-    grams = [_packed_items([item])[: max(0, len(item) - STRIDE + 1)] for item in index.items]
+    parts = (candidates(index, packed, starts[first : first + STARTS]) for first in range(0, len(starts), STARTS))
+    grams = [grams_of(_packed_items([item]))[: max(0, len(item) - GRAM + 1)] for item in index.items]
+    in_text = grams_of(packed)
     # A candidate's place lies in the text of its window; the begin that it computes may lie before.
     lengths = np.array([len(x) for x in index.items])
     slack, cells = slack_of(index.items, index.similarity)
     wide = slack + 3 * (cells - 1)  # the begin, the window and its place in the item are rounded down
     out, data_bytes = [], data.tobytes()
     groups: dict[tuple[int, int], list[list[int]]] = {}
-    for item, begin in found.tolist():
+    for item, begin in (row for part in parts for row in part.tolist()):
         n, extra = int(lengths[item]), int(wide[item])
-        if not _enough_grams(grams[item], packed, begin, int(slack[item]), extra):
+        if not _enough_grams(grams[item], in_text, begin, int(slack[item]), extra):
             continue
         first = max(0, begin - extra)
         for text in range(
@@ -395,7 +406,7 @@ def hits(index: Index, texts: pa.Array) -> list[tuple]:
                 continue
             places = groups.setdefault((text, item), [])
             if places and low <= places[-1][0] + 2 * extra:
-                places[-1][1] = max(places[-1][1], high)
+                places[-1] = [min(places[-1][0], low), max(places[-1][1], high)]
             else:
                 places.append([low, high])
     for (text, item), places in groups.items():

@@ -8,10 +8,12 @@ the smallest identifier and the number of rows. Tries work at two places:
 * at the owner: the remaining texts are dealt out by length and content hash, and reach the owner's
   trie in byte order.
 
-Both tries hold at most ``budget`` bytes of text and spill by subtree. Beside the scan the heaviest
-subtrees go (a copy that comes later starts a new row, which the owner unites). At the owner
-everything left of the path to the newest string is complete, because strings come in byte order,
-and goes for good. Equality is that of the bytes; the hash only deals out.
+Both tries hold at most about ``budget`` bytes, nodes and members included, and spill by subtree.
+Beside the scan the heaviest subtrees go (a copy that comes later starts a new row, which the owner
+unites), and of a text's copies only the smallest identifier and the number stay: the others are
+given out as they come. At the owner everything left of the path to the newest string is complete,
+because strings come in byte order, and goes for good. Equality is that of the bytes; the hash only
+deals out.
 """
 
 from __future__ import annotations
@@ -26,12 +28,13 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .common import col, fresh, pieces, rows_with_keys, shuffle_parts, stage
 
 SPACES = r"[\x20\x09-\x0D]+"
-#: Bytes of text that a trie holds before it spills.
+#: Bytes that a trie holds before it spills; what a node and a member take besides the text.
 TRIE_BYTES = 32 << 20
+NODE_BYTES, MEMBER_BYTES = 300, 150
 
 
 class Node:
-    __slots__ = ("label", "children", "best", "count", "members")
+    __slots__ = ("label", "children", "best", "count", "members", "first")
 
     def __init__(self, label: bytes):
         self.label = label
@@ -39,6 +42,7 @@ class Node:
         self.best = None
         self.count = 0
         self.members: list = []
+        self.first = None
 
 
 def common_length(a: bytes, a_from: int, b: bytes, b_from: int) -> int:
@@ -54,22 +58,22 @@ def common_length(a: bytes, a_from: int, b: bytes, b_from: int) -> int:
 
 
 class PatriciaTrie:
-    """A compressed radix trie of byte strings; ``size`` counts the bytes of all edge labels."""
+    """A compressed radix trie of byte strings; ``size`` counts labels, nodes and members."""
 
     def __init__(self):
         self.root = Node(b"")
         self.size = 0
 
-    def insert(self, text: bytes, key, count: int, member) -> None:
+    def terminal(self, text: bytes) -> Node:
+        """The node of ``text``, which is put in if it is new."""
         node, at = self.root, 0
         while at < len(text):
             child = node.children.get(text[at])
             if child is None:
                 child = Node(text[at:])
                 node.children[text[at]] = child
-                self.size += len(child.label)
-                node = child
-                break
+                self.size += len(child.label) + NODE_BYTES
+                return child
             if not text.startswith(child.label, at):
                 k = common_length(child.label, 0, text, at)
                 middle = Node(child.label[:k])
@@ -77,7 +81,13 @@ class PatriciaTrie:
                 node.children[text[at]] = middle
                 child.label = child.label[k:]
                 child = middle
+                self.size += NODE_BYTES
             node, at = child, at + len(child.label)
+        return node
+
+    def insert(self, text: bytes, key, count: int, member) -> None:
+        node = self.terminal(text)
+        self.size += MEMBER_BYTES
         if node.best is None or key < node.best:
             node.best = key
         node.count += count
@@ -89,7 +99,7 @@ class PatriciaTrie:
         while todo:
             prefix, node = todo.pop()
             text = prefix + node.label
-            self.size -= len(node.label)
+            self.size -= len(node.label) + NODE_BYTES * (node is not self.root) + MEMBER_BYTES * len(node.members)
             if node.best is not None:
                 yield text, node
             todo.extend((text, child) for child in node.children.values())
@@ -114,7 +124,7 @@ class PatriciaTrie:
         total, todo = 0, [node]
         while todo:
             node = todo.pop()
-            total += len(node.label)
+            total += len(node.label) + NODE_BYTES + MEMBER_BYTES * len(node.members)
             todo.extend(node.children.values())
         return total
 
@@ -131,11 +141,13 @@ class PatriciaTrie:
                 done, node.best = Node(b""), None
                 done.best, done.count, done.members = True, node.count, node.members
                 node.count, node.members = 0, []
+                self.size -= MEMBER_BYTES * len(done.members)
                 yield newest[:at], done
 
     def drain(self) -> Iterator[tuple[bytes, Node]]:
-        root, self.root = self.root, Node(b"")
+        root = self.root
         yield from self._cut(b"", root)
+        self.root = Node(b"")
 
 
 def _rows(found: Iterator[tuple], schema: pa.Schema, limit: int = 1 << 22) -> Iterator[pa.RecordBatch]:
@@ -181,19 +193,25 @@ def exact_dedup(
 
         def told(spilled):
             for text, node in spilled:
-                best = node.best[2]
-                for missing, doc_id, row in node.members:
-                    mine = row == best
-                    yield row, None if missing else doc_id, best, text if mine else None, node.count if mine else None
+                missing, doc_id, row = node.best
+                yield row, None if missing else doc_id, node.first, text, node.count
 
         for batch in pieces(batches):
             schema = schema or pa.schema(
                 [("row", pa.int64()), ("doc_id", batch.schema.field("doc_id").type), ("local_row", pa.int64()), ("text", pa.binary()), ("copies", pa.int64())]
             )
+            copies = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 key = (True, 0, next_row) if doc_id is None else (False, doc_id, next_row)
-                trie.insert(text, key, 1, key)
+                node = trie.terminal(text)
+                if node.best is None:
+                    node.best, node.first = key, next_row
+                else:
+                    (missing, other, row), node.best = max(key, node.best), min(key, node.best)
+                    copies.append((row, None if missing else other, node.first, None, None))
+                node.count += 1
                 next_row += 1
+            yield from _rows(iter(copies), schema)
             if trie.size > budget:
                 yield from _rows(told(trie.spill_heaviest(budget // 2)), schema)
         if schema:
@@ -216,19 +234,20 @@ def exact_dedup(
 
         def told(spilled):
             for text, node in spilled:
-                missing, keep_id, keep_row = min(key for key, _ in node.members)
+                missing, keep_id, keep_row = min(key for key, _, _ in node.members)
                 digest = hashlib.sha256(text).hexdigest()
-                size = sum(copies for _, copies in node.members)
-                for (_, _, row), _ in node.members:
-                    yield row, keep_row, None if missing else keep_id, size, digest
+                size = sum(copies for _, copies, _ in node.members)
+                for _, _, local_row in node.members:
+                    yield local_row, keep_row, None if missing else keep_id, size, digest
 
         for batch in pieces(batches):
             schema = schema or pa.schema(
                 [("local_row", pa.int64()), ("keep_row", pa.int64()), ("keep_id", batch.schema.field("doc_id").type), ("group_size", pa.int64()), ("text_sha256", pa.string())]
             )
-            for row, doc_id, text, copies in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "text", "copies"))):
+            columns = (batch.column(c).to_pylist() for c in ("row", "doc_id", "local_row", "text", "copies"))
+            for row, doc_id, local_row, text, copies in zip(*columns):
                 key = (True, 0, row) if doc_id is None else (False, doc_id, row)
-                trie.insert(text, key, copies, (key, copies))
+                trie.insert(text, key, copies, (key, copies, local_row))
                 newest = text
             if trie.size > budget:
                 yield from _rows(told(trie.spill_complete(newest)), schema)
@@ -237,7 +256,7 @@ def exact_dedup(
 
     owners = (
         met.filter("text IS NOT NULL")
-        .select("row", "doc_id", "text", "copies")
+        .select("row", "doc_id", "local_row", "text", "copies")
         .repartition(shuffle_parts(df.sparkSession), F.length("text"), F.xxhash64("text"))
         .sortWithinPartitions("text")
         .mapInArrow(own, owner_schema)

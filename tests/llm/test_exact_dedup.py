@@ -4,6 +4,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from llm_data import documents, odd_rows
 from terrastat.llm.exact_dedup import PatriciaTrie, exact_dedup, first_copies
@@ -77,3 +78,26 @@ def test_trie_spills_whole_subtrees():
         done.update(t for t, _ in trie.spill_complete(text))
     done.update(t for t, _ in trie.drain())
     assert done == Counter(set(texts))
+
+
+def test_very_many_copies_of_short_texts_in_a_small_budget(spark):
+    """Copies are given out as they come: neither a hot text nor short ones outgrow the budget."""
+    rows = spark.range(300_000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN '' ELSE CAST(id % 50000 AS STRING) END AS text")
+    got = exact_dedup(rows.repartition(3), budget=1 << 20)
+    assert got.count() == 300_000
+    sizes = {r.text_sha256: (r.n, r.size, r.kept) for r in got.groupBy("text_sha256").agg(F.count("*").alias("n"), F.max("group_size").alias("size"), F.count_if("kept").alias("kept")).collect()}
+    assert all(n == size and kept == 1 for n, size, kept in sizes.values())
+    assert sizes[hashlib.sha256(b"").hexdigest()][0] == 100_000 and sum(n for n, _, _ in sizes.values()) == 300_000
+
+
+def test_the_budget_counts_nodes_and_members():
+    trie = PatriciaTrie()
+    for i in range(2000):
+        trie.insert(b"%d" % i, i, 1, i)
+    for i in range(1000):
+        trie.insert(b"", i, 1, i)
+    assert trie.size >= 2000 * 300 + 3000 * 150
+    left = {text: node.count for text, node in trie.spill_heaviest(100_000)}
+    assert trie.size <= 150 * 1000 + 100_000
+    left |= {text: node.count for text, node in trie.drain()}
+    assert len(left) == 2001 and left[b""] == 1000 and trie.size == 0

@@ -7,9 +7,12 @@ space and 0x09-0x0D in the UTF-8 text, with A-Z lower-cased where an operator sa
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import re
 import shutil
 import tempfile
+import time
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -28,6 +31,11 @@ PIECE_BYTES = 1 << 20
 
 _own_folders: dict[str, str] = {}
 
+try:
+    _libc = ctypes.CDLL("libc.so.6")  # where it isn't glibc, memory is given back as the system sees fit
+except OSError:
+    _libc = None
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: the session's ``spark.checkpoint.dir``.
@@ -72,6 +80,18 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return write_and_reread(df, new_location(df.sparkSession, label))
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps that nothing refers to any more.
+
+    It does so once the driver has collected its garbage, which may otherwise take half an hour:
+    first Python's, which tells the JVM of its own in the background, then the JVM's.
+    """
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.3)
+        spark.sparkContext._jvm.System.gc()
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     """How many parts a shuffle of packed rows is dealt to; follows the session's setting."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -135,6 +155,13 @@ def rows_with_keys(df: DataFrame, id_col: str, text_col: str, keys: DataFrame) -
     )
 
 
+def give_back() -> None:
+    """Return memory that is free to the system: Python workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose ``text`` takes about ``limit`` bytes, a row at least."""
     for batch in batches:
@@ -148,6 +175,7 @@ def pieces(batches: Iterator[pa.RecordBatch], limit: int = PIECE_BYTES) -> Itera
             last = max(first + 1, int(np.searchsorted(upto, done + limit, "right")))
             yield batch.slice(first, last - first)
             first = last
+    give_back()
 
 
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -36,6 +36,15 @@ def unpack(data: bytes) -> np.ndarray:
     return np.cumsum(steps, dtype=np.uint64)
 
 
+def pack_places(places: np.ndarray) -> bytes:
+    """Whole numbers of 32 bits, byte plane by byte plane: the upper ones are mostly zero."""
+    return places.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unpack_places(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<i4").ravel()
+
+
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order, and the sum of the counts of each."""
     order = np.argsort(keys, kind="stable")

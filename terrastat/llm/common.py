@@ -8,11 +8,9 @@ from __future__ import annotations
 
 import atexit
 import ctypes
-import gc
 import re
 import shutil
 import tempfile
-import time
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -30,6 +28,7 @@ from terrastat.sources import stage as write_and_reread
 PIECE_BYTES = 1 << 20
 
 _own_folders: dict[str, str] = {}
+_FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 try:
     _libc = ctypes.CDLL("libc.so.6")  # where it isn't glibc, memory is given back as the system sees fit
@@ -80,16 +79,21 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return write_and_reread(df, new_location(df.sparkSession, label))
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished steps that nothing refers to any more.
+def stage_and_release(df: DataFrame, label: str) -> DataFrame:
+    """:func:`stage`, and Spark deletes the shuffle files of the step as soon as it is written.
 
-    It does so once the driver has collected its garbage, which may otherwise take half an hour:
-    first Python's, which tells the JVM of its own in the background, then the JVM's.
+    Otherwise they stay until the driver happens to collect its garbage, beside those of later steps.
     """
-    for _ in range(2):
-        gc.collect()
-        time.sleep(0.3)
-        spark.sparkContext._jvm.System.gc()
+    conf = df.sparkSession.conf
+    before = conf.get(_FILE_CLEANUP, None)
+    conf.set(_FILE_CLEANUP, "true")
+    try:
+        return stage(df, label)
+    finally:
+        if before is None:
+            conf.unset(_FILE_CLEANUP)
+        else:
+            conf.set(_FILE_CLEANUP, before)
 
 
 def shuffle_parts(spark: SparkSession) -> int:

@@ -42,6 +42,10 @@ _CUT = pattern(r"(?<=\S)(?= )")
 _UNCERTAIN = "^ |[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}] "
 
 
+#: Bytes of text whose chunks are looked up at once: the more, the fewer look-ups of a chunk.
+ENCODED_BYTES = 4 << 20
+
+
 @lru_cache(maxsize=2)
 def tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores already
@@ -92,7 +96,7 @@ def token_ids(batches: Iterator[pa.RecordBatch], path: str, table_rows: int = TA
     """
     t = tokenizer(path)
     table = _table(path, table_rows) if separable(path) else None
-    for batch in pieces(batches):
+    for batch in pieces(batches, ENCODED_BYTES):
         texts = batch.column("text")
         if table is None:
             each = [found.ids for found in t.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]

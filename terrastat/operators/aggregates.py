@@ -6,7 +6,7 @@ third of all rows costs one row per task in the shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -68,6 +68,64 @@ def band_sums(
     return out.select(*keys, *[b.name for b in bands])
 
 
+def region_edges(edges: DataFrame, region: str, edge: str) -> DataFrame:
+    """The (region, edge) rows of a configuration table, one a region.
+
+    Repeated rows are one; a region with two different edges fails the job and is named, it would
+    have two answers. Rows without a region or an edge say nothing.
+    """
+    said = edges.where(F.col(region).isNotNull() & F.col(edge).isNotNull())
+    twice = F.concat(
+        F.lit("two band edges for region "),
+        F.col(region).cast("string"),
+        *[part for c in ("_least", "_most") for part in (F.lit(", "), F.col(c).cast("string"))],
+    )
+    return (
+        said.groupBy(region)
+        .agg(F.min(edge).alias("_least"), F.max(edge).alias("_most"))
+        .select(
+            region,
+            F.when(F.col("_least") == F.col("_most"), F.col("_least"))
+            .otherwise(F.raise_error(twice))
+            .alias(edge),
+        )
+    )
+
+
+def regions_without_edge(df: DataFrame, edges: DataFrame, region: str, edge: str) -> DataFrame:
+    """The regions of ``df`` that the table gives no edge; a NULL region is one of them."""
+    known = region_edges(edges, region, edge)
+    return df.select(region).distinct().join(known, region, "left_anti")
+
+
+def band_sums_by_table(
+    df: DataFrame,
+    keys: Sequence[str],
+    edges: DataFrame,
+    *,
+    region: str,
+    edge: str,
+    value: str,
+    amount: str,
+    bands: Callable[[Column], Sequence[Band]],
+    highest: int | None = None,
+) -> DataFrame:
+    """:func:`band_sums` with an edge that a table (region, edge) gives each region.
+
+    ``bands`` makes the bands from the edge's column; ``region`` is one of the keys. The rows are
+    summed per key and value first, and the table, which may have any number of regions, meets
+    these sums instead of the rows: a hot region is one row for each of its values. A region
+    without an edge is in no band that has one, see :func:`regions_without_edge`.
+    """
+    if region not in keys:
+        raise ValueError(f"{region} is not one of the keys")
+    if edge in df.columns:
+        raise ValueError(f"{edge} is a column of the rows as well")
+    sums = df.groupBy(*keys, value).agg(F.sum(amount).alias(amount))
+    rows = sums.join(region_edges(edges, region, edge), region, "left")
+    return band_sums(rows, keys, value=value, amount=amount, bands=bands(F.col(edge)), highest=highest)
+
+
 def level_pivot(
     establishments: DataFrame,
     bridge: DataFrame,
@@ -113,7 +171,7 @@ def count_above(
     return count_rows(high, by, name)
 
 
-def _with_totals(
+def with_totals(
     df: DataFrame,
     region: str,
     area: str,
@@ -136,7 +194,7 @@ def _with_totals(
     )
 
 
-def _unfold_totals(grouped: DataFrame, region: str, area: str, name: str) -> DataFrame:
+def unfold_totals(grouped: DataFrame, region: str, area: str, name: str) -> DataFrame:
     """One row for the detail and one for the total of an area, or one where they are equal.
 
     A region's total shares a group with details only if its label is a real area.
@@ -164,14 +222,14 @@ def distinct_with_totals(
     A distinct count is not additive, so the total has to see the values again; only the rows of
     ``total_regions`` are repeated for it, where GROUPING SETS would repeat every row.
     """
-    values = _with_totals(df, region, area, total_regions, total_label, [value]).distinct()
+    values = with_totals(df, region, area, total_regions, total_label, [value]).distinct()
     grouped = values.groupBy(region, area).agg(
         F.count_if(~F.col("_total")).alias("_details"),
         F.count_if("_total").alias("_totals"),
         F.count(F.when(~F.col("_total"), F.col(value))).alias("_detail"),
         F.count(F.when(F.col("_total"), F.col(value))).alias("_total_value"),
     )
-    return _unfold_totals(grouped, region, area, name)
+    return unfold_totals(grouped, region, area, name)
 
 
 def sums_with_totals(
@@ -190,7 +248,7 @@ def sums_with_totals(
     """
     sums = df.groupBy(region, area).agg(F.sum(value).alias(name))
     grouped = (
-        _with_totals(sums, region, area, total_regions, total_label, [name])
+        with_totals(sums, region, area, total_regions, total_label, [name])
         .groupBy(region, area)
         .agg(
             F.count_if(~F.col("_total")).alias("_details"),
@@ -199,7 +257,7 @@ def sums_with_totals(
             F.sum(F.when(F.col("_total"), F.col(name))).alias("_total_value"),
         )
     )
-    return _unfold_totals(grouped, region, area, name)
+    return unfold_totals(grouped, region, area, name)
 
 
 def most_frequent(

@@ -16,7 +16,16 @@ from ..functions import (
     split_glued_key,
     to_number,
 )
-from ..operators import aggregates, ordering, quality, rejects, reports as report_ops, reshape, stats
+from ..operators import (
+    aggregates,
+    ordering,
+    quality,
+    rejects,
+    reports as report_ops,
+    reshape,
+    sketches,
+    stats,
+)
 from ..operators.joins import lookup, remap
 from ..sources import MODEL_SCHEMAS, literal_table
 from . import reports, study
@@ -263,6 +272,30 @@ def bands_wide(t: StandIns) -> DataFrame:
     return _band_sums(t, _bands(), study.LAST_SECONDARY_AGE)
 
 
+@register
+def bands_by_table(t: StandIns) -> DataFrame:
+    """The bands where a table says at what age primary school ends in each province."""
+    return aggregates.band_sums_by_table(
+        t.population(),
+        reports.AREA,
+        t.primary_ages(),
+        region="id_prov",
+        edge="last_age",
+        value="Edad",
+        amount="Casos",
+        bands=reports.school_age_bands,
+        highest=study.LAST_SECONDARY_AGE,
+    )
+
+
+@register
+def provinces_without_edge(t: StandIns) -> DataFrame:
+    """Provinces of establishments that the table of school ages leaves out."""
+    return aggregates.regions_without_edge(
+        t.establishments(), t.primary_ages(), "id_prov", "last_age"
+    )
+
+
 @register
 def level_pivot(t: StandIns) -> DataFrame:
     return aggregates.level_pivot(
@@ -290,6 +323,21 @@ def totals_with_override(t: StandIns) -> DataFrame:
     )
 
 
+@register
+def estimated_totals(t: StandIns) -> DataFrame:
+    """Distinct establishments, and whether their estimate is within four standard errors."""
+    establishments = t.establishments()
+    names = {"value": "Cueanexo", **_TOTAL}
+    exact = aggregates.distinct_with_totals(establishments, name="Cantidad_ee", **names)
+    estimate = sketches.estimated_distinct_with_totals(establishments, name="_estimate", **names)
+    off = F.abs(F.col("_estimate") - F.col("Cantidad_ee"))
+    return exact.join(estimate, reports.AREA).select(
+        *reports.AREA,
+        "Cantidad_ee",
+        (off <= 4 * sketches.distinct_error() * F.col("Cantidad_ee")).alias("is_near"),
+    )
+
+
 @register
 def population_totals(t: StandIns) -> DataFrame:
     return aggregates.sums_with_totals(t.people(), value="Casos", name="Personas", **_TOTAL)
@@ -397,6 +445,40 @@ def price_median(t: StandIns) -> DataFrame:
     return _rounded(quantiles, 4, "q1", "median")
 
 
+@register
+def estimated_quartiles(t: StandIns) -> DataFrame:
+    """Lines of each nation, and whether estimates of their price quartiles have nearly that rank.
+
+    The nations' sketches are merged from those of their market segments. A quartile's rank may be off
+    by twice the sketch's error.
+    """
+    shares = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    prices = t.line_prices()
+    by_area = sketches.quantile_sketches(prices, reports.AREA, "price")
+    by_nation = sketches.merge_quantile_sketches(by_area, ["id_prov"])
+    found = sketches.estimated_quantiles(by_nation, shares)
+    ranked = (
+        prices.join(found, "id_prov")
+        .groupBy("id_prov", "points")
+        .agg(
+            *[F.count_if(F.col("price") < F.col(q)).alias(f"_below_{q}") for q in shares],
+            *[F.count_if(F.col("price") <= F.col(q)).alias(f"_upto_{q}") for q in shares],
+        )
+    )
+    slack = 2 * sketches.rank_error() * F.col("points") + 1
+    return ranked.select(
+        "id_prov",
+        "points",
+        *[
+            (
+                (F.col(f"_below_{q}") <= share * F.col("points") + slack)
+                & (F.col(f"_upto_{q}") >= share * F.col("points") - slack)
+            ).alias(f"{q}_is_near")
+            for q, share in shares.items()
+        ],
+    )
+
+
 @register
 def box_stats(t: StandIns) -> DataFrame:
     return reports.department_boxes(_department_model(t))

@@ -54,6 +54,12 @@ secondaries AS (
   WHERE p % 2 = 1 AND age BETWEEN 14 AND 19 GROUP BY p, d
 )"""
 
+_PRIMARY_AGES = """
+ages AS (
+  SELECT DISTINCT s_nationkey AS p, 12 + s_nationkey % 3 AS last_age
+  FROM supplier WHERE s_nationkey % 7 <> 0
+)"""
+
 _LEVELS = """
 pairs AS (
   SELECT p, d, tipo FROM est JOIN bridge USING (cue)
@@ -392,6 +398,25 @@ ORACLE_SQL = {
                primaries.total AS "Poblacion_primaria",
                secondaries.total AS "Poblacion_secundaria"
         FROM nursery JOIN primaries USING (p, d) JOIN secondaries USING (p, d)""",
+    "bands_by_table": f"""
+        WITH {_PEOPLE}, {_PRIMARY_AGES},
+        aged AS (SELECT p, d, age, n, last_age FROM people LEFT JOIN ages USING (p)),
+        summed AS (
+          SELECT p, d,
+                 sum(n) FILTER (WHERE age <= 5) AS jardin,
+                 sum(n) FILTER (WHERE age > 5 AND age <= last_age) AS primaria,
+                 sum(n) FILTER (WHERE age > last_age AND age <= 19) AS secundaria
+          FROM aged GROUP BY p, d
+        )
+        SELECT p AS id_prov, d AS id_depto, CAST(jardin AS BIGINT) AS "Poblacion_jardin",
+               CAST(primaria AS BIGINT) AS "Poblacion_primaria",
+               CAST(secundaria AS BIGINT) AS "Poblacion_secundaria"
+        FROM summed
+        WHERE jardin IS NOT NULL AND primaria IS NOT NULL AND secundaria IS NOT NULL""",
+    "provinces_without_edge": f"""
+        WITH {_PRIMARY_AGES}
+        SELECT DISTINCT c_nationkey AS id_prov FROM customer
+        WHERE c_nationkey NOT IN (SELECT p FROM ages)""",
     "level_pivot": f"""
         WITH {_ESTABLISHMENTS}, {_BRIDGE}, {_LEVELS}
         SELECT p AS id_prov, d AS id_depto, nursery_n AS "Jardines", primary_n AS "Primarias",
@@ -403,6 +428,14 @@ ORACLE_SQL = {
         FROM est GROUP BY p, d
         UNION
         SELECT 2, 'ALL', count(DISTINCT cue) FROM est WHERE p = 2""",
+    "estimated_totals": f"""
+        WITH {_ESTABLISHMENTS},
+        totals AS (
+          SELECT p, d, count(DISTINCT cue) AS n FROM est GROUP BY p, d
+          UNION
+          SELECT 2, 'ALL', count(DISTINCT cue) FROM est WHERE p = 2
+        )
+        SELECT p AS id_prov, d AS id_depto, n AS "Cantidad_ee", TRUE AS is_near FROM totals""",
     "population_totals": f"""
         WITH {_HEADCOUNT}
         SELECT p AS id_prov, d AS id_depto, CAST(sum(n) AS BIGINT) AS "Personas"
@@ -467,6 +500,11 @@ ORACLE_SQL = {
                round(quantile_cont(l_extendedprice, 0.5), 4) AS median
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
         GROUP BY c_nationkey""",
+    "estimated_quartiles": """
+        SELECT c_nationkey AS id_prov, count(*) AS points, TRUE AS q1_is_near,
+               TRUE AS median_is_near, TRUE AS q3_is_near
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+        GROUP BY c_nationkey""",
     "box_stats": f"""
         WITH {_BOX}
         SELECT nombre, points, q1, median, q3,

@@ -58,6 +58,21 @@ class StandIns:
             F.col("n_nationkey").alias("id_prov"), F.col("n_name").alias("nombre")
         )
 
+    def primary_ages(self) -> DataFrame:
+        """(id_prov, last_age): a row for each supplier, so most provinces are listed many times.
+
+        Provinces divisible by seven are not listed, or without an age.
+        """
+        nation = F.col("s_nationkey")
+        return (
+            self.table("supplier")
+            .where((nation % 7 != 0) | (nation % 2 == 0))
+            .select(
+                nation.alias("id_prov"),
+                F.when(nation % 7 != 0, 12 + nation % 3).cast("int").alias("last_age"),
+            )
+        )
+
     def departments(self, with_city: bool = False) -> DataFrame:
         areas = self.table("customer").select(
             F.col("c_nationkey").alias("id_prov"),
@@ -208,11 +223,11 @@ class StandIns:
         ).select("id_prov", "id_depto", "Casos")
 
     def line_prices(self) -> DataFrame:
-        """(id_prov, price), one row per lineitem."""
+        """(id_prov, id_depto, price), one row per lineitem."""
         lines = self.table("lineitem").select("l_orderkey", F.col("l_extendedprice").alias("price"))
         return lines.join(
             self._order_areas(), F.col("l_orderkey") == F.col("o_orderkey")
-        ).select("id_prov", "price")
+        ).select("id_prov", "id_depto", "price")
 
     def raw_report(self, with_words: bool = False) -> DataFrame:
         """The orders as lines (seq, Edad, Casos) of one sectioned report.

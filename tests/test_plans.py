@@ -6,8 +6,9 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from terrastat.operators import aggregates, ordering
+from terrastat.operators import aggregates, ordering, sketches
 from terrastat.plans.catalog import QUERIES
+from terrastat.plans.standins import StandIns
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -60,6 +61,10 @@ READ_AGAIN = {
     "scatter_points": _LEVELS,
     # establishments, areas of the orders, departments; names and the row of the city
     "coverage_report": {"customer": 3, "nation": 2},
+    # exact and estimated
+    "estimated_totals": {"customer": 2},
+    # the sketches, and the ranks of what they say
+    "estimated_quartiles": {"customer": 2, "lineitem": 2},
     # establishments, and the areas of the orders
     "rate_per_thousand": {"customer": 2},
     # rows, and the bucket summary
@@ -148,6 +153,26 @@ def test_level_pivot_join_needs_no_extra_shuffle(spark, at_scale):
     assert len(re.findall(r"[^d]Exchange hashpartitioning", plan)) == 3
 
 
+def test_distinct_sketches_read_once_and_repeat_no_row(spark, at_scale):
+    """The rows are sketched beside the scan; the second shuffle has a row for each area."""
+    t = StandIns(spark, SF_DIR)
+    total = {"region": "id_prov", "area": "id_depto", "total_regions": [2], "total_label": "ALL"}
+    plan = _plan(
+        sketches.estimated_distinct_with_totals(t.establishments(), value="Cueanexo", name="n", **total)
+    )
+    assert _tables(plan) == {"customer": 1}
+    assert plan.count("Exchange hashpartitioning") == 2
+    order = [plan.index(node) for node in ("hll_union_agg", "Generate inline", "hll_sketch_agg", "FileScan")]
+    assert order == sorted(order)
+
+
+def test_band_edges_meet_sums(spark, at_scale):
+    """The table is joined above the sums per area and age."""
+    plan = _plan(QUERIES["bands_by_table"](spark, SF_DIR))
+    join = plan.index("Join [id_prov")
+    assert "sum(Casos" in plan[join:] and "s_nationkey" in plan[join:]
+
+
 def test_most_frequent_reads_its_counts_once(spark, at_scale):
     plan = _plan(QUERIES["dominant_domain"](spark, SF_DIR))
     assert "ReusedExchange" in plan

@@ -156,6 +156,67 @@ def test_region_under_two_edges_is_refused(spark):
         agg.edge_by_region("id_prov", {12: (1, 2), 13: (2,)})
 
 
+def _by_table(df, edges, **more):
+    return agg.band_sums_by_table(
+        df,
+        ["id_prov", "id_depto"],
+        edges,
+        region="id_prov",
+        edge="last_age",
+        value="Edad",
+        amount="Casos",
+        bands=reports.school_age_bands,
+        **more,
+    )
+
+
+@pytest.mark.parametrize("highest", [None, 19])
+def test_edges_of_a_table_equal_edges_in_the_query(spark, rows, highest):
+    """Ten thousand regions, one of them with a third of the rows."""
+    rng = random.Random(12)
+    people = [
+        (7 if rng.random() < 0.33 else rng.randrange(10_000), rng.randrange(2), rng.randrange(0, 22), rng.choice([None, 1, 5]))
+        for _ in range(60_000)
+    ]
+    df = spark.createDataFrame(people, "id_prov int, id_depto int, Edad int, Casos int").repartition(5)
+    edges = spark.range(10_000).selectExpr("CAST(id AS INT) AS id_prov", "CAST(12 + id % 2 AS INT) AS last_age")
+    got = rows(_by_table(df, edges, highest=highest))
+    written_out = {12: range(0, 10_000, 2), 13: range(1, 10_000, 2)}
+    expected = agg.band_sums(
+        df,
+        ["id_prov", "id_depto"],
+        value="Edad",
+        amount="Casos",
+        bands=reports.school_age_bands(agg.edge_by_region("id_prov", written_out)),
+    )
+    assert len(got) > 100 and got == rows(expected)
+
+
+def test_table_of_edges_with_gaps_and_repeats(spark, rows):
+    people = [(p, 0, age, 1) for p in (1, 2, 3, None) for age in (3, 8, 13, 15)]
+    df = spark.createDataFrame(people, "id_prov int, id_depto int, Edad int, Casos int")
+    kind = "id_prov int, last_age int"
+    said = [(1, 12), (1, 12), (1, None), (2, 13), (3, None), (None, 12), (9, 12)]
+    edges = spark.createDataFrame(said, kind)
+    assert rows(_by_table(df, edges)) == [(1, 0, 1, 1, 2), (2, 0, 1, 2, 1)]
+    assert rows(agg.regions_without_edge(df, edges, "id_prov", "last_age")) == [(3,), (None,)]
+    assert _by_table(df, edges.limit(0)).count() == 0
+    assert _by_table(df.limit(0), edges).count() == 0
+    with pytest.raises(Exception, match="two band edges for region 2, 13, 14"):
+        _by_table(df, edges.union(spark.createDataFrame([(2, 14)], kind))).collect()
+
+
+def test_table_of_edges_needs_its_region_among_the_keys(spark):
+    df = spark.createDataFrame([(1, 0, 3, 1)], "id_prov int, id_depto int, Edad int, Casos int")
+    edges = spark.createDataFrame([(1, 12)], "id_prov int, last_age int")
+    with pytest.raises(ValueError):
+        agg.band_sums_by_table(
+            df, ["id_depto"], edges, region="id_prov", edge="last_age", value="Edad", amount="Casos", bands=reports.school_age_bands
+        )
+    with pytest.raises(ValueError):
+        _by_table(df.withColumnRenamed("Casos", "last_age"), edges)
+
+
 def test_totals(spark, rows):
     df = spark.createDataFrame(
         [(2, 7, 1, 5), (2, 7, 1, 6), (2, 14, 1, None), (2, 14, 2, 1), (6, 7, 3, 2), (6, 7, None, 2)],

@@ -1,0 +1,94 @@
+"""Sketches against exact answers."""
+
+import bisect
+import random
+from collections import defaultdict
+
+import pytest
+
+from terrastat.operators import aggregates as agg, sketches
+
+TOTALS = {"region": "p", "area": "d", "total_regions": [2], "total_label": 0}
+
+
+def _establishments(spark, n=60_000):
+    """Region 2 has a third of all rows in one area; values repeat within and across its areas."""
+    rng = random.Random(4)
+    data = [
+        (2, 7, rng.randrange(9000)) if rng.random() < 0.33 else (rng.randrange(1, 5), rng.randrange(1, 4), rng.randrange(20_000))
+        for _ in range(n)
+    ]
+    return spark.createDataFrame(data, "p int, d int, k bigint").repartition(7)
+
+
+@pytest.mark.parametrize("log_buckets", [10, 12])
+def test_distinct_totals_within_the_error(spark, log_buckets):
+    df = _establishments(spark)
+    exact = {(r.p, r.d): r.n for r in agg.distinct_with_totals(df, value="k", name="n", **TOTALS).collect()}
+    found = sketches.estimated_distinct_with_totals(df, value="k", name="n", log_buckets=log_buckets, **TOTALS)
+    found = {(r.p, r.d): r.n for r in found.collect()}
+    assert found.keys() == exact.keys()
+    bound = 4 * sketches.distinct_error(log_buckets)
+    assert all(abs(found[key] - n) <= bound * n for key, n in exact.items())
+    # The total is of distinct values, far from the sum of its areas.
+    assert found[2, 0] < 0.9 * sum(n for (p, d), n in found.items() if p == 2 and d)
+
+
+def test_a_sketch_is_of_fixed_size(spark):
+    size = {r.p: len(r.sketch) for r in sketches.distinct_sketches(_establishments(spark), ["p"], "k").collect()}
+    assert max(size.values()) < 1 << 13
+
+
+def test_distinct_nulls_and_types(spark, rows):
+    data = [(2, 7, 1.5), (2, 7, 0.0), (2, 7, -0.0), (2, 9, None), (2, None, 1.5), (None, 7, 3.0), (None, 7, None)]
+    df = spark.createDataFrame(data, "p int, d int, k double")
+    expected = agg.distinct_with_totals(df, value="k", name="n", **TOTALS)
+    for kind in ("double", "float", "decimal(9,2)", "date", "string", "int"):
+        typed = df.selectExpr("p", "d", f"CAST({'k' if kind != 'date' else 'NULL'} AS {kind}) AS k")
+        exact = agg.distinct_with_totals(typed, value="k", name="n", **TOTALS)
+        if kind == "string":
+            continue  # -0.0 is a text of its own
+        assert rows(sketches.estimated_distinct_with_totals(typed, value="k", name="n", **TOTALS)) == rows(exact), kind
+    assert (2, 9, 0) in rows(expected)
+    assert sketches.estimated_distinct_with_totals(df.limit(0), value="k", name="n", **TOTALS).count() == 0
+    with pytest.raises(TypeError):
+        sketches.distinct_sketches(df.selectExpr("p", "array(k) AS k"), ["p"], "k")
+
+
+def test_merged_quantiles_within_the_rank_error(spark):
+    rng = random.Random(8)
+    data = [(0 if rng.random() < 0.33 else rng.randrange(1, 40), rng.lognormvariate(3, 2)) for _ in range(60_000)]
+    data += [(50, float(v % 3)) for v in range(900)]  # few values, many ties
+    points = spark.createDataFrame(data, "d int, v double").repartition(9).selectExpr("d", "d % 3 AS p", "v")
+    merged = sketches.merge_quantile_sketches(sketches.quantile_sketches(points, ["p", "d"], "v"), ["p"])
+    shares = {f"q{i}": i / 20 for i in range(21)}
+    exact = defaultdict(list)
+    for d, v in sorted(data, key=lambda r: r[1]):
+        exact[d % 3].append(v)
+    found = sketches.estimated_quantiles(merged, shares).collect()
+    assert {r.p: r.points for r in found} == {p: len(values) for p, values in exact.items()}
+    for r in found:
+        values = exact[r.p]
+        slack = 2 * sketches.rank_error() * len(values) + 1
+        for name, share in shares.items():
+            assert bisect.bisect_left(values, r[name]) <= share * len(values) + slack
+            assert bisect.bisect_right(values, r[name]) >= share * len(values) - slack
+
+
+def test_quantiles_of_odd_points(spark):
+    nan = float("nan")
+    data = [("a", 1.0), ("a", nan), ("a", None), ("b", nan), (None, 4.0), ("c", 2.0), ("c", 2.0)]
+    points = spark.createDataFrame(data, "g string, v double")
+    found = sketches.estimated_quantiles(sketches.quantile_sketches(points, ["g"], "v"), {"low": 0, "high": 1})
+    assert {r.g: tuple(r)[1:] for r in found.collect()} == {
+        "a": (1, 1.0, 1.0),
+        None: (1, 4.0, 4.0),
+        "c": (2, 2.0, 2.0),
+    }
+    empty = sketches.quantile_sketches(points.limit(0), ["g"], "v")
+    assert sketches.estimated_quantiles(sketches.merge_quantile_sketches(empty, ["g"]), {"m": 0.5}).count() == 0
+
+
+def test_a_larger_sketch_is_more_exact():
+    assert sketches.rank_error(800) < sketches.rank_error(200) < 0.014
+    assert sketches.distinct_error(14) < sketches.distinct_error(12) < 0.017

@@ -8,7 +8,7 @@ bundles, maps each record identifier to bundle, frame, and place in the plain by
 
 Payloads that repeat are stored once: the record with the smallest identifier is a response, the
 others are revisits that refer to it. The smallest identifier by payload is a grouped minimum
-(combined beside the scan), and it is joined back on the payload's digest, a plain join that is
+(combined beside the scan), and it is joined back on the payload's SHA-256, a plain join that is
 split where a digest is hot; the texts are shuffled once.
 """
 
@@ -18,6 +18,7 @@ import base64
 import hashlib
 import struct
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import zstandard
@@ -37,6 +38,9 @@ SKIPPABLE_MAGIC = 0x184D2A5E
 SEEKABLE_MAGIC = 0x8F92EAB1
 
 DATE = "1970-01-01T00:00:00Z"
+#: The record of a page without identifier; those of the others begin with the second.
+NO_PAGE = "<urn:no-page>"
+PAGE = "urn:page:"
 IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -49,13 +53,18 @@ def _one_line(value: str) -> str:
     return "".join(c if c.isprintable() and c != " " else "".join(f"%{b:02X}" for b in c.encode()) for c in value)
 
 
+def urn_of(page_id) -> str:
+    """The record's name in angle brackets; whatever a URN may not have is percent-encoded."""
+    return NO_PAGE if page_id is None else f"<{PAGE}{quote(str(page_id), safe='')}>"
+
+
 def record_of(page_id, uri: str | None, payload: bytes, refers_to, is_revisit: bool) -> bytes:
     """One WARC/1.1 record. A revisit keeps digest and length of the full payload, but no payload."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if is_revisit else http + payload
     named = [
         ("WARC-Type", "revisit" if is_revisit else "response"),
-        ("WARC-Record-ID", f"<urn:page:{page_id}>"),
+        ("WARC-Record-ID", urn_of(page_id)),
         ("WARC-Date", DATE),
         ("WARC-Target-URI", _one_line(uri) if uri else "urn:unknown"),
         ("WARC-Payload-Digest", f"sha1:{digest_of(payload)}"),
@@ -63,7 +72,7 @@ def record_of(page_id, uri: str | None, payload: bytes, refers_to, is_revisit: b
         ("Content-Length", str(len(block))),
     ]
     if is_revisit:
-        named += [("WARC-Profile", IDENTICAL), ("WARC-Refers-To", f"<urn:page:{refers_to}>")]
+        named += [("WARC-Profile", IDENTICAL), ("WARC-Refers-To", urn_of(refers_to))]
     head = "WARC/1.1\r\n" + "".join(f"{name}: {value}\r\n" for name, value in named) + "\r\n"
     return head.encode() + block + b"\r\n\r\n"
 
@@ -153,18 +162,22 @@ def write_bundles(
 ) -> DataFrame:
     """Write a record for each row of ``df``; returns the index, stored beside the bundles as well.
 
-    The index has a row for each record: page_id, bundle, frame, offset, length. Payloads are the
-    UTF-8 text (NULL: empty). Of records with equal payloads of at least ``least_bytes`` bytes, the
+    The index has a row for each record: page_id, bundle, frame, offset, length. Identifiers are
+    whole numbers or texts of any characters, other types are refused. Payloads are the UTF-8 text
+    (NULL: empty), and equal if length and SHA-256 are. Of records with equal payloads of at least ``least_bytes`` bytes, the
     one with the smallest identifier is a response and the others revisit it; every row that repeats
     that identifier and payload is a response. A NULL identifier comes after all others and, if all
     are NULL, every record is a response. NULL and odd URIs are written as one line. Other columns
     are ignored.
     """
+    id_type = df.select(col(id_col)).schema[0].dataType
+    if not isinstance(id_type, (T.IntegralType, T.StringType)):
+        raise TypeError(f"{id_col}: an identifier is a whole number or a text, not {id_type.simpleString()}")
     rows = df.select(
         col(id_col).alias("page_id"),
         col(uri_col).cast("string").alias("uri"),
         F.coalesce(col(payload_col).cast("string"), F.lit("")).cast("binary").alias("payload"),
-    ).withColumns({"digest": F.sha1("payload"), "bytes": F.octet_length("payload")})
+    ).withColumns({"digest": F.sha2("payload", 256), "bytes": F.octet_length("payload")})
     owners = (
         rows.filter(F.col("bytes") >= least_bytes)
         .groupBy("digest", "bytes")
@@ -172,7 +185,6 @@ def write_bundles(
     )
     joined = join_split(rows, owners, ["digest", "bytes"], "left").select("page_id", "uri", "payload", "owner")
     data = f"{location}/bundles"
-    id_type = rows.schema["page_id"].dataType
     schema = T.StructType([T.StructField("page_id", id_type), *T.StructType.fromDDL("bundle string, frame int, offset bigint, length bigint")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,6 +232,7 @@ def read_bundles(index: DataFrame, location: str) -> DataFrame:
         name, bundle = None, None
         for batch in batches:
             kind = batch.schema.field("page_id").type
+            is_text = pa.types.is_string(kind) or pa.types.is_large_string(kind)
             found, size = [], 0
             for wanted, frame, offset, length in zip(*(batch.column(c).to_pylist() for c in ("bundle", "frame", "offset", "length"))):
                 if wanted != name:
@@ -231,11 +244,11 @@ def read_bundles(index: DataFrame, location: str) -> DataFrame:
                     raise ValueError(f"{wanted}, frame {frame}: the payload of {warc['warc-record-id']} is damaged")
                 found.append(
                     (
-                        _identifier(warc["warc-record-id"], kind),
+                        _identifier(warc["warc-record-id"], is_text),
                         len(body) if response else int(http["content-length"]),
                         digest,
                         warc["warc-type"],
-                        None if response else _identifier(warc["warc-refers-to"], kind),
+                        None if response else _identifier(warc["warc-refers-to"], is_text),
                         warc["warc-target-uri"],
                         body if response else None,
                     )
@@ -250,11 +263,11 @@ def read_bundles(index: DataFrame, location: str) -> DataFrame:
     return index.mapInArrow(run, schema)
 
 
-def _identifier(urn: str, kind: pa.DataType):
-    text = urn.removeprefix("<urn:page:").removesuffix(">")
-    if text == "None":
+def _identifier(urn: str, is_text: bool):
+    if urn == NO_PAGE:
         return None
-    return text if pa.types.is_string(kind) or pa.types.is_large_string(kind) else int(text)
+    value = unquote(urn.removeprefix(f"<{PAGE}").removesuffix(">"))
+    return value if is_text else int(value)
 
 
 def _batch(found: list[tuple], kind: pa.DataType, schema: T.StructType) -> pa.RecordBatch:

@@ -53,6 +53,37 @@ def test_repeated_rows_are_responses(spark, tmp_path):
     assert got == [(1, "response", None), (1, "response", None), (2, "revisit", 1)]
 
 
+ODD = ["None", "", "a b", "x>\r\nWARC-Type: evil", "%41", "A", "<urn:no-page>", "né / ü?#", None, "\u2028", "007", "7"]
+
+
+def test_identifiers_of_any_text(spark, tmp_path):
+    rows = [(i, "u", f"payload {n // 3}") for n, i in enumerate(ODD)]
+    df = spark.createDataFrame(rows, "page_id string, url string, html string").repartition(3)
+    index = warc.write_bundles(df, str(tmp_path))
+    got = [tuple(r)[:5] for r in warc.read_bundles(index, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == expected(rows)
+    assert sum(r[3] == "revisit" for r in got) == len(ODD) - 4
+    for i in ODD:
+        head = warc.record_of(i, "u", b"", i, True).partition(b"\r\n\r\n")[0].decode()
+        assert len(head.split("\r\n")) == 10 and head.isascii()
+
+
+@pytest.mark.parametrize("kind", ["tinyint", "int", "bigint"])
+def test_identifiers_of_whole_numbers(spark, tmp_path, kind):
+    df = spark.range(-3, 4).selectExpr(f"IF(id = 2, NULL, CAST(id AS {kind})) AS page_id", "'u' AS url", "'x' AS html")
+    found = warc.read_bundles(warc.write_bundles(df, str(tmp_path)), str(tmp_path))
+    assert dict(found.dtypes)["page_id"] == kind
+    got = {r.page_id: (r.record_type, r.refers_to) for r in found.collect()}
+    assert got == {-3: ("response", None), **{i: ("revisit", -3) for i in (-2, -1, 0, 1, 3, None)}}
+
+
+@pytest.mark.parametrize("kind", ["double", "decimal(9,2)", "date", "array<int>"])
+def test_identifiers_of_other_types_are_refused(spark, tmp_path, kind):
+    df = spark.createDataFrame([], f"page_id {kind}, url string, html string")
+    with pytest.raises(TypeError, match="whole number or a text"):
+        warc.write_bundles(df, str(tmp_path))
+
+
 def test_empty_table(spark, tmp_path):
     index = warc.write_bundles(pages(spark, ROWS).limit(0), str(tmp_path))
     assert warc.read_bundles(index, str(tmp_path)).count() == 0

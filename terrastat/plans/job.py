@@ -1,6 +1,6 @@
 """The whole study as one batch job.
 
-    spark-submit terrastat_job.py --register DIR --centres DIR --population DIR --out DIR
+    spark-submit terrastat_job.py --register DIR --centres DIR --population DIR --out DIR [--buckets N]
 """
 
 from __future__ import annotations
@@ -57,7 +57,13 @@ def quality_tables(
 
 
 def run_study(
-    spark: SparkSession, *, register: str, centres: str, population: str, out: str
+    spark: SparkSession,
+    *,
+    register: str,
+    centres: str,
+    population: str,
+    out: str,
+    buckets: int | None = None,
 ) -> dict[str, DataFrame]:
     """Raw files to ``out/model`` and ``out/reports``; returns the written reports.
 
@@ -65,13 +71,19 @@ def run_study(
 
     The sources are decoded once, into staged rows that hold their faults; the model, the reject
     table and the counts are selections of these. The reports read the written model: no report
-    recomputes the cleaning, and a lost executor costs a re-read.
+    recomputes the cleaning, and a lost executor costs a re-read. With ``buckets`` the establishments
+    and their types are stored by establishment, so that whoever loads the model joins them without
+    a shuffle.
     """
     raw_centres = stage(raw_model.read_centres(spark, centres))
     raw_population = stage(raw_model.read_population(spark, population))
     sources = raw_model.decode(raw_model.read_register(spark, register), raw_centres, raw_population)
     decoded = {name: stage(rows) for name, rows in sources.items()}
-    save_model(raw_model.model_tables(decoded), f"{out}/model")
+    save_model(
+        raw_model.model_tables(decoded),
+        f"{out}/model",
+        **({"bucket_by": study.BUCKETED_BY, "buckets": buckets} if buckets else {}),
+    )
     model = load_model(spark, f"{out}/model")
     written = {}
 

@@ -51,3 +51,6 @@ POPULATION_PREAMBLE_ROWS = 13
 # Window of the cropped scatter chart.
 POPULATION_VIEW = (0, 15_000)
 COUNT_VIEW = (0, 80)
+
+# What establishments and their types are joined on.
+BUCKETED_BY = {"Establecimientos_educativos": "Cueanexo", "ee_tipo_establecimiento": "Cueanexo"}

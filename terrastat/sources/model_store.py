@@ -8,10 +8,16 @@ later one is committed. Nothing but Spark's own readers and writers is used, so
 any store that these reach. One job at a time may save to a directory.
 
 Folders of earlier versions stay until someone removes them: a reader may still be on them.
+
+Tables that are joined on one key can be stored in buckets of that key, the same number for each. The
+commit says so, and a reader gets them as bucketed tables of the session's catalog, where they are
+named after their version: a join or an aggregate on the key then reads bucket by bucket and shuffles
+nothing.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Mapping, Sequence
 
@@ -43,28 +49,75 @@ MODEL_SCHEMAS: dict[str, T.StructType] = {
 }
 
 
-_COMMITS = _schema(version=_LONG, folder=_TEXT, format=_TEXT, committed_at=T.TimestampType())
+_COMMITS = _schema(
+    version=_LONG,
+    folder=_TEXT,
+    format=_TEXT,
+    committed_at=T.TimestampType(),
+    buckets=_INT,
+    bucketed_by=T.MapType(_TEXT, _TEXT),
+)
 
 
 def _location(directory: str, name: str) -> str:
     return f"{directory.rstrip('/')}/{name}"
 
 
+def _bucketed_name(folder: str, name: str) -> str:
+    return f"model_{folder.rpartition('-')[2]}_{name.lower()}"
+
+
+def _write_bucketed(table: DataFrame, name: str, location: str, key: str, buckets: int) -> None:
+    """One sorted file a bucket: the rows are dealt by the hash that buckets are made with."""
+    (
+        table.repartition(buckets, key)
+        .write.format("parquet")
+        .bucketBy(buckets, key)
+        .sortBy(key)
+        .option("path", location)
+        .saveAsTable(name)
+    )
+
+
+def _open_bucketed(
+    spark: SparkSession, name: str, schema: T.StructType, location: str, key: str, buckets: int
+) -> DataFrame:
+    """The stored table, entered in the catalog where another session has written it."""
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    quoted = location.replace("\\", "\\\\").replace("'", "\\'")
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet "
+        f"CLUSTERED BY (`{key}`) SORTED BY (`{key}`) INTO {buckets} BUCKETS LOCATION '{quoted}'"
+    )
+    return spark.table(name)
+
+
 def save_model(
     tables: Mapping[str, DataFrame],
     directory: str,
     *,
     fmt: str = "parquet",
     partition_by: Mapping[str, Sequence[str]] | None = None,
+    bucket_by: Mapping[str, str] | None = None,
+    buckets: int = 200,
 ) -> None:
     """Write all tables of ``tables`` and commit them together as the model's next version.
 
     Parquet by default; ``fmt='csv'`` writes header CSV. A table is a directory of part files.
+    ``bucket_by`` names tables and the key that each is stored by, in ``buckets`` buckets: choose
+    the number so that a bucket of the largest fits a task's memory (a few hundred MB).
     """
+    bucket_by = dict(bucket_by or {})
     if fmt not in ("parquet", "csv"):
         raise ValueError(f"unknown format {fmt!r}")
-    if partition_by and fmt != "parquet":
-        raise ValueError("only parquet tables can be partitioned")
+    if (partition_by or bucket_by) and fmt != "parquet":
+        raise ValueError("only parquet tables can be partitioned or bucketed")
+    if both := bucket_by.keys() & (partition_by or {}).keys():
+        raise ValueError(f"partitioned and bucketed: {', '.join(sorted(both))}")
+    if unknown := bucket_by.keys() - tables.keys():
+        raise ValueError(f"no such table to bucket: {', '.join(sorted(unknown))}")
+    if bucket_by and not re.match(r"/|[a-zA-Z][\w+.-]*:", directory):
+        raise ValueError("bucketed tables need an absolute directory")
     if not tables:
         raise ValueError("a model without tables")
     spark = next(iter(tables.values())).sparkSession
@@ -75,6 +128,10 @@ def save_model(
         table = table.select(
             *[table[f"`{f.name}`"].cast(f.dataType) for f in MODEL_SCHEMAS[name]]
         )
+        location = _location(directory, f"{folder}/{name}")
+        if name in bucket_by:
+            _write_bucketed(table, _bucketed_name(folder, name), location, bucket_by[name], buckets)
+            continue
         writer = table.write.mode("overwrite").format(fmt)
         if fmt == "csv":
             # Keep cells as they are: doubled quotes, outer spaces not trimmed.
@@ -86,18 +143,22 @@ def save_model(
             )
         if partition_by and name in partition_by:
             writer = writer.partitionBy(*partition_by[name])
-        writer.save(_location(directory, f"{folder}/{name}"))
+        writer.save(location)
     commit = spark.range(1).select(
         F.lit(version).cast("bigint").alias("version"),
         F.lit(folder).alias("folder"),
         F.lit(fmt).alias("format"),
         F.current_timestamp().alias("committed_at"),
+        F.lit(buckets if bucket_by else None).cast("int").alias("buckets"),
+        F.create_map(*[F.lit(x) for pair in bucket_by.items() for x in pair])
+        .cast("map<string,string>")
+        .alias("bucketed_by"),
     )
     commit.coalesce(1).write.mode("append").parquet(_location(directory, "commits"))
 
 
 def versions(spark: SparkSession, directory: str) -> DataFrame:
-    """The committed versions of a model: version, folder, format, committed_at."""
+    """The committed versions of a model: version, folder, format, committed_at, buckets, bucketed_by."""
     try:
         return spark.read.schema(_COMMITS).parquet(_location(directory, "commits"))
     except AnalysisException as error:
@@ -131,7 +192,10 @@ def load_model(
     tables = {}
     for name, schema in MODEL_SCHEMAS.items():
         location = _location(directory, f"{commit.folder}/{name}")
-        if commit.format == "csv":
+        if key := (commit.bucketed_by or {}).get(name):
+            stored = _bucketed_name(commit.folder, name)
+            table = _open_bucketed(spark, stored, schema, location, key, commit.buckets)
+        elif commit.format == "csv":
             table = read_delimited(spark, location, schema)
         else:
             table = spark.read.schema(schema).parquet(location).select(*schema.names)

@@ -212,8 +212,9 @@ def test_quality_of_the_raw_sources(raw):
     assert tuple(flags)[:2] == (20, 13)
 
 
-def test_the_whole_study(spark, files, tmp_path):
-    written = job.run_study(spark, **files, out=str(tmp_path))
+@pytest.mark.parametrize("buckets", [None, 3])
+def test_the_whole_study(spark, files, tmp_path, buckets):
+    written = job.run_study(spark, **files, out=str(tmp_path), buckets=buckets)
     assert len(written) == 17
     assert written["rechazos_celdas"].count() == written["rechazos"].agg({"faults": "sum"}).first()[0] == 1
     assert written["consulta_3"].count() == 5

@@ -6,9 +6,11 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from terrastat.operators import aggregates, ordering, sketches
+from terrastat.operators import aggregates, ordering, reshape, sketches
+from terrastat.plans import study
 from terrastat.plans.catalog import QUERIES
-from terrastat.plans.standins import StandIns
+from terrastat.plans.standins import FLAGS, StandIns
+from terrastat.sources import MODEL_SCHEMAS, load_model, save_model
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -153,6 +155,37 @@ def test_level_pivot_join_needs_no_extra_shuffle(spark, at_scale):
     assert len(re.findall(r"[^d]Exchange hashpartitioning", plan)) == 3
 
 
+def test_co_located_tables_are_joined_without_a_shuffle(spark, at_scale, tmp_path):
+    t = StandIns(spark, SF_DIR)
+    model = {
+        "Establecimientos_educativos": t.establishments().selectExpr(
+            "Cueanexo", "id_prov", "length(id_depto) AS id_depto", "'x' AS ambito", "'y' AS sector"
+        ),
+        "ee_tipo_establecimiento": reshape.unpivot_flags(
+            t.flags(), "Cueanexo", FLAGS, type_col="id_tipo_establecimiento"
+        ),
+    }
+    empty = {n: spark.createDataFrame([], s) for n, s in MODEL_SCHEMAS.items()}
+    pivots = {}
+    for kind, more in {"plain": {}, "bucketed": {"bucket_by": study.BUCKETED_BY, "buckets": 5}}.items():
+        save_model({**empty, **model}, str(tmp_path / kind), **more)
+        loaded = load_model(spark, str(tmp_path / kind))
+        pivots[kind] = aggregates.level_pivot(
+            loaded["Establecimientos_educativos"],
+            loaded["ee_tipo_establecimiento"],
+            key="Cueanexo",
+            type_col="id_tipo_establecimiento",
+            by=["id_prov", "id_depto"],
+            levels=study.LEVELS,
+        )
+    plan = _plan(pivots["bucketed"])
+    assert "Exchange" not in plan[plan.index("Join") :]
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert "Exchange" in _plan(pivots["plain"])[_plan(pivots["plain"]).index("Join") :]
+    got = {kind: sorted(map(str, pivot.collect())) for kind, pivot in pivots.items()}
+    assert got["bucketed"] == got["plain"] and len(got["plain"]) > 50
+
+
 def test_distinct_sketches_read_once_and_repeat_no_row(spark, at_scale):
     """The rows are sketched beside the scan; the second shuffle has a row for each area."""
     t = StandIns(spark, SF_DIR)

@@ -181,6 +181,60 @@ def test_a_save_that_fails_midway_leaves_the_model_as_it_was(spark, tmp_path):
         load_model(spark, directory, version=3)
 
 
+BUCKETED = {"Establecimientos_educativos": "Cueanexo", "ee_tipo_establecimiento": "Cueanexo"}
+
+
+def test_bucketed_tables_are_found_by_their_commit(spark, tmp_path):
+    directory = str(tmp_path / "it's a model")
+    n = 5000
+    tables = model_of(spark, "OLD")
+    kinds = MODEL_SCHEMAS["ee_tipo_establecimiento"].simpleString()
+    tables["ee_tipo_establecimiento"] = spark.range(n).selectExpr(
+        "IF(id % 50 = 0, NULL, id div 2) AS Cueanexo", "CAST(id % 2 AS INT) AS id_tipo_establecimiento"
+    )
+    save_model(tables, directory, bucket_by=BUCKETED, buckets=3)
+    loaded = load_model(spark, directory, views=True)
+    stored = [t.name for t in spark.catalog.listTables() if t.name.startswith("model_")]
+    assert len(stored) == 2
+    expected = sorted(map(str, tables["ee_tipo_establecimiento"].collect()))
+    for _ in range(2):
+        types = loaded["ee_tipo_establecimiento"]
+        assert types.schema.simpleString() == kinds
+        assert sorted(map(str, types.collect())) == expected
+        assert spark.table("ee_tipo_establecimiento").count() == n
+        # In a session that knows nothing of them, the tables are entered anew; the files stay.
+        for name in stored:
+            spark.sql(f"DROP TABLE {name}")
+        loaded = load_model(spark, directory, views=True)
+    files = list((tmp_path / "it's a model" / "versions").glob("*/ee_tipo_establecimiento/*.parquet"))
+    assert len(files) == 3
+    # A later version is stored plainly, and the earlier one stays what it is.
+    save_model(model_of(spark, "NEW"), directory)
+    assert load_model(spark, directory)["ee_tipo_establecimiento"].count() == 1
+    assert load_model(spark, directory, version=1)["ee_tipo_establecimiento"].count() == n
+
+
+def test_commits_of_before_have_no_buckets(spark, tmp_path):
+    directory = str(tmp_path / "model")
+    save_model(model_of(spark, "OLD"), directory)
+    commits = spark.read.parquet(f"{directory}/commits").drop("buckets", "bucketed_by")
+    commits.withColumn("version", F.lit(2).cast("bigint")).write.mode("append").parquet(f"{directory}/commits")
+    assert load_model(spark, directory, version=2)["Provincias"].collect() == [(6, "OLD")]
+
+
+def test_buckets_that_cannot_be_are_refused(spark, tmp_path):
+    tables = model_of(spark, "x")
+    for wrong in (
+        {"fmt": "csv"},
+        {"bucket_by": {"Colegios": "Cueanexo"}},
+        {"partition_by": {"ee_tipo_establecimiento": ["Cueanexo"]}},
+    ):
+        with pytest.raises(ValueError):
+            save_model(tables, str(tmp_path), **{"bucket_by": BUCKETED, **wrong})
+    with pytest.raises(ValueError, match="absolute"):
+        save_model(tables, "model", bucket_by=BUCKETED)
+
+
 def test_an_unreadable_commit_is_not_taken_for_none(spark, tmp_path):
     (tmp_path / "commits").mkdir()
     (tmp_path / "commits" / "part-0.parquet").write_text("no parquet")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F, types as T
 from terrastat.operators.ordering import dense_row_id
 from terrastat.sources import (
     MODEL_SCHEMAS,
+    WorkbookSource,
     literal_table,
     load_model,
     read_delimited,
@@ -72,14 +73,15 @@ def test_csv_order_survives_splits_and_packing(spark, tmp_path, split):
     assert sorted(r.row_id for r in got) == list(range(1, len(expected) + 1))
 
 
+@pytest.mark.parametrize("in_tasks", [False, True])
 @pytest.mark.parametrize("shared", [True, False])
-def test_workbook_ingest(spark, tmp_path, shared):
+def test_workbook_ingest(spark, tmp_path, shared, in_tasks):
     rows = [["title"], [None], ["Clave", "Común", "Común"], ["a<b", 1, "1"], [None], ["z", None, " "]]
     write_workbook(tmp_path / "one.xlsx", rows, shared=shared)
     (tmp_path / "sub").mkdir()
     write_workbook(tmp_path / "sub" / "two.xlsX", rows[:4], shared=shared)
     (tmp_path / "notes.txt").write_text("not a workbook")
-    sheet = read_workbooks(spark, str(tmp_path), skip_rows=2)
+    sheet = read_workbooks(spark, str(tmp_path), skip_rows=2, open_in_tasks=in_tasks)
     assert sheet.schema.simpleString() == "struct<path:string,row_no:bigint,cells:map<string,string>>"
     got = {(r.path.rsplit("/", 1)[1], r.row_no): r.cells for r in sheet.collect()}
     assert got == {
@@ -90,20 +92,61 @@ def test_workbook_ingest(spark, tmp_path, shared):
     }
 
 
-def test_sheet_columns(spark, tmp_path):
+@pytest.mark.parametrize("in_tasks", [False, True])
+def test_sheet_columns(spark, tmp_path, in_tasks):
     write_workbook(tmp_path / "p.xlsx", [["x"], [None, "AREA", "Uno"], [None, "NaN", 5], [""]])
-    sheet = read_workbooks(spark, str(tmp_path / "p.xlsx"), skip_rows=1, header=False)
+    sheet = read_workbooks(spark, str(tmp_path / "p.xlsx"), skip_rows=1, header=False, open_in_tasks=in_tasks)
     cells = sheet_columns(sheet, {"B": "Edad", "C": "Casos"}).orderBy("row_no")
     assert [tuple(r)[1:] for r in cells.collect()] == [(2, "AREA", "Uno"), (3, None, "5")]
 
 
-def test_many_rows_come_in_batches(spark, tmp_path):
+@pytest.mark.parametrize("in_tasks", [False, True])
+def test_many_rows_come_in_batches(spark, tmp_path, in_tasks):
     write_workbook(tmp_path / "long.xlsx", [["n"]] + [[i] for i in range(25_000)])
-    sheet = read_workbooks(spark, str(tmp_path))
+    sheet = read_workbooks(spark, str(tmp_path), open_in_tasks=in_tasks)
     total = sheet.agg(F.count(F.lit(1)), F.sum(F.col("cells")["n"].cast("bigint"))).collect()[0]
     assert tuple(total) == (25_000, sum(range(25_000)))
 
 
+def test_workbook_source(spark, tmp_path):
+    """Asked cells only, a task for each file or several small ones, no file's bytes in a row."""
+    folder = tmp_path / "a folder"
+    folder.mkdir()
+    for n in range(7):
+        write_workbook(folder / f"b{n}.xlsx", [["Clave", "Común", "Otra"], [f"k{n}", None, "x"], ["z", n, "y"]])
+    for ignored in ("_tmp.xlsx", ".b0.xlsx", "b.csv"):
+        (folder / ignored).write_text("no workbook")
+    spark.dataSource.register(WorkbookSource)
+    reader = spark.read.format("workbook").schema("`Común` string, path string, Clave string, `None` string")
+    one_each = reader.option("taskBytes", 1).load(str(folder))
+    assert one_each.rdd.getNumPartitions() == 7
+    assert reader.option("taskBytes", 1 << 27).load(f"file:{folder}").rdd.getNumPartitions() == 1
+    expected = [row for n in range(7) for row in ((None, f"b{n}.xlsx", f"k{n}", None), (str(n), f"b{n}.xlsx", "z", None))]
+    got = [(r[0], r.path.rsplit("/", 1)[1], r[2], r[3]) for r in one_each.collect()]
+    assert sorted(got, key=str) == sorted(expected, key=str)
+    both = [
+        {(r.path, r.row_no, tuple(sorted(r.cells.items()))) for r in read_workbooks(spark, str(folder), open_in_tasks=w).collect()}
+        for w in (False, True)
+    ]
+    assert {r[1:] for r in both[0]} == {r[1:] for r in both[1]}
+    assert {p for p, *_ in both[1]} == {f"file:{folder}/b{n}.xlsx" for n in range(7)}
+    assert "content" not in _plan_of(one_each)
+
+
+def _plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_workbook_source_refuses(spark, tmp_path):
+    (tmp_path / "empty").mkdir()
+    assert read_workbooks(spark, str(tmp_path / "empty"), open_in_tasks=True).count() == 0
+    for path, said in (("*.xlsx", "not a pattern"), ("none", "FileNotFound")):
+        with pytest.raises(Exception, match=said):
+            read_workbooks(spark, str(tmp_path / path), open_in_tasks=True).count()
+    with pytest.raises(Exception, match="row_no of a workbook is bigint"):
+        spark.read.format("workbook").schema("path string, row_no int").load(str(tmp_path)).count()
+
+
 def test_literal_table_has_a_known_size(spark):
     schema = MODEL_SCHEMAS["Tipos_de_establecimientos"]
     df = literal_table(spark, [(0, "a"), (1, None)], schema)
@@ -281,9 +324,11 @@ def test_cells_that_do_not_convert(spark, tmp_path):
     assert [r.lost for r in got] == [False, True, True, True, False, True, False]
 
 
-def test_a_workbook_without_a_header_fails(spark, tmp_path):
+@pytest.mark.parametrize("in_tasks", [False, True])
+def test_a_workbook_without_a_header_fails(spark, tmp_path, in_tasks):
     write_workbook(tmp_path / "good.xlsx", [["Clave", "Común"], ["a", "1"]])
-    assert read_workbooks(spark, str(tmp_path), required=["Común"]).count() == 1
+    how = {"required": ["Común"], "open_in_tasks": in_tasks}
+    assert read_workbooks(spark, str(tmp_path), **how).count() == 1
     write_workbook(tmp_path / "bad.xlsx", [["Clave", "Comun"], ["a", "1"]])
     with pytest.raises(Exception, match="bad.xlsx has no column Común"):
-        read_workbooks(spark, str(tmp_path), required=["Común"]).collect()
+        read_workbooks(spark, str(tmp_path), **how).collect()

@@ -55,11 +55,22 @@ def test_run_applies_the_stages(spark):
     assert sorted(corpus_pipeline.run(spark, SF_DIR).collect()) == sorted(docs.collect())
 
 
-def test_odd_documents_pass_through(spark):
+def test_odd_documents_have_defined_results(spark):
+    """NULL, letterless, very long, repeated and tied rows, NULL identifiers and clashing names."""
     docs = documents(spark, odd_rows())
+    kept = {}
     for name, stage in corpus_pipeline.STAGES:
         docs = common.stage(stage(spark, docs, SF_DIR), name)
-    assert docs.count() > 0
+        kept[name] = sorted((r.doc_id for r in docs.collect()), key=str)
+    with_letters = [(i, t) for i, t, _ in odd_rows() if any(c.isalpha() for c in t or "")]
+    assert kept["language_id"] == sorted((i for i, _ in with_letters), key=str)
+    # The smallest identifier of each text, white space apart; 19 is 18, and rows that repeat 7 are one.
+    assert kept["exact_dedup"] == sorted([*range(5, 19), None], key=str)
+    # Letters' case does not tell fingerprints apart: 6 is 5, 8 is 7.
+    left = sorted({*range(5, 19), None} - {6, 8}, key=str)
+    assert kept["simhash"] == kept["decontaminate"] == kept["sentencepiece"] == left
+    tokens = {r.doc_id: (r.n_tokens, len(r.ids)) for r in docs.collect()}
+    assert tokens[11] == (1502, 1502) and tokens[None] == (7, 7)
     empty = documents(spark, odd_rows()).limit(0)
     for name, stage in corpus_pipeline.STAGES:
         empty = common.stage(stage(spark, empty, SF_DIR), name)
